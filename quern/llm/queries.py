@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, pii, secrets, substrings
+from quern.llm import bpe, neardup, pii, secrets, substrings
 from quern.runtime import table
 
 
@@ -29,6 +29,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
