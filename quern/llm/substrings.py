@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.words import Words, mix, runs, text_chunks
-from quern.runtime import ship
+from quern.runtime import drop_path, new_path, ship, write, written
 
 SIZE = 20
 #: Cells of a sketch row: four for each word that the text may have, between these powers of two.
@@ -171,16 +171,18 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
         .repartition("block").sortWithinPartitions("block")
         .mapInArrow(_merged, "block int, repeated binary")
     )
+    write(merged, path := new_path(spark, "sketch"))
     rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(2)]
     step = 1 << (BLOCK_BITS - 3)
-    for x in merged.toLocalIterator():  # at most 2 x 2**MOST_BITS bits
+    for x in spark.read.schema(merged.schema).parquet(path).toLocalIterator():  # at most 2 x 2**MOST_BITS bits
         row, block = divmod(x.block, blocks)
         rows[row][block * step : (block + 1) * step] = np.frombuffer(x.repeated, np.uint8)
+    drop_path(spark, path)
     sketch = spark.sparkContext.broadcast(rows)
     found = known.mapInArrow(_candidates(size, bits, sketch), "sure boolean, h1 long, h2 long, doc_id long, start int, n int")
     by = Window.partitionBy("h1", "h2", "sure").orderBy("doc_id", "start")
     later = found.withColumn("rank", F.rank().over(by)).where("sure or rank > 1")
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return written(later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeats")
 
 
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
