@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, lines, neardup, pii, secrets, substrings
+from quern.llm import bpe, decontaminate, lines, neardup, pii, secrets, substrings
 from quern.runtime import table
 
 
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,10 +47,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE_SQL}
