@@ -9,9 +9,12 @@ Two documents are linked if their sets' Jaccard similarity is 0.8 or more, confi
    average; DISTANCE 29 is five standard deviations above. By the pigeonhole principle two signatures within it agree, in
    one of 15 chunks, up to one symbol; enumerating that error (each symbol of the chunk left out in turn) gives 64 keys,
    and every pair within the distance shares one.
-3. Keys of one class go. In two rounds each class tries one pivot, the one it shares most keys with: within the distance,
-   then by full sets. What is linked forms components, and only pairs of one key in different components are left; these
-   are all tried, so that no link between components is lost, while a large group of copies costs one try a member.
+3. Keys of one class go. In two rounds each class tries one pivot, of the most central classes of its keys the one that it
+   shares most keys with: within the distance, then by full sets. What is linked forms components, and only pairs of one
+   key in different components are left. Of their classes, those go that hold too many shingles of their own to link with
+   any other of them. Keys of few open classes bring their pairs; those of many are compared in blocks with exact counts
+   over an inverted index, which return a spanning set of links only. So no link between components is lost, and a large
+   group of copies costs a few tries a member and no row for each pair.
 
 Null texts, and texts without words, have an empty set and link with nothing. Documents without an id get a null
 component and are kept. Rows that share an id count as one document if their texts agree; else the links of either hold.
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quern.llm.words import LOWER, Words, mix, runs, text_chunks
 from quern.operators.components import components
@@ -33,6 +37,8 @@ SHINGLE, SYMBOLS, CHUNKS = 4, 64, 15
 #: Two errors in every chunk exceed it.
 DISTANCE = 2 * CHUNKS - 1
 LEAST_PERCENT = 80
+#: A key of more open documents than FEW is compared in blocks of so many shingles.
+FEW, BLOCK_SHINGLES = 32, 1_000_000
 #: Words of a filter on document ids, 64 bits each.
 FILTER_WORDS = 1 << 18
 
@@ -130,22 +136,17 @@ def _slot(doc: Column) -> Column:
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Most rows of `docs` whose doc_id isn't in ids(doc_id) left out, before any shuffle, by a bitmap of fixed size."""
-    from pyspark.sql.functions import pandas_udf
-
     slot = _slot(F.col("doc_id"))
     bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
     words = np.zeros(FILTER_WORDS, np.uint64)  # all that reaches the driver, at most
     words[bits.column("w").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    @pandas_udf("boolean")
-    def likely(s):
-        import pandas as pd
-
-        x = s.to_numpy()
-        return pd.Series((sent.value[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+    def likely(s: pa.Array) -> pa.Array:
+        x = s.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    return docs.where(likely(slot))
+    return docs.where(arrow_udf(likely, "boolean")(slot))
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -169,22 +170,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, doc long")
     shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
     keys = written(keys.join(shared, "key"), "keys")
+    central = keys.join(keys.groupBy("key").count(), "key").groupBy("doc").agg(F.sum("count").alias("central"))
+    keys = written(keys.join(central, "doc"), "central-keys")
     known = docs.where("doc_id is not null")
     edges, labels = None, None
     for round_no in range(2):
         at = _labelled(keys, labels)
-        order = F.col("doc") if round_no == 0 else F.xxhash64("doc", F.lit(round_no))
+        # first the document that shares most keys with others, then the same among documents without a link
+        order = F.struct(F.lit(0) if labels is None else (F.col("label") != F.col("doc")).cast("int"), -F.col("central"), F.col("doc"))
         pivot = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc", "label")).alias("p"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
         tries = at.join(pivot.select("key", F.col("p.doc").alias("pivot"), F.col("p.label").alias("other")), "key").where("label <> other")
         best = tries.groupBy("doc", "pivot").count().groupBy("doc").agg(F.max(F.struct("count", (-F.col("pivot")).alias("minus"))).alias("m"))
         pairs = best.select(F.least("doc", -F.col("m.minus")).alias("a"), F.greatest("doc", -F.col("m.minus")).alias("b")).distinct()
         edges, labels = _grown(edges, links(pairs, reps, known, shingle, percent))
-    at = _labelled(keys, labels)
-    mixed = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    at = at.join(mixed, "key")
-    other = at.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    pairs = at.select("key", F.col("doc").alias("a"), F.col("label").alias("la")).join(other, "key").where("a < b and la <> lb").select("a", "b").distinct()
-    edges, labels = _grown(edges, links(pairs, reps, known, shingle, percent))
+    at = _mixed(_labelled(keys, labels))
+    for _ in range(2):  # the second time among those that the first has left
+        own = _linkable(at.select(F.col("doc").alias("doc_id")).distinct(), reps, known, shingle, percent)
+        at = written(_mixed(at.select("key", "doc", "label").join(own, "doc")), "open-keys")
+    size = at.groupBy("key").agg(F.count("*").alias("docs"))
+    few, many = (at.join(size.where(x).select("key"), "key") for x in (f"docs <= {FEW}", f"docs > {FEW}"))
+    left, right = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "label", "n", "own")]) for side in "ab")
+    # what a pair can share at most, against what it holds together at least
+    able = " and ".join(f"100 * (n_{x} - own_{x}) >= {percent} * (n_{x} + own_{y})" for x, y in ("ab", "ba"))
+    met = (left["key"] == right["key"]) & F.expr(f"doc_a < doc_b and label_a <> label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {able}")
+    pairs = left.join(right, met).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    new = links(pairs, reps, known, shingle, percent).union(_linked_in_blocks(many, known, shingle, percent))
+    edges, labels = _grown(edges, written(new, "new"))
     of_class = reps.join(labels, reps.doc_id == labels.node, "left").select("n_shingles", "f1", "f2", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -195,7 +206,95 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     """keys with each document's component so far."""
     if labels is None:
         return keys.withColumn("label", F.col("doc"))
-    return keys.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
+    return keys.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "central", F.coalesce("component", "doc").alias("label"))
+
+
+def _linked_in_blocks(at: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links between components among documents of keys that many share, without a row for each pair.
+
+    Documents that such keys connect form a cluster. Its documents are dealt to blocks of about BLOCK_SHINGLES, and every
+    pair of blocks is compared in one group of bounded size, by exact counts of shared shingles over an inverted index;
+    of the links found there, those come out that connect components not yet connected in the group.
+    """
+    clusters = components(at.join(at.groupBy("key").agg(F.min("doc").alias("least")), "key").select(F.col("doc").alias("a"), F.col("least").alias("b")))
+    members = at.select("doc", "label", "n").distinct().join(clusters, F.col("doc") == F.col("node")).select("doc", "label", "n", F.col("component").alias("cluster"))
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = written(members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "members")
+
+    def sets_of(it):
+        for part, text, offsets in text_chunks(it):
+            sets = pa.array([s.tobytes() for s in shingle_sets(text, offsets, shingle)], pa.binary())
+            yield pa.record_batch([part.column(0), sets], names=["doc", "shingles"])
+
+    sets = only(docs, members.select(F.col("doc").alias("doc_id"))).join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    sets = members.join(written(sets.mapInArrow(sets_of, "doc long, shingles binary"), "open-sets").dropDuplicates(["doc"]), "doc")
+    dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "doc", "label", "block", "shingles")
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(_compared(percent), "a long, b long")
+
+
+def _compared(percent: int):
+    def compare(t: pa.Table) -> pa.Table:
+        doc, label, block = (t.column(c).to_numpy() for c in ("doc", "label", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        ends = np.cumsum(n)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owners = np.repeat(np.arange(len(n)), n)[np.argsort(token, kind="stable")]
+        begin = np.cumsum(count) - count
+        across = t.column("low")[0].as_py() != t.column("high")[0].as_py()
+        _, group = np.unique(label, return_inverse=True)
+        root = np.arange(len(group))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i in range(len(n)):
+            mine = token[ends[i] - n[i] : ends[i]]
+            mine = mine[count[mine] > 1]
+            lengths = count[mine]
+            at = np.repeat(begin[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            shared = np.bincount(owners[at], minlength=len(n))
+            ok = (100 * shared >= percent * (n[i] + n - shared)) & (group != group[i])
+            ok[: i + 1] = False
+            if across:
+                ok &= block != block[i]
+            for j in np.flatnonzero(ok).tolist():
+                x, y = find(group[i]), find(group[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((doc[i], doc[j]))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return compare
+
+
+def _mixed(at: DataFrame) -> DataFrame:
+    """Rows of keys whose documents are in several components."""
+    return at.join(at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "key")
+
+
+def _linkable(ids: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc, n, own): of some documents, those that may link with another of them. Of their n shingles, `own` are in no
+    other and can't be shared; a document with too many of them has no link at all."""
+    ids = written(ids, "open")
+
+    def batches(it):
+        for part, text, offsets in text_chunks(it):
+            sets = shingle_sets(text, offsets, shingle)
+            if sets:
+                doc = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.record_batch([pa.array(doc), pa.array(np.concatenate(sets).view(np.int64))], names=["doc", "shingle"])
+
+    each = only(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(batches, "doc long, shingle long")
+    own = each.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("most")).where("doc = most").groupBy("doc").agg(F.count("*").alias("own"))
+    sizes = ids.join(reps.select("doc_id", "n_shingles"), "doc_id").select(F.col("doc_id").alias("doc"), "n_shingles")
+    return sizes.join(own, "doc", "left").select("doc", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own")).where(f"100 * (n - own) >= {percent} * n")
 
 
 def _grown(edges: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
