@@ -138,7 +138,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     many = known.mapInArrow(_hashed, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     places = known.mapInArrow(_places, "doc_id long, h1 long, h2 long").distinct().join(many, ["h1", "h2"])
     of_doc = written(places.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")), "chunk-keys")
-    found = only(known, of_doc).join(of_doc, "doc_id").select("doc_id", "text", "keys").mapInArrow(_cut_out, "h1 long, h2 long, chunk binary, doc_id long, start long, end long, sure boolean")
+    found = only(known, of_doc).join(of_doc.hint("merge"), "doc_id").select("doc_id", "text", "keys").mapInArrow(_cut_out, "h1 long, h2 long, chunk binary, doc_id long, start long, end long, sure boolean")
     by = Window.partitionBy("h1", "h2", "chunk", "sure").orderBy("doc_id", "start")
     later = found.withColumn("rank", F.rank().over(by)).where("sure or rank > 1")
     return written(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "chunk-repeats")
@@ -167,7 +167,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         raise ValueError("columns _removed and _at are this operator's own")
     spans = repeated_chunks(docs).select(F.col("doc_id").alias("_at"), "spans")
 
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_at"), "left")
+    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("_at"), "left")
     found = F.col("spans").isNotNull()
     text = F.when(found, arrow_udf(_cut, "string")(F.when(found, F.col("text")), "spans")).otherwise(F.col("text"))
     return joined.withColumn("_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long")).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_removed")
