@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quern.llm.words import LOWER, Words, mix, runs, text_chunks
 from quern.runtime import ship
@@ -139,17 +140,45 @@ def _searched(sent, percent: int):
     return batches
 
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item): items found in documents."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _blocks(items: DataFrame, block_bytes: int):
+    """Indexes of the items, of bounded size each, sent to the tasks."""
     items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
-    out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        sent = spark.sparkContext.broadcast(Index(block.column(0).to_pylist(), block.column(1).combine_chunks()))
+        yield items.sparkSession.sparkContext.broadcast(Index(block.column(0).to_pylist(), block.column(1).combine_chunks()))
+
+
+def cleaned(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no item, with all their columns; no shuffle of texts."""
+    ship(docs.sparkSession)
+    for sent in _blocks(items, block_bytes):
+        docs = docs.where(arrow_udf(_clean(sent, percent), "boolean")("text"))
+    return docs
+
+
+def _clean(sent, percent: int):
+    def clean(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, text, offsets in text_chunks([pa.record_batch([texts], names=["text"])]):
+            h, first = shingled(text, offsets)
+            hits = sent.value.hits(h)
+            of = np.searchsorted(first, hits, "right") - 1
+            ok = np.ones(len(first) - 1, bool)
+            for d in np.unique(of).tolist():
+                ok[d] = next(sent.value.matches(h[first[d] : first[d + 1]], hits[of == d] - first[d], percent), None) is None
+            out.append(pa.array(ok))
+        return pa.concat_arrays(out) if out else pa.array([], pa.bool_())
+
+    return clean
+
+
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item): items found in documents."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for sent in _blocks(items, block_bytes):
         found = docs.mapInArrow(_searched(sent, percent), "doc_id long, item_id long, n_shared long, n_item long")
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))

@@ -209,6 +209,12 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keys.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "central", F.coalesce("component", "doc").alias("label"))
 
 
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
+    """One document of each component, with all its columns."""
+    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
 def _linked_in_blocks(at: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between components among documents of keys that many share, without a row for each pair.
 
