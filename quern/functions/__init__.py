@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Column builders. All but the two functions of unicode.py are built-in expressions."""

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Operators: pure functions from DataFrames to DataFrames. Ranks and ties are explicit columns and sort keys."""

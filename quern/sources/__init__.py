@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Sources and sinks: Markdown documents, recipes, test-table adapters, catalogue merges."""

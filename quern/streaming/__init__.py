@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Structured Streaming forms of the incremental views. An extension: the batch operators are the reference semantics."""
