@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+#: Rows and bytes that go to a Python worker at once; rows of whole texts are long.
+ARROW_ROWS, ARROW_BYTES = "2000", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started.
+    """Let Python workers import this package, wherever the driver was started, and keep what they hold at once small.
 
     Nothing is sent where PYTHONPATH names the package's folder already (workers inherit it).
     """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     home = str(_PACKAGE.parent)
     if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_quern_shipped", False):
         return
