@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from quern.runtime import ship
 
 #: Words whose ids a worker keeps in each of two generations, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 150_000, 64
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
 #: Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 

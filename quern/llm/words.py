@@ -14,7 +14,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes handled at once, so that temporary arrays stay small; one longer document goes alone.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 _random = np.random.default_rng(20240501)
 _TABLES = _random.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,7 +32,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = (np.full(size, b, np.uint64) for b in (base, inverse))
         up[0] = down[0] = 1
         have = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if size > 1 << 24:  # of one very long text; not kept
+        if size > 1 << 19:  # of a very long text; not kept
             _powers.pop(base)
     return have
 
