@@ -38,7 +38,7 @@ SHINGLE, SYMBOLS, CHUNKS = 4, 64, 15
 DISTANCE = 2 * CHUNKS - 1
 LEAST_PERCENT = 80
 #: A key of more open documents than FEW is compared in blocks of so many shingles.
-FEW, BLOCK_SHINGLES = 32, 1_000_000
+FEW, BLOCK_SHINGLES = 32, 100_000
 #: Words of a filter on document ids, 64 bits each.
 FILTER_WORDS = 1 << 18
 
