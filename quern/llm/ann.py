@@ -78,7 +78,8 @@ def fitted(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds
         rest = rest - book[((book**2).sum(1) - 2 * rest @ book.T).argmin(1)]
     books = np.stack(books)
     for _ in range(rounds):
-        at = beam_codes(x, books, 4).astype(np.int64) + np.arange(codebooks) * words
+        codes = np.concatenate([beam_codes(x[a : a + 1024], books, 4) for a in range(0, len(x), 1024)])
+        at = codes.astype(np.int64) + np.arange(codebooks) * words
         gram = np.zeros((codebooks * words, codebooks * words), np.float32)
         for a in range(codebooks):
             for b in range(codebooks):
