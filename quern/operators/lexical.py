@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import expanded, hinted, index_tokens, keywords
+from quern.runtime import spread, written
 
 # BM25 parameters, column weights, score tiers.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -24,12 +25,16 @@ def postings(docs: DataFrame) -> DataFrame:
     return each.select("rowid", "col", "term", "pos")
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
-    """(rowid, length): tokens of a row over all columns."""
-    total = F.lit(0)
-    for c in WEIGHTS:
-        total = total + F.size(index_tokens(F.to_json("tags") if c == "tags" else F.col(c)))
-    return docs.select("rowid", total.cast("bigint").alias("length"))
+def doc_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(rowid, length): tokens of a row over all columns, 0 of a row without any."""
+    counts = index.groupBy("rowid").agg(F.count("*").alias("length"))
+    return docs.select("rowid").join(counts, "rowid", "left").select("rowid", F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats) of a catalogue, written once: every query of a session reads them, none tokenises again."""
+    index = written(postings(spread(docs)), "postings")
+    return index, written(doc_stats(docs, index), "lengths")
 
 
 def _phrases(words: Column, prefix: bool) -> Column:
@@ -100,13 +105,12 @@ def like_supplement(queries: DataFrame, docs: DataFrame, top_k: int = 20) -> Dat
     return hits.withColumn("k", first).where(F.col("k") <= top_k).select("qid", "rowid")
 
 
-def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: float = 0.0, index: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: float = 0.0, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, rank, rowid, name, score, method): the best rows of every query.
 
     Each strategy gives its top_k; a row keeps the score of its first strategy; rows without a hint in the name are held
-    below LIKE matches, which supplement what the index finds."""
-    index = postings(docs) if index is None else index
-    found = bm25(strategies(queries), index, doc_stats(docs))
+    below LIKE matches, which supplement what the index finds. Without an index from built(), one is made."""
+    found = bm25(strategies(queries), *(built(docs) if index is None else index))
     place = F.row_number().over(Window.partitionBy("qid", "strategy").orderBy(F.desc("bm25"), "rowid"))
     found = found.withColumn("place", place).where(F.col("place") <= top_k)
     first = F.row_number().over(Window.partitionBy("qid", "rowid").orderBy("strategy", "place"))

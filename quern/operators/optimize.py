@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import spread
+
 # Ordered rewrites of long descriptions, case ignored.
 REWRITES = [
     (r"\b(this skill|this tool|the tool|the skill)\b", "it"),
@@ -97,6 +99,7 @@ def body_tags(docs: DataFrame, n: int = 5) -> DataFrame:
 
 def optimized(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """The catalogue with new tags (sorted), description and metadata cost, and before/after figures."""
+    docs = spread(docs)
     found = body_tags(docs).withColumnRenamed("tags", "more")
     out = docs.join(found, "rowid", "left").withColumn("_tags", F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))))
     old = F.coalesce("description", F.lit(""))

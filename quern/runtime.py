@@ -84,3 +84,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the session has cores, dealt to all cores; any other as it is.
+
+    For work that costs far more than moving the rows; larger tables have splits enough and are never shuffled here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
