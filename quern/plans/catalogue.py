@@ -100,7 +100,7 @@ def like_supplement(spark, sf_dir):
 def _one_strategy(spark, sf_dir, k):
     d = adapters.documents(spark, sf_dir)
     phrases = lexical.strategies(asked(spark, DOCUMENT_QUERIES)).where(F.col("strategy") == k)
-    return lexical.bm25(phrases, lexical.postings(d), lexical.doc_stats(d)).select("qid", "rowid", F.round("bm25", 6).alias("bm25"))
+    return lexical.bm25(phrases, *lexical.built(d)).select("qid", "rowid", F.round("bm25", 6).alias("bm25"))
 
 
 @query
