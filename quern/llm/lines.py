@@ -163,14 +163,14 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and other columns) with repeated chunks cut from text, and _removed: the number of cuts."""
-    if {"_removed", "_at"} & set(docs.columns):
-        raise ValueError("columns _removed and _at are this operator's own")
-    spans = repeated_chunks(docs).select(F.col("doc_id").alias("_at"), "spans")
-
+    if clash := {"_removed", "_at", "_spans"} & set(docs.columns):
+        raise ValueError(f"columns of this operator's own: {sorted(clash)}")
+    spans = repeated_chunks(docs).select(F.col("doc_id").alias("_at"), F.col("spans").alias("_spans"))
     joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("_at"), "left")
-    found = F.col("spans").isNotNull()
-    text = F.when(found, arrow_udf(_cut, "string")(F.when(found, F.col("text")), "spans")).otherwise(F.col("text"))
-    return joined.withColumn("_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long")).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_removed")
+    found = F.col("_spans").isNotNull()
+    text = F.when(found, arrow_udf(_cut, "string")(F.when(found, F.col("text")), "_spans")).otherwise(F.col("text"))
+    removed = F.coalesce(F.size("_spans"), F.lit(0)).cast("long")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], removed.alias("_removed"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
