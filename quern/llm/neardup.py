@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from quern.llm.words import LOWER, Words, mix, runs, text_chunks
 from quern.operators.components import components
@@ -135,18 +134,13 @@ def _slot(doc: Column) -> Column:
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Most rows of `docs` whose doc_id isn't in ids(doc_id) left out, before any shuffle, by a bitmap of fixed size."""
-    slot = _slot(F.col("doc_id"))
-    bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(FILTER_WORDS, np.uint64)  # all that reaches the driver, at most
-    words[bits.column("w").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def likely(s: pa.Array) -> pa.Array:
-        x = s.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+    """Most rows of `docs` whose doc_id isn't in ids(doc_id) left out, before any shuffle, by a bitmap of bounded size.
 
-    return docs.where(arrow_udf(likely, "boolean")(slot))
+    The bitmap is broadcast as FILTER_WORDS rows of two numbers at most, however many ids there are."""
+    slot = _slot(F.col("doc_id"))
+    bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
+    likely = docs.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(bits), "_word")
+    return likely.where("shiftright(_bits, cast(_slot & 63 as int)) & 1 = 1").select(docs.columns)
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
