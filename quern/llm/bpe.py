@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quern.llm.words import claim
 from quern.runtime import ship
 
 #: Words whose ids a worker keeps in each of two generations, and the longest of them in characters.
@@ -139,6 +140,7 @@ _loaded: dict[str, Bpe] = {}
 
 def loaded(path: str) -> Bpe:
     """This worker's tokenizer."""
+    claim("bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Bpe(path)
     return _loaded[path]

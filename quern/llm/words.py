@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,23 @@ LOWER[65:91] += 32
 #: Text bytes handled at once, so that temporary arrays stay small; one longer document goes alone.
 CHUNK_BYTES = 1 << 18
 
+#: The operator whose caches this worker holds, and what drops them.
+_holder: list = ["", None]
+
+
+def claim(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Before work of another kind in a worker that is used again: drop the last kind's caches and return free memory."""
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+            pa.default_memory_pool().release_unused()
+        _holder[:] = [name, drop]
+
+
 _random = np.random.default_rng(20240501)
 _TABLES = _random.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03]
@@ -118,6 +136,7 @@ def runs(word_hashes: np.ndarray, first: np.ndarray, size: int, which: int = 0)
 
 def text_chunks(batches, column: str = "text"):
     """(slice of the batch, bytes, offsets) for pieces of bounded size."""
+    claim("words", _powers.clear)
     for batch in batches:
         text, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
         for a, b in chunks(text, offsets):
