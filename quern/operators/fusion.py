@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import hinted
+from quern.runtime import bounded
 
 # The fusion constant, the penalty without a hint, mixing weights.
 RRF_K, PENALTY, SESSION_BOOST, MIX = 60, 0.7, 0.5, 0.3
@@ -26,7 +27,7 @@ def rrf(lists: list[DataFrame], queries: DataFrame, docs: DataFrame, top_k: int
         one = x.select("qid", "name", (1.0 / (RRF_K + F.col("rank"))).alias("part"), F.lit(k).alias("list"), F.col("rank").alias("at"))
         every = one if every is None else every.unionByName(one)
     fused = every.groupBy("qid", "name").agg(F.sum("part").alias("score"), F.min(F.struct("list", "at")).alias("first"))
-    fused = fused.join(docs.select("name", "description"), "name").join(F.broadcast(queries), "qid")
+    fused = fused.join(docs.select("name", "description"), "name").join(bounded(queries), "qid")
     hint = hinted(F.col("query"), F.col("name"), F.col("description"), least=2)
     score = F.when(hint, F.col("score")).otherwise(F.col("score") * PENALTY)
     order = Window.partitionBy("qid").orderBy(F.desc("full"), "first", "name")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import expanded, hinted, index_tokens, keywords
-from quern.runtime import spread, written
+from quern.runtime import bounded, spread, written
 
 # BM25 parameters, column weights, score tiers.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -99,7 +99,7 @@ def like_supplement(queries: DataFrame, docs: DataFrame, top_k: int = 20) -> Dat
     words = keywords(F.trim("query"))
     patterns = F.when(F.size(words) > 0, F.slice(words, 1, 3)).otherwise(F.array(F.trim("query")))
     asked = queries.where(F.trim("query") != "").select("qid", F.explode(F.array_distinct(patterns)).alias("word"))
-    asked = F.broadcast(asked.select("qid", F.concat(F.lit("%"), "word", F.lit("%")).alias("pattern")))
+    asked = bounded(asked.select("qid", F.concat(F.lit("%"), "word", F.lit("%")).alias("pattern")))
     hits = docs.select("rowid", "name", "description").join(asked, F.expr("name ilike pattern or description ilike pattern")).select("qid", "rowid").distinct()
     first = F.row_number().over(Window.partitionBy("qid").orderBy("rowid"))
     return hits.withColumn("k", first).where(F.col("k") <= top_k).select("qid", "rowid")
@@ -118,7 +118,7 @@ def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: floa
     fields = docs.select("rowid", "name")
     score = 1 + F.col("bm25") / 100
     score = F.when(hinted(F.col("query"), F.col("name")), score).otherwise(F.least(score, F.lit(UNHINTED)))
-    lexical = found.join(F.broadcast(queries), "qid").join(fields, "rowid").select("qid", "rowid", "name", F.round(score, 4).alias("score"), F.lit("bm25").alias("method"), "strategy", "place")
+    lexical = found.join(bounded(queries), "qid").join(fields, "rowid").select("qid", "rowid", "name", F.round(score, 4).alias("score"), F.lit("bm25").alias("method"), "strategy", "place")
     like = like_supplement(queries, docs, top_k).join(found.select("qid", "rowid"), ["qid", "rowid"], "left_anti").join(fields, "rowid")
     like = like.select("qid", "rowid", "name", F.lit(LIKE_SCORE).alias("score"), F.lit("like").alias("method"), F.lit(9).alias("strategy"), F.col("rowid").alias("place"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "strategy", "place", "rowid"))

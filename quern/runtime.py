@@ -92,3 +92,10 @@ def spread(df: DataFrame) -> DataFrame:
     For work that costs far more than moving the rows; larger tables have splits enough and are never shuffled here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A broadcast hint if the table is counted to hold `most` rows or fewer; else the table as it is."""
+    from pyspark.sql.functions import broadcast
+
+    return broadcast(df) if df.limit(most + 1).count() <= most else df
