@@ -47,9 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this driver has given out; release() deletes them.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that no other run uses, below the shared folder."""
-    return f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this driver has written; call it when results have been stored."""
+    n = len(_paths)
+    while _paths:
+        drop_path(spark, _paths.pop())
+    return n
 
 
 #: Spark's setting to remove a query's shuffle files when the query ends.

@@ -162,3 +162,13 @@ def test_graph(spark):
     assert graph.pagerank(both, seeds).agg(F.sum("score")).first()[0] == pytest.approx(1 - 0.85**20)
     assert graph.pagerank(both.limit(0), seeds).count() == 0
     assert graph.pagerank(both, seeds.limit(0)).count() == 0
+
+
+def test_release(spark):
+    from quern import runtime
+
+    kept = runtime.written(spark.range(5), "five")
+    path = kept.inputFiles()[0].rpartition("/")[0]
+    assert kept.count() == 5 and runtime.release(spark) >= 1
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
