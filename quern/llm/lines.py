@@ -1,11 +1,12 @@
-"""Operator 10: removal of repeated multi-line chunks with content-defined boundaries (line dedup).
+"""Operator 10: removal of repeated passages of two or more lines (line dedup).
 
-Lines are what newlines separate; empty ones don't count. A chunk ends after a line where a rolling hash over the last
-WINDOW line hashes is divisible by DIVISOR, or with the document, so a boundary depends on a few lines only and insertions
-elsewhere don't shift it. Chunks of two or more lines that also stand earlier (smaller doc_id, or earlier in the same
-document) go, with one newline beside them; the first one stays. Chunks of equal 128-bit hashes are compared byte by byte.
+Lines are what newlines separate; empty ones don't count. A chunk is two consecutive lines and what stands between them, so
+chunks overlap, their boundaries depend on their own lines only, and every passage of two or more lines is the union of its
+chunks. Chunks that also stand earlier (smaller doc_id, or earlier in the same document) go, with one newline beside them;
+the first one stays. So every line of every repeated passage goes, however short the passage and wherever it begins, and
+the first place of each line stays. Chunks of equal 128-bit hashes are compared byte by byte.
 
-1. A scan emits the hash of every multi-line chunk, summed up by task and key; keys seen twice are kept.
+1. A scan emits the hash of every chunk, summed up by task and key; keys seen twice are kept.
 2. The places of those keys go back to their documents (other documents are left out before the shuffle, by a bitmap of
    fixed size), and come out with the chunk's bytes; a task sends its first place of each chunk, later ones are repeats
    for sure. Rows of one hash and equal bytes are ranked: all but the first are repeats.
@@ -24,41 +25,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quern.llm.neardup import only
-from quern.llm.words import Words, mix, powers, runs, text_chunks
+from quern.llm.words import Words, runs, text_chunks
 from quern.runtime import ship, written
 
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
-WINDOW, DIVISOR = 2, 3
+#: Lines of a chunk, the least that a passage has.
+LINES = 2
 #: Bytes of chunks that a task holds before it hands them on.
 HELD = 64 << 20
-_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def chunks_of(text: np.ndarray, offsets: np.ndarray):
-    """(document, start byte, end byte, h1, h2) of every chunk of two or more lines."""
+    """(document, start byte, end byte, h1, h2) of every two consecutive lines, from left to right."""
     lines = Words(text, offsets, NEWLINE)
-    n = len(lines.starts)
-    if n < 2:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    h1 = lines.hashes(0)
-    h2 = lines.hashes(1)
-    at, rolled = runs(h1, lines.first, WINDOW)
-    ends = np.zeros(n, bool)
-    ends[at + WINDOW - 1] = rolled % np.uint64(DIVISOR) == 0
-    last = lines.first[1:] - 1
-    ends[last[lines.counts > 0]] = True
-    end = np.flatnonzero(ends)
-    begin = np.concatenate(([0], end[:-1] + 1))
-    keys = []
-    up, down = powers(_BASE, n)
-    for h in (h1, h2):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * up[:n], out=total[1:])
-        keys.append(mix((total[end + 1] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
-    many = end > begin
-    doc = lines.doc[begin]
-    return doc[many], (lines.starts[begin] - offsets[doc])[many], (lines.ends[end] - offsets[doc])[many], keys[0][many], keys[1][many]
+    (at, h1), (_, h2) = (runs(lines.hashes(k), lines.first, LINES, k) for k in (0, 1))
+    doc = lines.doc[at]
+    return doc, lines.starts[at] - offsets[doc], lines.ends[at + LINES - 1] - offsets[doc], h1, h2
 
 
 def _hashed(it):
@@ -139,7 +122,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     places = known.mapInArrow(_places, "doc_id long, h1 long, h2 long").distinct().join(many, ["h1", "h2"])
     of_doc = written(places.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")), "chunk-keys")
     found = only(known, of_doc).join(of_doc.hint("merge"), "doc_id").select("doc_id", "text", "keys").mapInArrow(_cut_out, "h1 long, h2 long, chunk binary, doc_id long, start long, end long, sure boolean")
-    by = Window.partitionBy("h1", "h2", "chunk", "sure").orderBy("doc_id", "start")
+    # repeats for sure need no rank; they are dealt by document, so that a common chunk doesn't gather in one task
+    by = Window.partitionBy("h1", "h2", "chunk", F.when(F.col("sure"), F.col("doc_id"))).orderBy("doc_id", "start")
     later = found.withColumn("rank", F.rank().over(by)).where("sure or rank > 1")
     return written(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "chunk-repeats")
 

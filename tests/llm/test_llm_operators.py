@@ -278,3 +278,16 @@ def test_line_boundaries_resist_shifts():
     body = [f"line {i}" for i in range(60)]
     chunk = lambda ls: {(a, z) for x in ["\n".join(ls).encode()] for _, a, z, *_ in zip(*lines.chunks_of(np.frombuffer(x, np.uint8), np.array([0, len(x)])), strict=True) for a, z in [(x[a:z], None)]}
     assert len(chunk(body) & chunk(["new first line", *body])) >= len(chunk(body)) - 2
+
+
+def test_lines_of_every_repeated_passage_go(spark):
+    """Passages of 2 to 12 lines, copied between lines of their own: all of their lines go, and no line of the first place."""
+    rng = random.Random(6)
+    own = lambda n: [f"own {rng.random()}" for _ in range(n)]
+    passages = [[f"passage {k} line {i}" for i in range(2 + k % 11)] for k in range(110)]
+    rows = [(k, "\n".join([*own(3), *p, *own(3)])) for k, p in enumerate(passages)]
+    copies = {200 + k: (own(k % 4), p, own(1 + k % 3)) for k, p in enumerate(passages)}
+    rows += [(d, "\n".join(x for part in parts for x in part)) for d, parts in copies.items()]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for d, text in rows:
+        assert got[d] == (text if d < 200 else "\n".join([*copies[d][0], *copies[d][2]]))
