@@ -10,6 +10,10 @@ hashed), in runs of ORDER; a language's model has SYMBOLS**ORDER entries at most
 3. A scan scores every document: the mean negative log-probability of its characters, exp() of which is its perplexity.
 4. A document is rejected beyond a fence of its language: HIGH quantile of the trusted documents' log-perplexity, plus
    MARGIN of the distance from their median to that quantile.
+5. Few words in clean prose don't move a document's mean, so words count by themselves: of every word (open vocabulary, any
+   number) the trusted documents and those labelled toxic that hold it are counted in shards. A document is rejected too
+   if it holds a word that is LEAST_RATIO times as frequent among toxic documents, at SURE standard errors below the
+   estimate. Hashes of those words only are broadcast.
 
 The LANGUAGES languages with the most trusted text have models of their own; the others, and documents without a
 language, take the model of all trusted text. So do fences of languages with under LEAST_DOCUMENTS trusted documents.
@@ -29,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quern.llm.neardup import only
-from quern.llm.words import text_chunks
+from quern.llm.words import LOWER, Words, text_chunks
 from quern.runtime import ship, written
 
 SYMBOLS, ORDER = 40, 4
 LANGUAGES, LEAST_DOCUMENTS = 8, 100
 HIGH, MARGIN = 0.995, 1.0
+LEAST_RATIO, SURE = 5.0, 3.0
 #: Tables are sent in so many steps to one unit of negative log-probability, and compressed.
 STEPS = 3000
 #: This worker's table.
@@ -55,6 +60,8 @@ def symbol_classes() -> np.ndarray:
 
 
 CLASSES = symbol_classes()
+#: What stands between words: ASCII other than letters and digits.
+APART = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 _START = int(CLASSES[ord(" ")])
 
 
@@ -103,6 +110,42 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("q = 1 and t = 0").select("doc_id")
 
 
+def _worded(it):
+    """(word, toxic, n): in how many documents of a task each word's hash stands, by label."""
+
+    def emit(held):
+        keys, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
+        return pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(bool)), pa.array(n.astype(np.int64))], names=["word", "toxic", "n"])
+
+    held, size = [], 0
+    for part, text, offsets in text_chunks(it):
+        words = Words(LOWER[text], offsets, APART)
+        toxic = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        once = np.unique(np.stack([words.doc, words.hashes().view(np.int64)], axis=1), axis=0)
+        held.append(np.stack([once[:, 1], toxic[once[:, 0]]], axis=1))
+        size += len(once)
+        if size >= HELD // 8:
+            yield emit(held)
+            held, size = [], 0
+    if size:
+        yield emit(held)
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that stand for toxic documents."""
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
+    sides = written(known.where("t = 1").select("doc_id", F.lit(True).alias("toxic")).union(trusted_ids(labels).select("doc_id", F.lit(False))), "sides")
+    text = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = only(text, sides.select("doc_id")).join(sides, "doc_id").select("toxic", "text")
+    many = {x.toxic: x.n for x in text.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(many) < 2:
+        return np.zeros(0, np.int64)
+    counts = text.mapInArrow(_worded, "word long, toxic boolean, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(k) for k, x in (("t", F.col("toxic")), ("c", ~F.col("toxic")))])
+    ratio = F.log((F.col("t") + 0.5) / (many[True] + 1)) - F.log((F.col("c") + 0.5) / (many[False] + 1))
+    sure = ratio - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) >= float(np.log(LEAST_RATIO))
+    return np.sort(counts.where("t > 0").where(sure).select("word").toArrow().column(0).to_numpy())
+
+
 def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of counts (lang, gram, n) of runs of ORDER: (lang, size, gram, p) with the discounted probability of each seen run,
     and (lang, size, context, weight) with the share that each context leaves to shorter runs."""
@@ -166,6 +209,7 @@ class Model:
     """What scoring needs: tables (sent to the tasks), and fences by language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
+        self.toxic = docs.sparkSession.sparkContext.broadcast(toxic_words(docs, labels))
         found, ids = tables(docs, labels)
         self.langs = [x for x in found if x is not None]
         self.sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [found[x] for x in [*self.langs, None]], {x: k for k, x in enumerate(self.langs)}))
@@ -200,6 +244,21 @@ class Model:
 
         return arrow_udf(score, "double")(F.col("text"), F.col("lang"))
 
+    def harmful(self) -> Column:
+        """Whether `text` holds a word that stands for toxic documents; false for a null text."""
+        sent = self.toxic
+
+        def harmful(texts: pa.Array) -> pa.Array:
+            toxic, out = sent.value, []
+            for _, text, offsets in text_chunks([pa.record_batch([texts], names=["text"])]):
+                words = Words(LOWER[text], offsets, APART)
+                h = words.hashes().view(np.int64)
+                hit = toxic[np.minimum(np.searchsorted(toxic, h), len(toxic) - 1)] == h
+                out.append(np.bincount(words.doc[hit], minlength=len(offsets) - 1) > 0)
+            return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+        return arrow_udf(harmful, "boolean")(F.col("text")) if len(sent.value) else F.lit(False)
+
     def fence(self) -> Column:
         """A document's highest log-perplexity."""
         out = F.lit(self.fences.get(None)).cast("double")
@@ -212,15 +271,15 @@ class Model:
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, perplexity, threshold, kept) of every document."""
     model = Model(docs, labels)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), model.score().alias("x"), model.fence().alias("most"))
-    return out.select("doc_id", F.exp("x").alias("perplexity"), F.exp("most").alias("threshold"), _kept(F.col("x"), F.col("most")).alias("kept"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), model.score().alias("x"), model.fence().alias("most"), model.harmful().alias("harmful"))
+    return out.select("doc_id", F.exp("x").alias("perplexity"), F.exp("most").alias("threshold"), _kept(F.col("x"), F.col("most"), F.col("harmful")).alias("kept"))
 
 
-def _kept(x: Column, most: Column) -> Column:
-    return F.coalesce((x <= most) | (x.isNotNull() & most.isNull()), F.lit(False))
+def _kept(x: Column, most: Column, harmful: Column) -> Column:
+    return F.coalesce((x <= most) | (x.isNotNull() & most.isNull()), F.lit(False)) & ~harmful
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns; no shuffle of texts."""
     model = Model(docs, labels)
-    return docs.where(_kept(model.score(), model.fence()))
+    return docs.where(_kept(model.score(), model.fence(), model.harmful()))

@@ -291,3 +291,12 @@ def test_lines_of_every_repeated_passage_go(spark):
     got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     for d, text in rows:
         assert got[d] == (text if d < 200 else "\n".join([*copies[d][0], *copies[d][2]]))
+
+
+def test_quality_of_toxic_words(spark):
+    """Toxic documents of otherwise clean prose go, by words that the labels of other documents show; clean ones stay."""
+    whole, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rates = quality.classified(whole, labels.where(half)).join(labels.where(~half), "doc_id").where("quality = 1").groupBy("toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r.toxic: r.kept for r in rates.collect()}
+    assert kept[1] < 0.5 and kept[0] > 0.99
