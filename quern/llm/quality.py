@@ -15,8 +15,10 @@ hashed), in runs of ORDER; a language's model has SYMBOLS**ORDER entries at most
    if it holds a word that is LEAST_RATIO times as frequent among toxic documents, at SURE standard errors below the
    estimate. Hashes of those words only are broadcast.
 
-The LANGUAGES languages with the most trusted text have models of their own; the others, and documents without a
-language, take the model of all trusted text. So do fences of languages with under LEAST_DOCUMENTS trusted documents.
+Every language with trusted text has a model and a fence of its own, both smoothed alike at every size: a language's
+probabilities weigh as many as its trusted characters, those of all trusted text SMOOTH_CHARACTERS; its quantiles weigh as
+many as its trusted documents, those of all SMOOTH_DOCUMENTS. Documents of no such language take the model and fence of
+all trusted text. Workers unpack the tables of the languages that they meet, UNPACKED at a time.
 Null or empty texts have no perplexity and are rejected. Without any trusted text nothing else is rejected. Rows that
 share an id are scored each on their own and trusted together. Texts may have any length.
 """
@@ -28,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -37,13 +40,14 @@ from quern.llm.words import LOWER, Words, text_chunks
 from quern.runtime import ship, written
 
 SYMBOLS, ORDER = 40, 4
-LANGUAGES, LEAST_DOCUMENTS = 8, 100
+SMOOTH_CHARACTERS, SMOOTH_DOCUMENTS = 50_000, 100
 HIGH, MARGIN = 0.995, 1.0
 LEAST_RATIO, SURE = 5.0, 3.0
 #: Tables are sent in so many steps to one unit of negative log-probability, and compressed.
 STEPS = 3000
-#: This worker's table.
-_unpacked: dict[str, np.ndarray] = {}
+#: This worker's tables, by model and language; the last used last.
+UNPACKED = 9
+_unpacked: dict[tuple[str, int], np.ndarray] = {}
 #: Characters that a task counts at once.
 HELD = 4_000_000
 
@@ -172,37 +176,61 @@ def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tables(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, bytes], DataFrame]:
     """Dense negative log-probabilities by language (None: all), in steps and compressed; and the trusted ids."""
+    return sized_tables(docs, labels)[:2]
+
+
+def sized_tables(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, bytes], DataFrame, dict[str, int]]:
+    """tables(), and each language's trusted characters."""
     ship(docs.sparkSession)
     ids = written(trusted_ids(labels), "trusted")
     known = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     text = only(known, ids).join(ids, "doc_id", "left_semi").select("lang", "text")
     grams = written(text.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    most = [x.lang for x in grams.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    sizes = {x.lang: x.n for x in grams.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
     # the model of all text is "*", a language's model "=" and its name: a key without nulls
     every = grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "gram", "n")
-    seen, weights = kneser_ney(grams.where(F.col("lang").isin(most)).withColumn("lang", F.concat(F.lit("="), "lang")).union(every))
+    seen, weights = kneser_ney(grams.where("lang is not null").withColumn("lang", F.concat(F.lit("="), "lang")).union(every))
     seen, weights = written(seen, "seen"), written(weights, "weights")
     out: dict[str | None, bytes] = {}
-    for lang in [*most, None]:
-        own = lambda x, size: x.where((F.col("lang") == ("*" if lang is None else f"={lang}")) & (F.col("size") == size)).drop("lang", "size").toArrow()  # noqa: B023, E731  at most SYMBOLS**ORDER rows
+    for lang in [*sizes, None]:
+        own = lambda x: x.where(F.col("lang") == ("*" if lang is None else f"={lang}")).drop("lang").toArrow()  # noqa: B023, E731  at most SYMBOLS**ORDER rows a size
+        of_size = lambda x, size: x.filter(pc.equal(x.column("size"), size))
+        all_high, all_low = own(seen), own(weights)
         p = np.full(SYMBOLS, 1 / SYMBOLS)
         for size in range(1, ORDER + 1):
-            high, low = own(seen, size), own(weights, size)
+            high, low = of_size(all_high, size), of_size(all_low, size)
             share = np.ones(SYMBOLS ** (size - 1))
             share[low.column("context").to_numpy()] = low.column("weight").to_numpy()
             # the shorter run's probability, for every first character
             p = (share.reshape(-1, len(p) // SYMBOLS, 1) * p.reshape(1, -1, SYMBOLS)).reshape(-1)
             p[high.column("gram").to_numpy()] += high.column("p").to_numpy()
-        out[lang] = zlib.compress(np.minimum(np.log(p) * -STEPS + 0.5, 65535).astype(np.uint16).tobytes(), 1)
-    return out, ids
+        out[lang] = _packed(p)
+    return out, ids, sizes
+
+
+def _packed(p: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(np.log(p) * -STEPS + 0.5, 65535).astype(np.uint16).tobytes(), 1)
+
+
+def smoothed(found: dict[str | None, bytes], characters: dict[str, int]) -> dict[str | None, bytes]:
+    """tables() with every language's probabilities mixed with those of all trusted text."""
+    chance = lambda table: np.exp(np.frombuffer(zlib.decompress(table), np.uint16) / -STEPS)
+    every = chance(found[None])
+    own = {k: characters.get(k, 0) / (characters.get(k, 0) + SMOOTH_CHARACTERS) for k in found if k is not None}
+    return {k: x if k is None else _packed(own[k] * chance(x) + (1 - own[k]) * every) for k, x in found.items()}
 
 
-def unpacked(name: str, packed: list[bytes]) -> np.ndarray:
-    """This worker's tables, one after the other, unpacked once."""
-    if name not in _unpacked:
-        _unpacked.clear()
-        _unpacked[name] = np.frombuffer(b"".join(map(zlib.decompress, packed)), np.uint16)
-    return _unpacked[name]
+def unpacked(name: str, k: int, packed: list[bytes]) -> np.ndarray:
+    """A table, unpacked once as long as this worker needs no more than UNPACKED others."""
+    table = _unpacked.pop((name, k), None)
+    if table is None:
+        for old in [x for x in _unpacked if x[0] != name]:
+            del _unpacked[old]
+        while len(_unpacked) >= UNPACKED:
+            del _unpacked[next(iter(_unpacked))]
+        table = np.frombuffer(zlib.decompress(packed[k]), np.uint16)
+    _unpacked[name, k] = table
+    return table
 
 
 class Model:
@@ -210,7 +238,8 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         self.toxic = docs.sparkSession.sparkContext.broadcast(toxic_words(docs, labels))
-        found, ids = tables(docs, labels)
+        found, ids, sizes = sized_tables(docs, labels)
+        found = smoothed(found, sizes)
         self.langs = [x for x in found if x is not None]
         self.sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [found[x] for x in [*self.langs, None]], {x: k for k, x in enumerate(self.langs)}))
         scored = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), self.lang().alias("lang"), self.score().alias("x"))
@@ -218,9 +247,11 @@ class Model:
         good = scored.join(ids, "doc_id", "left_semi").where("x is not null")
         quantiles = lambda x: F.percentile_approx("x", [0.5, HIGH], 10_000).alias(x)
         rows = written(good, "good")
-        self.fences = {x.lang: x.q for x in rows.groupBy("lang").agg(quantiles("q"), F.count("*").alias("n")).where(f"lang is not null and n >= {LEAST_DOCUMENTS}").collect()}
         every = rows.agg(quantiles("q")).first().q
-        self.fences = {k: hi + MARGIN * (hi - mid) for k, (mid, hi) in [*self.fences.items(), *([(None, every)] if every else [])]}
+        self.fences = {None: every[1] + MARGIN * (every[1] - every[0])} if every else {}
+        for r in rows.where("lang is not null").groupBy("lang").agg(quantiles("q"), F.count("*").alias("n")).collect():
+            mid, hi = (x + (y - x) * SMOOTH_DOCUMENTS / (r.n + SMOOTH_DOCUMENTS) for x, y in zip(r.q, every, strict=True))
+            self.fences[r.lang] = hi + MARGIN * (hi - mid)
 
     def lang(self) -> Column:
         """The model that a document's language takes."""
@@ -232,15 +263,19 @@ class Model:
 
         def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
             name, packed, number = sent.value
-            flat, out = unpacked(name, packed), []
-            for part, text, offsets in text_chunks([pa.record_batch([texts, langs], names=["text", "lang"])]):
-                codes, counts = coded(text, offsets)
-                row = np.array([number.get(x, len(number)) for x in part.column(1).to_pylist()], np.int64)
-                cost = np.concatenate(([0], np.cumsum(flat[codes + np.repeat(row, counts) * SYMBOLS**ORDER], dtype=np.int64)))
-                edges = np.concatenate(([0], np.cumsum(counts)))
-                total = cost[edges[1:]] - cost[edges[:-1]]
-                out.append(pa.array(total / STEPS / np.maximum(counts, 1), mask=counts == 0))
-            return pa.concat_arrays(out) if out else pa.array([], pa.float64())
+            which = np.array([number.get(x, len(number)) for x in langs.to_pylist()], np.int64)
+            out = np.full(len(texts), np.nan)
+            for k in np.unique(which):
+                rows, at = np.flatnonzero(which == k), 0
+                table = unpacked(name, int(k), packed)
+                for part, text, offsets in text_chunks([pa.record_batch([texts.take(pa.array(rows))], names=["text"])]):
+                    codes, counts = coded(text, offsets)
+                    cost = np.concatenate(([0], np.cumsum(table[codes], dtype=np.int64)))
+                    edges = np.concatenate(([0], np.cumsum(counts)))
+                    total = cost[edges[1:]] - cost[edges[:-1]]
+                    out[rows[at : at + len(part)]] = np.where(counts > 0, total / STEPS / np.maximum(counts, 1), np.nan)
+                    at += len(part)
+            return pa.array(out, from_pandas=True)
 
         return arrow_udf(score, "double")(F.col("text"), F.col("lang"))
 
@@ -261,11 +296,9 @@ class Model:
 
     def fence(self) -> Column:
         """A document's highest log-perplexity."""
-        out = F.lit(self.fences.get(None)).cast("double")
-        for lang, x in self.fences.items():
-            if lang is not None:
-                out = F.when(F.col("lang") == lang, F.lit(x)).otherwise(out)
-        return out
+        every = F.lit(self.fences.get(None)).cast("double")
+        own = [F.lit(x) for lang, fence in self.fences.items() if lang is not None for x in (lang, fence)]
+        return F.coalesce(F.create_map(*own)[F.col("lang")], every) if own else every
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

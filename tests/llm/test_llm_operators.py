@@ -300,3 +300,17 @@ def test_quality_of_toxic_words(spark):
     rates = quality.classified(whole, labels.where(half)).join(labels.where(~half), "doc_id").where("quality = 1").groupBy("toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
     kept = {r.toxic: r.kept for r in rates.collect()}
     assert kept[1] < 0.5 and kept[0] > 0.99
+
+
+def test_quality_of_many_languages(spark):
+    """The ninth and later languages have models and fences of their own too."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(12):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k : k + 8]) for _ in range(rng.randint(2, 8))) for _ in range(60)]
+        rows += [(1000 * k + i, f"l{k:02}", " ".join(rng.choice(words) for _ in range(120))) for i in range(60 if k < 8 else 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = quality.Model(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert model.langs == [f"l{k:02}" for k in range(12)] and set(model.fences) == {None, *model.langs}
+    x = {r.lang: (r.own, r.other) for r in docs.select("lang", model.score().alias("own"), F.lit("unknown").alias("lang2"), "text").withColumn("l", F.col("lang")).withColumn("lang", F.col("lang2")).withColumn("other", model.score()).groupBy("l").agg(F.avg("own").alias("own"), F.avg("other").alias("other")).withColumnRenamed("l", "lang").collect()}
+    assert all(own < other for own, other in x.values())
