@@ -92,13 +92,16 @@ SPELLED = {
 }
 _SPELLED = "|".join(sorted(SPELLED, key=len, reverse=True))
 _POINT = r"dot|point|punkt|punto|period"
-#: Two digit words in a row, the least that a rewriting of digits needs.
-_HINT = re.compile(rf"\b(?:{_SPELLED})[\s,.-]{{1,3}}(?:{_SPELLED})\b")
+#: A digit word with another or a numeral beside it, across what a run of digits may hold: the least that a rewriting needs.
+_BETWEEN = rf"(?:\s+(?:{_POINT})\s+|[\s,-]{{1,3}}|\.)+(?:(?:double|triple)[\s-]+)?"
+_HINT = re.compile(rf"\b(?:{_SPELLED}){_BETWEEN}(?:{_SPELLED}|[0-9])|[0-9]{_BETWEEN}(?:{_SPELLED})\b|\b(?:double|triple)[\s-]+(?:{_SPELLED})\b")
 _DIGIT_RUN = re.compile(rf"(?<!\w)(?:(?:{_SPELLED}|[0-9]+|double|triple)(?:\s+(?:{_POINT})\s+|[\s,-]{{1,3}}|\.))*(?:{_SPELLED})(?!\w)", re.I)
 _TOKEN = re.compile(rf"(?P<word>(?<!\w)(?:{_SPELLED})(?!\w))|(?P<many>(?<!\w)(?:double|triple)[\s-]+(?=(?:{_SPELLED})(?!\w)))", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[\s-]+(?=\+?[0-9])", re.I)
 _BRACKET = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>at|@|arroba|chez|ät)|(?P<dot>{_POINT}|\.)|(?P<dash>dash|hyphen|-))\s*[\])}}>]\s*", re.I)
 _BARE_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+(?:\s+(?:{_POINT})\s+[A-Za-z0-9_%+-]+)*?(?:\s*@\s*|\s+at\s+|[_-]at[_-]|\s+arroba\s+)[A-Za-z0-9-]+(?:(?:\.|\s+(?:{_POINT})\s+|\s*\.\s*|[_-](?:dot)[_-])[A-Za-z0-9-]+)*?(?:\s+(?:{_POINT})\s+|[_-]dot[_-])(?!(?:and|the|or|of|to|in|is|it|at|an|as|dot)\b)[A-Za-z]{{2,24}}(?:\s+(?:{_POINT})\s+[A-Za-z]{{2,24}})*(?![A-Za-z0-9])", re.I)
+#: Disguises of the @ alone, before a domain with plain dots; a spelled one only where the whole stands for an address.
+_AT_ONLY = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?P<at>\s+@\s*|\s*@\s+|\s+(?:at|arroba|chez|ät)\s+|[_-]at[_-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(r"\s*@\s*|\s+at\s+|[_-]at[_-]|\s+arroba\s+", re.I)
 _BARE_DOT = re.compile(rf"\s+(?:{_POINT})\s+|[_-]dot[_-]|\s*\.\s*", re.I)
 _BARE_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\s+(?:{_POINT})\s+[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -180,6 +183,8 @@ def rewritten(text: str) -> Rewritten | None:
         out.rewrite([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
     if "[" in text or "(" in text or "{" in text or "<" in text:
         out.rewrite([(*m.span(), "@" if m["at"] else "." if m["dot"] else "-") for m in _BRACKET.finditer(out.text)])
+    if "." in low and ("@" in low or "at" in low or "arroba" in low or "chez" in low or "ät" in low):
+        out.rewrite([(*m.span("at"), "@") for m in _AT_ONLY.finditer(out.text)])
     if any(w in low for w in ("dot", "point", "punkt", "punto", "period")):
         edits = []
         for m in _BARE_EMAIL.finditer(out.text):

@@ -314,3 +314,16 @@ def test_quality_of_many_languages(spark):
     assert model.langs == [f"l{k:02}" for k in range(12)] and set(model.fences) == {None, *model.langs}
     x = {r.lang: (r.own, r.other) for r in docs.select("lang", model.score().alias("own"), F.lit("unknown").alias("lang2"), "text").withColumn("l", F.col("lang")).withColumn("lang", F.col("lang2")).withColumn("other", model.score()).groupBy("l").agg(F.avg("own").alias("own"), F.avg("other").alias("other")).withColumnRenamed("l", "lang").collect()}
     assert all(own < other for own, other in x.values())
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("dns eight dot eight dot eight dot eight now", "ip", "eight dot eight dot eight dot eight"), ("call +1 two 3 four 5 six 7 eight 9 ok", "phone", "+1 two 3 four 5 six 7 eight 9"),
+        ("write maria arroba correo.es hoy", "email", "maria arroba correo.es"), ("write maria @ correo.es hoy", "email", "maria @ correo.es"), ("write maria at correo.es", "email", "maria at correo.es"),
+        ("jane at mail.example dot com!", "email", "jane at mail.example dot com"),
+    ],
+)
+def test_disguises_of_few_marks(text, kind, found):
+    _, added = pii.spans(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, found)]
