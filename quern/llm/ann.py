@@ -7,7 +7,7 @@ the ratio of its norm to its approximation's, and itself.
 
 A scan compares all stored vectors with all queries: inner products with the approximation are sums of table lookups
 (a query's products with all codewords), corrected by the stored norms. Each task keeps, of every piece of PIECE vectors,
-the RERANK best by that score for exact inner products in double precision (summed in the order of components), and of
+the RERANK best ids by that score (all rows as good) for exact inner products in double precision (summed in the order of components), and of
 those the best of the task; tasks' lists are merged by query. Queries go to the tasks in blocks of QUERY_BLOCK.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than most.
@@ -114,9 +114,12 @@ def index(vectors: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, higher scores first, then smaller ids."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    """The k best ids of each row, each once with its best score; higher scores first, then smaller ids."""
     rows = np.arange(len(scores))[:, None]
+    order = np.lexsort((-scores, ids), axis=1)
+    scores, ids = scores[rows, order], ids[rows, order]
+    scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
     return scores[rows, order], ids[rows, order]
 
 
@@ -129,6 +132,8 @@ def _searched(sent, length: int, k: int, rerank: int):
             for piece in range(0, len(b), PIECE):
                 part = b.slice(piece, PIECE)
                 ids = part.column(0).to_numpy()
+                by_id = np.argsort(ids, kind="stable")
+                groups = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
                 codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
                 scale, x = part.column(2).to_numpy(), _matrix(part.column(3), length).astype(np.float64)
                 for a in range(0, len(asked), AT_ONCE):
@@ -137,7 +142,12 @@ def _searched(sent, length: int, k: int, rerank: int):
                     for m in range(codes.shape[1]):
                         rough += tables[mine, m][:, codes[:, m]]
                     rough *= scale
+                    rough[asked[mine, None] == ids] = -np.inf
                     n = min(rerank, len(ids))
+                    if len(groups) < len(ids):  # as many rows as hold the `rerank` best ids, each counted by its best row
+                        most = np.maximum.reduceat(rough[:, by_id], groups, axis=1)
+                        last = -np.partition(-most, min(rerank, len(groups)) - 1, axis=1)[:, [min(rerank, len(groups)) - 1]]
+                        n = int((rough >= last).sum(axis=1).max())
                     chosen = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                     score = np.zeros(chosen.shape)
                     for d in range(length):  # in the order of components

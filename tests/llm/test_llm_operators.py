@@ -327,3 +327,15 @@ def test_quality_of_many_languages(spark):
 def test_disguises_of_few_marks(text, kind, found):
     _, added = pii.spans(text)
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, found)]
+
+
+def test_ann_of_repeated_ids(spark):
+    """Hundreds of copies of the query's own id and of its nearest neighbour in one partition take no other neighbour's place."""
+    rng = np.random.default_rng(8)
+    data = {i: rng.normal(size=16).astype(np.float32).tolist() for i in range(60)}
+    data[1] = [2 * x for x in data[0]]
+    rows = [*data.items(), *[(0, data[0])] * 250, *[(1, data[1])] * 250]
+    every = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = ann.search(every, every.where("vec_id = 0")).orderBy("rank").collect()
+    score = {i: float(np.dot(np.array(data[0], np.float64), np.array(x, np.float64))) for i, x in data.items() if i}
+    assert [r.vec_id for r in got] == sorted(score, key=lambda i: (-score[i], i))[:20]
