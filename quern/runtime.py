@@ -87,6 +87,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later result reads. Anything that reads more than one folder is passed over."""
+    for df in tables:
+        folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        for path in [p for p in _paths if folders == {p.rpartition("/")[2]}]:
+            drop_path(df.sparkSession, path)
+            _paths.remove(path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of new_path() through Hadoop's file system."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
