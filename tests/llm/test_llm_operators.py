@@ -204,12 +204,31 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
         for _ in range(rng.randint(0, 9)):
             w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         rows.append((d, " ".join(w)))
-    monkeypatch.setattr(neardup, "FEW", 4)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 4000)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.near(rows)
 
 
+def test_near_duplicates_under_one_id(spark):
+    """Rows of one id with different texts: what either text links with is reached by all; classes are not told by their id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, b), (8, a), (1, c), (9, c + " more"), (9, b), (20, "x y"), (None, a), (21, None), (21, "")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (7, 1, False), (8, 1, False), (9, 1, False), (20, 20, True), (21, 21, True), (None, None, True)}
+    rows = rows[:4]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5)}
+
+
+def test_rows_left_out_under_clashing_names(spark):
+    """only() and without() keep every column, whatever its name."""
+    df = spark.createDataFrame([(i, str(i), i, i, i, i) for i in range(50)] + [(None, "n", 0, 0, 0, 0)], "doc_id int, text string, slot int, word int, bits int, gone int")
+    ids = spark.createDataFrame([(3,), (7,), (99,)], "doc_id long")
+    left = neardup.without(df, ids)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {None, *range(50)} - {3, 7} and left.count() == 49
+    assert {3, 7} <= {r.doc_id for r in neardup.only(df, ids).collect()} and neardup.only(df, ids).columns == df.columns
+
+
 def test_pii(docs, texts):
     rng = random.Random(5)
     for _ in range(20_000):
