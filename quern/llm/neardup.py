@@ -184,7 +184,8 @@ def _each_shingle(it):
 def _opened(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes that may link with another one: (class, doc, n, f1, f2, keys, central), and (class, sig, set) of all that share a key."""
     keys = classes.select("class", "sig").mapInArrow(_keys, "key long, class long")
-    shared = keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("classes")).where("least < most").select("key", "classes")
+    # written, as those below, so that a key of many rows is split when it is joined
+    shared = written(keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("classes")).where("least < most").select("key", "classes"), "shared")
     of_class = keys.join(shared, "key").groupBy("class").agg(F.collect_list("key").alias("keys"), F.sum("classes").alias("central"))  # 64 keys at most
     open_ = written(of_class.join(classes, "class"), "open")
     sets = only(docs, open_.select(F.col("doc").alias("doc_id"))).mapInArrow(_sets(shingle), "doc_id long, f1 long, f2 long, set binary")
@@ -194,7 +195,7 @@ def _opened(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
     own = each.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("most")).where("class = most").groupBy("class").agg(F.count("*").alias("own"))
     able = open_.drop("sig", "set").join(own, "class", "left").where(f"100 * (n - coalesce(own, 0)) >= {percent} * n").drop("own")
     able = written(able, "able")
-    drop(open_)
+    drop(shared, open_)
     return able, sets
 
 
@@ -202,7 +203,10 @@ def _grouped(able: DataFrame) -> DataFrame:
     """(class, n, pivots): the pivot of each of a class's keys that others share."""
     rows = able.select("class", "n", "central", F.explode("keys").alias("key"))
     pivot = rows.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("minus"), "class")).alias("p"), F.count("*").alias("classes")).where("classes > 1")
-    return rows.join(pivot.select("key", F.col("p.class").alias("pivot")), "key").groupBy("class").agg(F.first("n").alias("n"), F.collect_list("pivot").alias("pivots"))
+    pivot = written(pivot.select("key", F.col("p.class").alias("pivot")), "pivots")
+    groups = written(rows.join(pivot, "key").groupBy("class").agg(F.first("n").alias("n"), F.collect_list("pivot").alias("pivots")), "groups")
+    drop(pivot)
+    return groups
 
 
 def _first_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,6 +238,7 @@ def _later_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     parts = members.groupBy("pivot", "label").agg(F.sum("n").alias("n"), F.max(F.col("class") == F.col("pivot")).alias("own"))
     blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
     sizes = parts.groupBy("pivot").agg(F.max(F.when(F.col("own"), F.col("label"))).alias("home"), blocks(F.sum(F.when(F.col("own"), F.col("n")))).alias("inside"), blocks(F.sum(F.when(~F.col("own"), F.col("n")))).alias("outside")).where("outside > 0")
+    sizes = written(sizes, "sizes")
     # blocks of the pivot's component come first, then those of the others; a block of others meets every block
     dealt = members.join(sizes, "pivot").withColumn("at_home", F.col("label") == F.col("home"))
     hashed = F.xxhash64("class", "pivot")
@@ -242,7 +247,7 @@ def _later_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     dealt = dealt.join(sets.select("class", "set"), "class").withColumn("with", F.explode(met))
     dealt = dealt.select("pivot", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "class", "label", "block", "set")
     found = written(dealt.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high").mapInArrow(_compared(percent), "a long, b long"), "later-links")
-    drop(labelled)
+    drop(labelled, sizes)
     return found
 
 
@@ -334,7 +339,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     # numbers of classes are fixed by the write
     classes = written(firsts.select(F.monotonically_increasing_id().alias("class"), "n", "f1", "f2", F.col("first.doc_id").alias("doc"), F.col("first.sig").alias("sig")), "classes")
     able, sets = _opened(docs.where("doc_id is not null"), classes, shingle, percent)
-    groups = written(_grouped(able), "groups")
+    groups = _grouped(able)
     roots = _rooted(_first_links(groups, sets, percent))
     edges = later = _later_links(groups, roots, sets, percent)
     same = _of_one_id(signed, classes)
@@ -350,6 +355,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     least = linked.groupBy("label").agg(F.min("doc").alias("component_id"), F.count("*").alias("classes")).where("classes > 1")
     linked = linked.join(least, "label").select("n", "f1", "f2", "component_id")
     of_class = classes.select("n", "f1", "f2", F.col("doc").alias("component_id")).union(linked).groupBy(F.col("n").alias("n_shingles"), "f1", "f2").agg(F.min("component_id").alias("component_id"))
+    of_class = written(of_class, "components")
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
