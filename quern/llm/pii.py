@@ -4,8 +4,11 @@ Base spans: leftmost matches that don't overlap, by kind, on the text as it is.
 homoglyphs, invisible characters, spelled digits and at/dot disguises, and keep for each rewritten piece where it came
 from; the same detectors run on the rewritten text, and what they find across a rewritten piece is mapped back.
 
-Null texts count as empty: no spans. Repeated rows and ids are scanned each on their own. Texts may have any length;
-detectors are anchored (on @, on the first digit of a run, on +), so the time is linear in it. No shuffle.
+Null texts count as empty: no spans. Repeated rows and ids are scanned each on their own; an empty table gives an empty
+result; other columns don't matter, whatever their names. Texts may have any length: detectors and transducers are anchored
+(on @ or a word for it, on brackets, on digit words, on the first digit of a run, on +) and look at each gap between two
+anchors once, so the time is linear in it. A disguised address reaches REACH characters to either side of its sign at most,
+more than the longest that is valid (64 and 253). No shuffle.
 """
 
 from __future__ import annotations
@@ -92,17 +95,22 @@ SPELLED = {
 }
 _SPELLED = "|".join(sorted(SPELLED, key=len, reverse=True))
 _POINT = r"dot|point|punkt|punto|period"
-#: A digit word with another or a numeral beside it, across what a run of digits may hold: the least that a rewriting needs.
-_BETWEEN = rf"(?:\s+(?:{_POINT})\s+|[\s,-]{{1,3}}|\.)+(?:(?:double|triple)[\s-]+)?"
-_HINT = re.compile(rf"\b(?:{_SPELLED}){_BETWEEN}(?:{_SPELLED}|[0-9])|[0-9]{_BETWEEN}(?:{_SPELLED})\b|\b(?:double|triple)[\s-]+(?:{_SPELLED})\b")
-_DIGIT_RUN = re.compile(rf"(?<!\w)(?:(?:{_SPELLED}|[0-9]+|double|triple)(?:\s+(?:{_POINT})\s+|[\s,-]{{1,3}}|\.))*(?:{_SPELLED})(?!\w)", re.I)
-_TOKEN = re.compile(rf"(?P<word>(?<!\w)(?:{_SPELLED})(?!\w))|(?P<many>(?<!\w)(?:double|triple)[\s-]+(?=(?:{_SPELLED})(?!\w)))", re.I)
+_WORD = re.compile(rf"(?<!\w)(?:{_SPELLED})(?!\w)", re.I)
+_MANY = re.compile(r"(?<!\w)(?:double|triple)[\s-]{1,3}\Z", re.I)
+#: What may stand between two digit words of one run: points, signs, numerals.
+_STEP = rf"(?:\s+(?:{_POINT})\s+|[\s,-]{{1,3}}|\.)"
+_GAP = re.compile(rf"{_STEP}(?:(?:[0-9]+|double|triple){_STEP})*", re.I)
+#: Characters that a disguised address may have on either side of its sign.
+REACH = 330
 _PLUS = re.compile(r"(?<!\w)plus[\s-]+(?=\+?[0-9])", re.I)
-_BRACKET = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>at|@|arroba|chez|ät)|(?P<dot>{_POINT}|\.)|(?P<dash>dash|hyphen|-))\s*[\])}}>]\s*", re.I)
-_BARE_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+(?:\s+(?:{_POINT})\s+[A-Za-z0-9_%+-]+)*?(?:\s*@\s*|\s+at\s+|[_-]at[_-]|\s+arroba\s+)[A-Za-z0-9-]+(?:(?:\.|\s+(?:{_POINT})\s+|\s*\.\s*|[_-](?:dot)[_-])[A-Za-z0-9-]+)*?(?:\s+(?:{_POINT})\s+|[_-]dot[_-])(?!(?:and|the|or|of|to|in|is|it|at|an|as|dot)\b)[A-Za-z]{{2,24}}(?:\s+(?:{_POINT})\s+[A-Za-z]{{2,24}})*(?![A-Za-z0-9])", re.I)
+_BRACKET = re.compile(rf"[\[({{<]\s*(?:(?P<at>at|@|arroba|chez|ät)|(?P<dot>{_POINT}|\.)|(?P<dash>dash|hyphen|-))\s*[\])}}>]", re.I)
+_DOT = rf"(?:\s+(?:{_POINT})\s+|[_-]dot[_-])"
+#: Around the sign of an address with a spelled dot: what ends before it, and what begins after it.
+_BEFORE_AT = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{{1,64}}(?:\s+(?:{_POINT})\s+[A-Za-z0-9_%+-]{{1,64}})*\Z", re.I)
+_AFTER_AT = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\s*\.\s*)[A-Za-z0-9-]{{1,63}})*?{_DOT}(?!(?:and|the|or|of|to|in|is|it|at|an|as|dot)\b)[A-Za-z]{{2,24}}(?:\s+(?:{_POINT})\s+[A-Za-z]{{2,24}})*(?![A-Za-z0-9])", re.I)
+_SIGN = re.compile(r"\s+at\s+|[_-]at[_-]|\s+arroba\s+|\s*@\s*", re.I)
 #: Disguises of the @ alone, before a domain with plain dots; a spelled one only where the whole stands for an address.
 _AT_ONLY = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?P<at>\s+@\s*|\s*@\s+|\s+(?:at|arroba|chez|ät)\s+|[_-]at[_-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
-_BARE_AT = re.compile(r"\s*@\s*|\s+at\s+|[_-]at[_-]|\s+arroba\s+", re.I)
 _BARE_DOT = re.compile(rf"\s+(?:{_POINT})\s+|[_-]dot[_-]|\s*\.\s*", re.I)
 _BARE_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\s+(?:{_POINT})\s+[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
@@ -154,21 +162,51 @@ class Rewritten:
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     """Runs of three or more spelled digits (with numerals between them) as numerals."""
-    edits = []
-    for run in _DIGIT_RUN.finditer(text):
-        words = [m for m in _TOKEN.finditer(text, run.start(), run.end())]
-        if sum(m["word"] is not None for m in words) < 3:
-            continue
-        times, began, last = 1, None, None
-        for m in words:
-            if m["many"]:
-                times, began = (2 if m[0].lower().startswith("d") else 3), m.start()
-                continue
-            a = m.start() if began is None else began
-            if last is not None and not re.search(r"[^\s,-]", text[last:a]):
+    edits, runs = [], []
+    for m in _WORD.finditer(text):
+        if runs and _GAP.fullmatch(text, runs[-1][-1].end(), m.start()):
+            runs[-1].append(m)
+        else:
+            runs.append([m])
+    for run in runs:
+        last = None
+        for m in run if len(run) >= 3 else ():
+            many = _MANY.search(text, max(last or 0, m.start() - 12), m.start())
+            a = many.start() if many else m.start()
+            if last is not None and not text[last:a].strip(" \t\n\r\x0b\x0c,-"):
                 a = last  # the separator goes with it
-            edits.append((a, m.end(), SPELLED[m[0].lower()] * times))
-            times, began, last = 1, None, m.end()
+            edits.append((a, m.end(), SPELLED[m[0].lower()] * (1 if not many else 2 if many[0].lower().startswith("d") else 3)))
+            last = m.end()
+    return edits
+
+
+def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    """Bracketed signs, with the white space around them."""
+    edits, least = [], 0
+    for m in _BRACKET.finditer(text):
+        a, b = m.span()
+        while a > least and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, "@" if m["at"] else "." if m["dot"] else "-"))
+        least = b
+    return edits
+
+
+def _address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Addresses with a spelled dot, around each word or sign for @."""
+    edits, least = [], 0
+    for sign in _SIGN.finditer(text):
+        a, b = sign.span()
+        if a < least:
+            continue
+        before = _BEFORE_AT.search(text, max(least, a - REACH), a)
+        after = before and _AFTER_AT.match(text, b, b + REACH)
+        if after:
+            dots = [(*d.span(), ".") for x, y in ((before.start(), a), (b, after.end())) for d in _BARE_DOT.finditer(text, x, y)]
+            edits += sorted([(a, b, "@"), *dots])
+            least = after.end()
     return edits
 
 
@@ -178,20 +216,15 @@ def rewritten(text: str) -> Rewritten | None:
     if not text.isascii() and _ODD.search(text):
         out.rewrite([(m.start() + k, m.start() + k + 1, c.translate(_MAP)) for m in _GLYPH.finditer(text) for k, c in enumerate(m[0])])
         low = out.text.lower()
-    if _HINT.search(low):
-        out.rewrite(_digit_edits(out.text))
+    if edits := _digit_edits(out.text):
+        out.rewrite(edits)
         out.rewrite([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
     if "[" in text or "(" in text or "{" in text or "<" in text:
-        out.rewrite([(*m.span(), "@" if m["at"] else "." if m["dot"] else "-") for m in _BRACKET.finditer(out.text)])
+        out.rewrite(_bracket_edits(out.text))
     if "." in low and ("@" in low or "at" in low or "arroba" in low or "chez" in low or "ät" in low):
         out.rewrite([(*m.span("at"), "@") for m in _AT_ONLY.finditer(out.text)])
     if any(w in low for w in ("dot", "point", "punkt", "punto", "period")):
-        edits = []
-        for m in _BARE_EMAIL.finditer(out.text):
-            at = next(_BARE_AT.finditer(out.text, m.start(), m.end()))
-            marks = [(*at.span(), "@"), *((*d.span(), ".") for d in _BARE_DOT.finditer(out.text, at.end(), m.end())), *((*d.span(), ".") for d in _BARE_DOT.finditer(out.text, m.start(), at.start()))]
-            edits += sorted(marks)
-        out.rewrite(edits)
+        out.rewrite(_address_edits(out.text))
         out.rewrite([(*d.span(), ".") for m in _BARE_IP.finditer(out.text) for d in _BARE_DOT.finditer(out.text, *m.span())])
     return out if out.cuts else None
 
