@@ -1,107 +1,108 @@
 """Operator 4: a quality classifier by the perplexity of an interpolated modified Kneser-Ney model of characters.
 
 Trusted text: documents whose labels all say quality 1 and toxic 0. All of it is counted, in every language. The units
-are characters in SYMBOLS classes (small letters; capitals, digits, spaces and marks in few classes; other characters
-hashed), in runs of ORDER; a language's model has SYMBOLS**ORDER entries at most, which bounds what is broadcast.
-
-1. Tasks count the runs of trusted text; counts are summed in shards by (language, run).
-2. Continuation counts, counts of counts, discounts and context totals are joined shard by shard to the discounted
-   probability of each seen run and the weight of each context; the driver interpolates these into dense tables.
-3. A scan scores every document: the mean negative log-probability of its characters, exp() of which is its perplexity.
-4. A document is rejected beyond a fence of its language: HIGH quantile of the trusted documents' log-perplexity, plus
-   MARGIN of the distance from their median to that quantile.
+are characters as they are (every code point is its own symbol, none is folded), in runs of ORDER; what is gathered
+grows with the trusted text, without a cap.
+
+1. Tasks count the runs of trusted text, by language and half of the documents; counts are summed by run. From them come
+   models of each language and of all text: of either half, and of both.
+2. Continuation counts, counts of counts, discounts and context totals are joined by run and by context to the
+   discounted probability of each seen run and the weight that each context leaves to shorter runs.
+3. The counts are dealt to shards of about SHARD_ENTRIES, by the last two characters of the context, so that a character's
+   run and all its shorter ones meet in one shard (single characters and pairs stand in each). A shard is packed in one task and
+   joined to the documents map-side, shard by shard; a document's parts are summed. Documents aren't shuffled for it.
+4. A document's perplexity is exp of the mean negative log-probability of its characters. It is rejected beyond the HIGH
+   quantile of its language: of the trusted documents' log-perplexity under the model of the half that doesn't hold them,
+   as median plus distance from the median, the distance smoothed by that of all languages (SMOOTH_DOCUMENTS).
 5. Few words in clean prose don't move a document's mean, so words count by themselves: of every word (open vocabulary, any
    number) the trusted documents and those labelled toxic that hold it are counted in shards. A document is rejected too
    if it holds a word that is LEAST_RATIO times as frequent among toxic documents, at SURE standard errors below the
    estimate. Hashes of those words only are broadcast.
 
-Every language with trusted text has a model and a fence of its own, both smoothed alike at every size: a language's
-probabilities weigh as many as its trusted characters, those of all trusted text SMOOTH_CHARACTERS; its quantiles weigh as
-many as its trusted documents, those of all SMOOTH_DOCUMENTS. Documents of no such language take the model and fence of
-all trusted text. Workers unpack the tables of the languages that they meet, UNPACKED at a time.
+Documents of a language without trusted text, or of none, take the model and quantile of all trusted text.
 Null or empty texts have no perplexity and are rejected. Without any trusted text nothing else is rejected. Rows that
-share an id are scored each on their own and trusted together. Texts may have any length.
+share an id are scored each on their own and trusted together; equal rows get equal scores. An empty table gives an empty
+result. Extra columns are kept by filtered(), whatever their names. Texts may have any length.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.neardup import only
-from quern.llm.words import LOWER, Words, text_chunks
-from quern.runtime import ship, written
+from quern.llm.neardup import fresh, only
+from quern.llm.words import LOWER, Words, mix, text_chunks
+from quern.runtime import drop, ship, written
 
-SYMBOLS, ORDER = 40, 4
-SMOOTH_CHARACTERS, SMOOTH_DOCUMENTS = 50_000, 100
-HIGH, MARGIN = 0.995, 1.0
+ORDER = 5
+SMOOTH_DOCUMENTS = 100
+HIGH = 0.995
 LEAST_RATIO, SURE = 5.0, 3.0
-#: Tables are sent in so many steps to one unit of negative log-probability, and compressed.
-STEPS = 3000
-#: This worker's tables, by model and language; the last used last.
-UNPACKED = 9
-_unpacked: dict[tuple[str, int], np.ndarray] = {}
+#: Runs and contexts that are sent to the tasks at once, about.
+SHARD_ENTRIES = 2_000_000
 #: Characters that a task counts at once.
-HELD = 4_000_000
+HELD = 2_000_000
 
-
-def symbol_classes() -> np.ndarray:
-    """The class of each code point."""
-    point = np.arange(0x110000)
-    out = (35 + point % 5).astype(np.uint8)
-    out[:128] = 33 + point[:128] % 2
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1], out[ord("0") : ord("9") + 1], out[ord(" ")], out[0x09:0x0E] = 26, 27, 28, 29
-    out[ord(".")], out[ord(",")], out[ord("'")], out[ord("-")] = 30, 31, 32, 32
-    return out
-
-
-CLASSES = symbol_classes()
+#: A chance below it counts as this (contexts that leave nothing to shorter runs).
+LEAST = 1e-9
+#: The model of all text; a language's own is "=" and its name. Those of the halves end in "\t0" and "\t1".
+EVERY = "*"
 #: What stands between words: ASCII other than letters and digits.
 APART = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
-_START = int(CLASSES[ord(" ")])
+_PAD = ord(" ")
+#: Weights of the characters of a run in its key, from the last one back.
+_WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64)) for k in range(ORDER)]
 
 
-def coded(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The run that ends at each character, as a number, and each document's number of characters; texts begin after spaces."""
+def padded(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of some documents, ORDER - 1 spaces before each; where each character stands; each document's number."""
     pad = ORDER - 1
     points = np.frombuffer(text.tobytes().decode().encode("utf-32-le"), np.uint32)
     before = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
     counts = np.diff(before[offsets])
-    n_docs = len(counts)
-    place = np.arange(len(points)) + pad * (1 + np.repeat(np.arange(n_docs), counts))
-    s = np.full(len(points) + pad * n_docs, _START, np.int64)
-    s[place] = CLASSES[points]
-    code = s[place]
-    for k in range(1, ORDER):
-        code = code + s[place - k] * SYMBOLS**k
-    return code, counts
+    place = np.arange(len(points)) + pad * (1 + np.repeat(np.arange(len(counts)), counts))
+    symbols = np.full(len(points) + pad * len(counts), _PAD, np.uint32)
+    symbols[place] = points
+    return symbols, place, counts
+
+
+def keys_of(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Keys of the runs of 1 to ORDER characters that end at each place."""
+    wide, total, out = symbols.astype(np.uint64) + np.uint64(1), np.zeros(len(place), np.uint64), []
+    for k in range(ORDER):
+        total = total + wide[place - k] * _WEIGHTS[k]
+        out.append(total)
+    return out
 
 
 def _counted(it):
-    """(lang, gram, n) of a task's trusted text; a null language stays null."""
-    held: dict[str | None, list[np.ndarray]] = {}
+    """(lang, half, gram, n) of a task's trusted text; a null language stays null."""
+    held: dict[tuple, list] = {}
     size = 0
 
     def emit():
-        for lang, codes in held.items():
-            grams, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        for (lang, half), runs in held.items():
+            every = np.concatenate(runs)
+            _, at, n = np.unique(keys_of(every.reshape(-1), np.arange(len(every)) * ORDER + ORDER - 1)[-1], return_index=True, return_counts=True)
+            joined = every[at].tobytes().decode("utf-32-le")
+            grams = [joined[k : k + ORDER] for k in range(0, len(joined), ORDER)]
+            yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array([half] * len(grams), pa.int32()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "half", "gram", "n"])
 
     for part, text, offsets in text_chunks(it):
-        codes, counts = coded(text, offsets)
-        langs = part.column(0).to_pylist()
+        symbols, place, counts = padded(text, offsets)
+        runs = np.lib.stride_tricks.sliding_window_view(symbols, ORDER)[place - ORDER + 1] if len(place) else np.zeros((0, ORDER), np.uint32)
         edges = np.concatenate(([0], np.cumsum(counts)))
-        for lang in set(langs):
-            held.setdefault(lang, []).append(np.concatenate([codes[edges[k] : edges[k + 1]] for k, x in enumerate(langs) if x == lang]))
-        size += len(codes)
+        whose = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        for who in set(whose):
+            held.setdefault(who, []).append(np.concatenate([runs[edges[k] : edges[k + 1]] for k, x in enumerate(whose) if x == who]))
+        size += len(place)
         if size >= HELD:
             yield from emit()
             held, size = {}, 0
@@ -128,7 +129,7 @@ def _worded(it):
         once = np.unique(np.stack([words.doc, words.hashes().view(np.int64)], axis=1), axis=0)
         held.append(np.stack([once[:, 1], toxic[once[:, 0]]], axis=1))
         size += len(once)
-        if size >= HELD // 8:
+        if size >= HELD // 4:
             yield emit(held)
             held, size = [], 0
     if size:
@@ -150,134 +151,244 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.sort(counts.where("t > 0").where(sure).select("word").toArrow().column(0).to_numpy())
 
 
-def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of counts (lang, gram, n) of runs of ORDER: (lang, size, gram, p) with the discounted probability of each seen run,
-    and (lang, size, context, weight) with the share that each context leaves to shorter runs."""
-    sizes = [grams.select("lang", F.lit(ORDER).alias("size"), "gram", "n")]
+def counted_models(text: DataFrame) -> DataFrame:
+    """(model, gram, n) of rows (lang, half, text): each language's and all text's, of either half and of both."""
+    grams = written(text.select("lang", "half", "text").mapInArrow(_counted, "lang string, half int, gram string, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")), "grams")
+    names = F.array(F.lit(EVERY), F.concat(F.lit("="), "lang"))
+    halves = F.array(F.lit(""), F.concat(F.lit("\t"), F.col("half").cast("string")))
+    each = grams.select("gram", "n", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("name"), halves.alias("halves"))
+    return each.select("gram", "n", "name", F.explode("halves").alias("half")).groupBy(F.concat("name", "half").alias("model"), "gram").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """Of counts (model, gram, n) of runs of ORDER: (model, size, gram, p, weight). Rows with p hold the discounted probability of a
+    seen run; rows with weight the share that a context of size - 1 characters leaves to shorter runs."""
+    sizes = [counts.select("model", F.lit(ORDER).alias("size"), "gram", "n")]
     for k in range(ORDER - 1, 0, -1):  # shorter runs count the different characters before them
-        longer = sizes[-1]
-        sizes.append(longer.groupBy("lang", F.expr(f"cast(gram % {SYMBOLS**k} as int)").alias("gram")).agg(F.count("*").alias("n")).select("lang", F.lit(k).alias("size"), "gram", "n"))
-    counts = sizes[0]
+        sizes.append(sizes[-1].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")).select("model", F.lit(k).alias("size"), "gram", "n"))
+    every = sizes[0]
     for x in sizes[1:]:
-        counts = counts.union(x)
-    counts = written(counts.withColumn("context", F.expr(f"cast(gram div {SYMBOLS} as int)")), "runs")
-    of = counts.groupBy("lang", "size").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        every = every.union(x)
+    every = written(every.withColumn("context", F.expr("substring(gram, 1, size - 1)")), "runs")
+    of = every.groupBy("model", "size").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.expr("coalesce(try_divide(n1, n1 + 2 * n2), 0)")
     discount = of.select(
-        "lang", "size",
-        *[F.coalesce(F.greatest(F.lit(0.0), F.try_divide(k * F.col(f"n{k}") - (k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)],
+        "model", "size",
+        *[F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(0.0), F.try_divide(k * F.col(f"n{k}") - (k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}")))).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)],
     )
-    context = counts.groupBy("lang", "size", "context").agg(F.sum("n").alias("total"), *[F.sum(x.cast("double")).alias(f"k{k}") for k, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") >= 3))])
-    context = context.join(discount, ["lang", "size"]).withColumn("weight", F.expr("(d1 * k1 + d2 * k2 + d3 * k3) / total"))
+    context = every.groupBy("model", "size", "context").agg(F.sum("n").alias("total"), *[F.sum(x.cast("double")).alias(f"k{k}") for k, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") >= 3))])
+    context = context.join(discount, ["model", "size"]).withColumn("weight", F.expr("(d1 * k1 + d2 * k2 + d3 * k3) / total"))
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    seen = counts.join(context, ["lang", "size", "context"]).select("lang", "size", "gram", ((F.col("n") - less) / F.col("total")).alias("p"))
-    return seen, context.select("lang", "size", "context", "weight")
-
-
-def tables(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, bytes], DataFrame]:
-    """Dense negative log-probabilities by language (None: all), in steps and compressed; and the trusted ids."""
-    return sized_tables(docs, labels)[:2]
-
-
-def sized_tables(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, bytes], DataFrame, dict[str, int]]:
-    """tables(), and each language's trusted characters."""
-    ship(docs.sparkSession)
-    ids = written(trusted_ids(labels), "trusted")
-    known = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    text = only(known, ids).join(ids, "doc_id", "left_semi").select("lang", "text")
-    grams = written(text.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    sizes = {x.lang: x.n for x in grams.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
-    # the model of all text is "*", a language's model "=" and its name: a key without nulls
-    every = grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "gram", "n")
-    seen, weights = kneser_ney(grams.where("lang is not null").withColumn("lang", F.concat(F.lit("="), "lang")).union(every))
-    seen, weights = written(seen, "seen"), written(weights, "weights")
-    out: dict[str | None, bytes] = {}
-    for lang in [*sizes, None]:
-        own = lambda x: x.where(F.col("lang") == ("*" if lang is None else f"={lang}")).drop("lang").toArrow()  # noqa: B023, E731  at most SYMBOLS**ORDER rows a size
-        of_size = lambda x, size: x.filter(pc.equal(x.column("size"), size))
-        all_high, all_low = own(seen), own(weights)
-        p = np.full(SYMBOLS, 1 / SYMBOLS)
-        for size in range(1, ORDER + 1):
-            high, low = of_size(all_high, size), of_size(all_low, size)
-            share = np.ones(SYMBOLS ** (size - 1))
-            share[low.column("context").to_numpy()] = low.column("weight").to_numpy()
-            # the shorter run's probability, for every first character
-            p = (share.reshape(-1, len(p) // SYMBOLS, 1) * p.reshape(1, -1, SYMBOLS)).reshape(-1)
-            p[high.column("gram").to_numpy()] += high.column("p").to_numpy()
-        out[lang] = _packed(p)
-    return out, ids, sizes
-
-
-def _packed(p: np.ndarray) -> bytes:
-    return zlib.compress(np.minimum(np.log(p) * -STEPS + 0.5, 65535).astype(np.uint16).tobytes(), 1)
-
-
-def smoothed(found: dict[str | None, bytes], characters: dict[str, int]) -> dict[str | None, bytes]:
-    """tables() with every language's probabilities mixed with those of all trusted text."""
-    chance = lambda table: np.exp(np.frombuffer(zlib.decompress(table), np.uint16) / -STEPS)
-    every = chance(found[None])
-    own = {k: characters.get(k, 0) / (characters.get(k, 0) + SMOOTH_CHARACTERS) for k in found if k is not None}
-    return {k: x if k is None else _packed(own[k] * chance(x) + (1 - own[k]) * every) for k, x in found.items()}
-
-
-def unpacked(name: str, k: int, packed: list[bytes]) -> np.ndarray:
-    """A table, unpacked once as long as this worker needs no more than UNPACKED others."""
-    table = _unpacked.pop((name, k), None)
-    if table is None:
-        for old in [x for x in _unpacked if x[0] != name]:
-            del _unpacked[old]
-        while len(_unpacked) >= UNPACKED:
-            del _unpacked[next(iter(_unpacked))]
-        table = np.frombuffer(zlib.decompress(packed[k]), np.uint16)
-    _unpacked[name, k] = table
-    return table
+    seen = every.join(context, ["model", "size", "context"]).select("model", "size", "gram", ((F.col("n") - less) / F.col("total")).alias("p"), F.lit(None).cast("double").alias("weight"))
+    return seen.union(context.select("model", "size", F.col("context").alias("gram"), F.lit(None).cast("double"), "weight"))
+
+
+class Shard:
+    """Runs and contexts of some models: log P of seen runs, log of the contexts' weights, by 64-bit key."""
+
+    def __init__(self, model: np.ndarray, size: np.ndarray, grams: list[str], p: np.ndarray, weight: np.ndarray, symbols: np.ndarray):
+        length = np.array([len(g) for g in grams])
+        points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(length)
+        run = np.isfinite(p)
+        keys, suffix, context = (np.zeros(len(grams), np.uint64) for _ in range(3))
+        for k in range(ORDER):  # from the last character back
+            here = length > k
+            add = np.zeros(len(grams), np.uint64)
+            add[here] = (points[ends[here] - 1 - k].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[k]
+            keys += add
+            suffix += np.where(length - 1 > k, add, np.uint64(0))
+            if k:
+                context[here] += (points[ends[here] - 1 - k].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[k - 1]
+        self.runs, self.rest = {}, {}
+        for k in range(1, ORDER + 1):
+            own = ~run & (size == k)
+            self.rest[k] = Lookup(salted(keys[own], model[own]), weight[own])
+            own = run & (size == k)
+            where = model[own]
+            below = 1.0 / (symbols[where] + 1) if k == 1 else self.runs[k - 1].get(salted(suffix[own], where), 0.0)
+            chance = p[own] + self.rest[k].get(salted(context[own], where), 1.0) * below
+            self.runs[k] = Lookup(salted(keys[own], where), chance)
+        for part in (*self.runs.values(), *self.rest.values()):
+            part.values = np.log(np.maximum(part.values, LEAST)).astype(np.float32)
+        self.unseen = -np.log(symbols + 1.0)
+
+    def costs(self, keys: list[np.ndarray], before: list[np.ndarray], model: int) -> np.ndarray:
+        """Negative log-probability of characters: keys of the runs that end with them, and of those that end before them."""
+        out, open_ = np.zeros(len(keys[0])), np.arange(len(keys[0]))
+        for k in range(ORDER, 0, -1):
+            found = self.runs[k].get(salted(keys[k - 1][open_], model), np.nan)
+            hit = ~np.isnan(found)
+            out[open_[hit]] -= found[hit]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+            context = before[k - 2][open_] if k > 1 else np.zeros(len(open_), np.uint64)
+            out[open_] -= self.rest[k].get(salted(context, model), 0.0)
+        out[open_] -= self.unseen[model]
+        return out
+
+
+def salted(keys: np.ndarray, model) -> np.ndarray:
+    return mix(keys ^ (np.atleast_1d(model).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+
+
+class Lookup:
+    """Values by 64-bit key: sorted keys, and where those of each leading bits begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.uint64(0)), np.append(values[order].astype(np.float64), 0)
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        bucket = (keys[order] >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(bucket, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max(initial=0))
+
+    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(keys), missing, self.values.dtype)
+        bucket = (keys >> self.shift).astype(np.int64)
+        at, end = self.begin[bucket], self.begin[bucket + 1]
+        open_ = None
+        for _ in range(self.most):
+            hit = (self.keys[at] == keys) & (at < end)
+            (where := np.flatnonzero(hit)) if open_ is None else (where := open_[hit])
+            out[where] = self.values[at[hit]]
+            left = np.flatnonzero(~hit & (at + 1 < end))
+            if not len(left):
+                break
+            open_ = left if open_ is None else open_[left]
+            keys, at, end = keys[left], at[left] + 1, end[left]
+        return out
+
+
+def shards(models: DataFrame, names: list[str], entries: int) -> tuple[DataFrame, int]:
+    """(shard, packed): the entries of kneser_ney() of some models, packed in tasks of bounded size; and the number of shards."""
+    number = {x: k for k, x in enumerate(names)}
+    mine = models.where(F.col("model").isin(names))
+    n = max(1, -(-mine.count() // entries))
+    # by the last two characters of the context of a longer run; single characters and pairs stand in every shard
+    pair = F.when(F.col("p").isNotNull(), F.expr("substring(gram, size - 2, 2)")).otherwise(F.expr("substring(gram, -2, 2)"))
+    by_pair = F.pmod(31 * F.ascii(pair) + F.ascii(F.substring(pair, 2, 1)), F.lit(n)).cast("int")
+    dealt = mine.withColumn("shard", F.explode(F.when(F.col("size") > 2, F.array(by_pair)).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))))
+
+    def pack(t: pa.Table) -> pa.Table:
+        model = np.array([number[x] for x in t.column("model").to_pylist()])
+        size, grams = t.column("size").to_numpy(), t.column("gram").to_pylist()
+        p, weight = (t.column(c).to_numpy().astype(np.float64) for c in ("p", "weight"))
+        symbols = np.bincount(model[(size == 1) & np.isfinite(p)], minlength=len(names)).astype(np.float64)
+        packed = zlib.compress(pickle.dumps(Shard(model, size, grams, p, weight, symbols), protocol=5), 1)
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "packed": pa.array([packed], pa.binary())})
+
+    return written(dealt.groupBy("shard").applyInArrow(pack, "shard int, packed binary"), "shards"), n
+
+
+_opened: dict[str, Shard] = {}
+
+
+def _open(sent) -> Shard:
+    """This worker's shard: the last one used."""
+    name, packed = sent.value
+    if name not in _opened:
+        _opened.clear()
+        _opened[name] = pickle.loads(zlib.decompress(packed))
+    return _opened[name]
+
+
+def _cost(sent, n: int, shard: int, number: dict[str, int], text: str, model: str) -> Column:
+    """Sum of the costs of the characters that a shard knows; null without a model."""
+
+    def cost(texts: pa.Array, models: pa.Array) -> pa.Array:
+        known = _open(sent)
+        which = np.array([number.get(x, -1) for x in models.to_pylist()], np.int64)
+        out = np.full(len(texts), np.nan)
+        for k in np.unique(which[which >= 0]).tolist():
+            rows, at = np.flatnonzero(which == k), 0
+            for piece, data, offsets in text_chunks([pa.record_batch([texts.take(pa.array(rows))], names=["text"])]):
+                symbols, place, counts = padded(data, offsets)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                if n > 1:
+                    mine = (31 * symbols[place - 2].astype(np.int64) + symbols[place - 1]) % n == shard
+                    place, doc = place[mine], doc[mine]
+                total = np.bincount(doc, known.costs(keys_of(symbols, place), keys_of(symbols, place - 1), k), minlength=len(counts))
+                out[rows[at : at + len(piece)]] = total
+                at += len(piece)
+        return pa.array(out, from_pandas=True)
+
+    return arrow_udf(cost, "double")(F.col(text), F.col(model))
+
+
+class Scorer:
+    """Adds log-perplexities to documents, from the shards of some models."""
+
+    def __init__(self, models: DataFrame, names: list[str]):
+        self.number = {x: k for k, x in enumerate(names)}
+        self.shards, self.n = shards(models, names, SHARD_ENTRIES)
+
+    def sent(self, shard: int):
+        """One shard's entries, about SHARD_ENTRIES, on their way to the tasks."""
+        packed = self.shards.where(F.col("shard") == shard).select("packed").toArrow().column(0)
+        return self.shards.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, packed[0].as_py() if len(packed) else zlib.compress(pickle.dumps(Shard(*(np.zeros(0) for _ in range(2)), [], *(np.zeros(0) for _ in range(2)), np.zeros(len(self.number)))))))
+
+    def added(self, docs: DataFrame, model: Column, name: str) -> DataFrame:
+        """`docs` with a column: mean negative log-probability of the characters of `text`; null of no text or no model."""
+        of, total, key = (fresh(docs, x) for x in ("model", "total", "row"))
+        docs = docs.withColumn(of, model)
+        n_chars = F.nullif(F.char_length("text"), F.lit(0))
+        if self.n == 1:
+            return docs.withColumn(name, _cost(self.sent(0), 1, 0, self.number, "text", of) / n_chars).drop(of)
+        row = F.struct(F.col("doc_id"), F.xxhash64("text"), F.col(of))
+        parts = []
+        for k in range(self.n):  # one shard at a time; equal rows have equal costs
+            sent = self.sent(k)
+            each = docs.select(row.alias(key), _cost(sent, self.n, k, self.number, "text", of).alias(total)).groupBy(key).agg(F.max(total).alias(total))
+            parts.append(written(each, "parts"))
+            sent.destroy()
+        every = parts[0]
+        for x in parts[1:]:
+            every = every.union(x)
+        sums = written(every.groupBy(key).agg(F.sum(total).alias(total)), "sums")
+        drop(*parts)
+        joined = docs.withColumn(key, row).join(sums.withColumnRenamed(key, f"{key}_of"), F.col(key).eqNullSafe(F.col(f"{key}_of")), "left")
+        return joined.withColumn(name, F.col(total) / n_chars).drop(of, key, f"{key}_of", total)
 
 
 class Model:
-    """What scoring needs: tables (sent to the tasks), and fences by language."""
+    """What judging needs: a scorer, and the highest log-perplexity by language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
+        ship(docs.sparkSession)
         self.toxic = docs.sparkSession.sparkContext.broadcast(toxic_words(docs, labels))
-        found, ids, sizes = sized_tables(docs, labels)
-        found = smoothed(found, sizes)
-        self.langs = [x for x in found if x is not None]
-        self.sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [found[x] for x in [*self.langs, None]], {x: k for k, x in enumerate(self.langs)}))
-        scored = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), self.lang().alias("lang"), self.score().alias("x"))
-        self.scored = scored
-        good = scored.join(ids, "doc_id", "left_semi").where("x is not null")
-        quantiles = lambda x: F.percentile_approx("x", [0.5, HIGH], 10_000).alias(x)
-        rows = written(good, "good")
-        every = rows.agg(quantiles("q")).first().q
-        self.fences = {None: every[1] + MARGIN * (every[1] - every[0])} if every else {}
-        for r in rows.where("lang is not null").groupBy("lang").agg(quantiles("q"), F.count("*").alias("n")).collect():
-            mid, hi = (x + (y - x) * SMOOTH_DOCUMENTS / (r.n + SMOOTH_DOCUMENTS) for x, y in zip(r.q, every, strict=True))
-            self.fences[r.lang] = hi + MARGIN * (hi - mid)
-
-    def lang(self) -> Column:
+        ids = written(trusted_ids(labels), "trusted")
+        known = docs.where("text is not null and text <> '' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+        half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+        text = only(known, ids).join(ids, "doc_id", "left_semi").withColumn("half", half)
+        models = written(kneser_ney(counted_models(text)), "models")
+        names = sorted(x.model for x in models.select("model").distinct().collect())
+        self.fences: dict[str, float] = {}
+        halves = [x for x in names if "\t" in x]
+        if halves:
+            other = F.concat(F.lit("\t"), (1 - F.col("half")).cast("string"))
+            found = Scorer(models, halves)
+            each = F.explode(F.array(F.lit(EVERY), F.concat(F.lit("="), "lang"))).alias("name")  # a null language has no model of its own
+            tried = found.added(text.select("doc_id", "text", "half", each).withColumn("of", F.concat("name", other)), F.col("of"), "x")
+            good = written(tried.where("x is not null").select("name", "x"), "good")
+            rows = good.groupBy("name").agg(F.percentile_approx("x", [0.5, HIGH], 10_000).alias("q"), F.count("*").alias("n")).collect()
+            total = sum(r.n for r in rows if r.name != EVERY)
+            mean = sum(r.n * (r.q[1] - r.q[0]) for r in rows if r.name != EVERY) / total if total else 0.0
+            for r in rows:
+                smooth = SMOOTH_DOCUMENTS if r.name != EVERY else 0
+                self.fences[r.name] = r.q[0] + (r.n * (r.q[1] - r.q[0]) + smooth * mean) / (r.n + smooth)
+        self.langs = [x[1:] for x in sorted(self.fences) if x != EVERY]
+        whole = [x for x in names if x == EVERY or x in self.fences]
+        self.scorer = Scorer(models, whole) if whole else None
+
+    def model(self) -> Column:
         """The model that a document's language takes."""
-        return F.when(F.col("lang").isin(self.langs), F.col("lang"))
-
-    def score(self) -> Column:
-        """Mean negative log-probability of `text`; null where there is none."""
-        sent = self.sent
-
-        def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
-            name, packed, number = sent.value
-            which = np.array([number.get(x, len(number)) for x in langs.to_pylist()], np.int64)
-            out = np.full(len(texts), np.nan)
-            for k in np.unique(which):
-                rows, at = np.flatnonzero(which == k), 0
-                table = unpacked(name, int(k), packed)
-                for part, text, offsets in text_chunks([pa.record_batch([texts.take(pa.array(rows))], names=["text"])]):
-                    codes, counts = coded(text, offsets)
-                    cost = np.concatenate(([0], np.cumsum(table[codes], dtype=np.int64)))
-                    edges = np.concatenate(([0], np.cumsum(counts)))
-                    total = cost[edges[1:]] - cost[edges[:-1]]
-                    out[rows[at : at + len(part)]] = np.where(counts > 0, total / STEPS / np.maximum(counts, 1), np.nan)
-                    at += len(part)
-            return pa.array(out, from_pandas=True)
-
-        return arrow_udf(score, "double")(F.col("text"), F.col("lang"))
+        return F.when(F.col("lang").isin(self.langs), F.concat(F.lit("="), F.col("lang").cast("string"))).otherwise(F.lit(EVERY))
+
+    def scored(self, docs: DataFrame, name: str) -> DataFrame:
+        """`docs` with the log-perplexity of `text`; null where there is none."""
+        return self.scorer.added(docs, self.model(), name) if self.scorer else docs.withColumn(name, F.lit(None).cast("double"))
 
     def harmful(self) -> Column:
         """Whether `text` holds a word that stands for toxic documents; false for a null text."""
@@ -296,23 +407,24 @@ class Model:
 
     def fence(self) -> Column:
         """A document's highest log-perplexity."""
-        every = F.lit(self.fences.get(None)).cast("double")
-        own = [F.lit(x) for lang, fence in self.fences.items() if lang is not None for x in (lang, fence)]
-        return F.coalesce(F.create_map(*own)[F.col("lang")], every) if own else every
+        every = F.lit(self.fences.get(EVERY)).cast("double")
+        own = [F.lit(x) for lang in self.langs for x in (lang, self.fences[f"={lang}"])]
+        return F.coalesce(F.create_map(*own)[F.col("lang").cast("string")], every) if own else every
+
+
+def _kept(x: Column, most: Column, harmful: Column) -> Column:
+    """Not null: texts with characters that are neither beyond the fence nor harmful."""
+    return F.coalesce(F.char_length("text") > 0, F.lit(False)) & F.coalesce(x <= most, F.lit(True)) & ~harmful
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, perplexity, threshold, kept) of every document."""
     model = Model(docs, labels)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), model.score().alias("x"), model.fence().alias("most"), model.harmful().alias("harmful"))
-    return out.select("doc_id", F.exp("x").alias("perplexity"), F.exp("most").alias("threshold"), _kept(F.col("x"), F.col("most"), F.col("harmful")).alias("kept"))
-
-
-def _kept(x: Column, most: Column, harmful: Column) -> Column:
-    return F.coalesce((x <= most) | (x.isNotNull() & most.isNull()), F.lit(False)) & ~harmful
+    out = model.scored(docs.select("doc_id", "lang", "text"), "x").withColumn("most", model.fence())
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.exp("x").alias("perplexity"), F.exp("most").alias("threshold"), _kept(F.col("x"), F.col("most"), model.harmful()).alias("kept"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; no shuffle of texts."""
-    model = Model(docs, labels)
-    return docs.where(_kept(model.score(), model.fence(), model.harmful()))
+    """The documents that are kept, with all their columns."""
+    model, x = Model(docs, labels), fresh(docs, "x")
+    return model.scored(docs, x).where(_kept(F.col(x), model.fence(), model.harmful())).select([f"`{c}`" for c in docs.columns])

@@ -95,46 +95,101 @@ def test_decontaminate(spark, docs):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
-def test_kneser_ney(spark):
-    """Dense tables sum to one in every context, and agree with a plain interpolation."""
-    docs = spark.createDataFrame([(i, "en", "the cat sat on the mat. " * (i + 1)) for i in range(4)] + [(9, None, "Zebra 12")], "doc_id long, lang string, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)] + [(9, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
-    found, ids = quality.tables(docs, labels)
-    assert {r.doc_id for r in ids.collect()} == {0, 1, 2, 9}
-    for table in found.values():
-        cost = np.frombuffer(__import__("zlib").decompress(table), np.uint16) / quality.STEPS
-        assert np.allclose(np.exp(-cost).reshape(-1, quality.SYMBOLS).sum(1), 1, atol=0.02)
-    S, counts = quality.SYMBOLS, Counter()
-    for i in range(3):
-        data = np.frombuffer(("the cat sat on the mat. " * (i + 1)).encode(), np.uint8)
-        counts.update(quality.coded(data, np.array([0, len(data)]))[0].tolist())
-    levels = {4: counts}
-    for k in (3, 2, 1):
-        levels[k] = Counter(g % S**k for g in levels[k + 1])
+TRUSTED = [(i, "en", f"the cat sat on the mat. {'a dog lay by the log; ' * (i % 4)}Ça va {i}?") for i in range(20)] + [(100 + i, "ru", f"кот сидел на ковре {i}. " * (1 + i % 3)) for i in range(12)] + [(200, None, "Zebra 12"), (201, "xx", "lone")]
+
+
+def plain_model(texts):
+    """A function from (context, character) to probability: modified Kneser-Ney over characters, plainly."""
+    N = quality.ORDER
+    levels = {N: Counter(t2[i - N + 1 : i + 1] for t in texts for t2 in [" " * (N - 1) + t] for i in range(N - 1, len(t2)))}
+    for k in range(N - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    symbols = len(levels[1])
 
     def p(k, g):
         if k == 0:
-            return 1 / S
+            return 1 / (symbols + 1)
         c = levels[k]
         n = [sum(v == x for v in c.values()) for x in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0
         d = [max(0, x - (x + 1) * y * n[x] / n[x - 1]) if n[x - 1] else 0.5 * x for x in (1, 2, 3)]
         off = lambda v: 0 if v == 0 else d[min(v, 3) - 1]
-        same = [v for h, v in c.items() if h // S == g // S]
-        lower = p(k - 1, g % S ** (k - 1))
-        return lower if not same else (c[g] - off(c[g])) / sum(same) + sum(map(off, same)) / sum(same) * lower
-
-    cost = np.frombuffer(__import__("zlib").decompress(found["en"]), np.uint16) / quality.STEPS
-    for g in [*list(counts)[:30], 0, 12345]:
-        assert np.exp(-cost[g]) == pytest.approx(p(4, g), rel=2e-3)
+        same = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        lower = p(k - 1, g[1:])
+        return lower if not same else (c[g] - off(c[g])) / sum(same) + max(sum(map(off, same)) / sum(same), quality.LEAST) * lower
+
+    memo = {}
+
+    def cost(text):
+        t = " " * (N - 1) + text
+        total = 0.0
+        for i in range(N - 1, len(t)):
+            g = t[i - N + 1 : i + 1]
+            if g not in memo:
+                memo[g] = -np.log(max(p(N, g), quality.LEAST))
+            total += memo[g]
+        return total / len(text) if text else None
+
+    return cost
+
+
+@pytest.mark.parametrize("entries", [quality.SHARD_ENTRIES, 300])
+def test_kneser_ney(spark, monkeypatch, entries):
+    """Perplexities, thresholds and decisions equal a plain model's, from one shard or many."""
+    monkeypatch.setattr(quality, "SHARD_ENTRIES", entries)
+    others = [(300, "en", "the cat lay on the log"), (301, "en", "XXXX QQQQ ЖЖ 😀"), (302, "ru", "кот на ковре"), (303, "zz", "the cat"), (304, None, "кот"), (305, "en", ""), (306, "en", None), (300, "en", "the cat lay on the log"), (300, "ru", "the cat lay on the log"), (None, "en", "the cat")]
+    docs = spark.createDataFrame(TRUSTED + others, "doc_id long, lang string, text string").withColumn("x", F.lit("mine")).withColumn("model", F.lit(2))
+    ids = [d for d, *_ in TRUSTED]
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids] + [(19, 1, 1)], "doc_id long, quality int, toxic int")
+    trusted = [x for x in TRUSTED if x[0] != 19]
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    of = lambda name, h=None: [t for d, lang, t in trusted if (name is None or lang == name) and h in (None, half[d])]
+    fences = {}
+    for name in (None, "en", "ru"):
+        scores = sorted(plain_model(of(name, h))(t) for h in (0, 1) for t in of(name, 1 - h))
+        pick = lambda q, x=scores: x[max(0, int(np.ceil(q * len(x))) - 1)]
+        fences[name] = (pick(0.5), pick(quality.HIGH) - pick(0.5), len(scores))
+    own = [fences[x] for x in ("en", "ru")]
+    mean = sum(n * w for _, w, n in own) / sum(n for *_, n in own)
+    S = quality.SMOOTH_DOCUMENTS
+    most = {x: m + ((n * w + S * mean) / (n + S) if x else w) for x, (m, w, n) in fences.items()}
+    models = {x: plain_model(of(x)) for x in fences}
+    got = Counter((r.doc_id, None if r.perplexity is None else round(float(np.log(r.perplexity)), 3), round(float(np.log(r.threshold)), 3), r.kept) for r in quality.classified(docs, labels).collect())
+    want = Counter()
+    for d, lang, t in TRUSTED + others:
+        name = lang if lang in ("en", "ru") else None
+        x = models[name](t) if t else None
+        want[d, None if x is None else round(float(x), 3), round(float(most[name]), 3), x is not None and bool(x <= most[name])] += 1
+    assert got.total() == want.total()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for g, w in zip(sorted(got.elements(), key=key), sorted(want.elements(), key=key), strict=True):
+        assert g[0] == w[0] and g[3] == w[3] and g[1:3] == (pytest.approx(w[1], abs=2e-3) if w[1] is not None else None, pytest.approx(w[2], abs=2e-3)), (g, w)
+    left = quality.filtered(docs, labels)
+    assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in want.elements() if r[3])
+
+
+def test_kneser_ney_sums_to_one(spark):
+    """Over all symbols and the unseen one, in every context."""
+    docs = spark.createDataFrame([x for x in TRUSTED if x[1] == "en"], "doc_id long, lang string, text string").withColumn("half", F.lit(0))
+    models = quality.kneser_ney(quality.counted_models(docs))
+    packed, n = quality.shards(models, ["=en"], 10**6)
+    shard = __import__("pickle").loads(__import__("zlib").decompress(packed.first().packed))
+    symbols = sorted({c for _, lang, t in TRUSTED if lang == "en" for c in t + " "}) + ["\u2603"]
+    for context in ("the ", "cat ", "qqqq", "xthe", "a do"):
+        data = "".join(context + c for c in symbols).encode()
+        ends = np.cumsum([0, *(len((context + c).encode()) for c in symbols)])
+        s, place, _ = quality.padded(np.frombuffer(data, np.uint8), ends)
+        last = place[4::5]
+        assert np.exp(-shard.costs(quality.keys_of(s, last), quality.keys_of(s, last - 1), 0)).sum() == pytest.approx(1, abs=0.02)
 
 
 def test_quality(spark, docs):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = quality.classified(whole, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
-    kept = {r.quality: r.kept for r in out.collect()}
-    assert kept[1] > 0.98 and kept[0] < 0.4
+    """Labels that the model hasn't seen: clean documents stay, most of low quality go."""
+    labels, whole = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("labels", "documents"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
+    out = quality.classified(whole, labels.where(half)).join(labels.where(~half), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {(r.quality, r.toxic): r.kept for r in out.collect()}
+    assert kept[1, 0] > 0.98 and kept[0, 0] < 0.2 and kept[1, 1] < 0.5
     got = {r.doc_id: r for r in quality.classified(docs, labels).collect()}
     assert not got[-1].kept and got[-1].perplexity is None and not got[-2].kept
     assert quality.filtered(docs.limit(0), labels).count() == 0
@@ -330,9 +385,10 @@ def test_quality_of_many_languages(spark):
         rows += [(1000 * k + i, f"l{k:02}", " ".join(rng.choice(words) for _ in range(120))) for i in range(60 if k < 8 else 30)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     model = quality.Model(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
-    assert model.langs == [f"l{k:02}" for k in range(12)] and set(model.fences) == {None, *model.langs}
-    x = {r.lang: (r.own, r.other) for r in docs.select("lang", model.score().alias("own"), F.lit("unknown").alias("lang2"), "text").withColumn("l", F.col("lang")).withColumn("lang", F.col("lang2")).withColumn("other", model.score()).groupBy("l").agg(F.avg("own").alias("own"), F.avg("other").alias("other")).withColumnRenamed("l", "lang").collect()}
-    assert all(own < other for own, other in x.values())
+    assert model.langs == [f"l{k:02}" for k in range(12)] and set(model.fences) == {quality.EVERY, *(f"={x}" for x in model.langs)}
+    own = model.scored(docs, "own")
+    both = own.withColumnRenamed("lang", "l").withColumn("lang", F.lit("unknown"))
+    assert all(r.own < r.other for r in model.scored(both, "other").groupBy("l").agg(F.avg("own").alias("own"), F.avg("other").alias("other")).collect())
 
 
 @pytest.mark.parametrize(
