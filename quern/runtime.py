@@ -57,12 +57,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _paths[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all intermediate tables that this driver has written; call it when results have been stored."""
-    n = len(_paths)
-    while _paths:
-        drop_path(spark, _paths.pop())
-    return n
+def mark() -> int:
+    """What release() takes as the begin of a step."""
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int = 0, *but: DataFrame) -> int:
+    """Delete the intermediate tables that this driver has written (since mark(), but for some); call it when results have been stored."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in but for f in df.inputFiles()}
+    gone = [p for p in _paths[since:] if p.rpartition("/")[2] not in kept]
+    for path in gone:
+        drop_path(spark, path)
+        _paths.remove(path)
+    return len(gone)
 
 
 #: Spark's setting to remove a query's shuffle files when the query ends.
@@ -108,6 +115,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer splits than the session has cores, dealt to all cores; any other as it is.
 
