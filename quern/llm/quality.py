@@ -4,22 +4,22 @@ Trusted text: documents whose labels all say quality 1 and toxic 0. All of it is
 are characters as they are (every code point is its own symbol, none is folded), in runs of ORDER; what is gathered
 grows with the trusted text, without a cap.
 
-1. Tasks count the runs of trusted text, by language and half of the documents; counts are summed by run. From them come
-   models of each language and of all text: of either half, and of both.
+1. Tasks count the runs of trusted text by language, of all documents but one in HELD_OUT (by a hash of the id); counts are
+   summed by run. From them come models of each language and of all text.
 2. Continuation counts, counts of counts, discounts and context totals are joined by run and by context to the
    discounted probability of each seen run and the weight that each context leaves to shorter runs.
 3. The counts are dealt to shards of about SHARD_ENTRIES, by the last two characters of the context, so that a character's
    run and all its shorter ones meet in one shard (single characters and pairs stand in each). A shard is packed in one task and
    joined to the documents map-side, shard by shard; a document's parts are summed. Documents aren't shuffled for it.
 4. A document's perplexity is exp of the mean negative log-probability of its characters. It is rejected beyond the HIGH
-   quantile of its language: of the trusted documents' log-perplexity under the model of the half that doesn't hold them,
-   as median plus distance from the median, the distance smoothed by that of all languages (SMOOTH_DOCUMENTS).
+   quantile of its language: of the held-out trusted documents' log-perplexity, as median plus distance from the median, the
+   distance smoothed by that of all languages (SMOOTH_DOCUMENTS).
 5. Few words in clean prose don't move a document's mean, so words count by themselves: of every word (open vocabulary, any
    number) the trusted documents and those labelled toxic that hold it are counted in shards. A document is rejected too
    if it holds a word that is LEAST_RATIO times as frequent among toxic documents, at SURE standard errors below the
    estimate. Hashes of those words only are broadcast.
 
-Documents of a language without trusted text, or of none, take the model and quantile of all trusted text.
+Documents of a language without trusted text on either side, or of none, take the model and quantile of all trusted text.
 Null or empty texts have no perplexity and are rejected. Without any trusted text nothing else is rejected. Rows that
 share an id are scored each on their own and trusted together; equal rows get equal scores. An empty table gives an empty
 result. Extra columns are kept by filtered(), whatever their names. Texts may have any length.
@@ -37,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.neardup import fresh, only
+from quern.llm.neardup import only
 from quern.llm.words import LOWER, Words, mix, text_chunks
-from quern.runtime import drop, ship, written
+from quern.runtime import drop, fresh, ship, written
 
-ORDER = 5
+ORDER = 4
+#: One in so many trusted documents sets the quantiles; the others are counted.
+HELD_OUT = 4
 SMOOTH_DOCUMENTS = 100
 HIGH = 0.995
 LEAST_RATIO, SURE = 5.0, 3.0
@@ -52,7 +54,7 @@ HELD = 2_000_000
 
 #: A chance below it counts as this (contexts that leave nothing to shorter runs).
 LEAST = 1e-9
-#: The model of all text; a language's own is "=" and its name. Those of the halves end in "\t0" and "\t1".
+#: The model of all text; a language's own is "=" and its name.
 EVERY = "*"
 #: What stands between words: ASCII other than letters and digits.
 APART = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
@@ -83,25 +85,24 @@ def keys_of(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
 
 
 def _counted(it):
-    """(lang, half, gram, n) of a task's trusted text; a null language stays null."""
-    held: dict[tuple, list] = {}
+    """(lang, gram, n) of a task's trusted text; a null language stays null."""
+    held: dict[str | None, list] = {}
     size = 0
 
     def emit():
-        for (lang, half), runs in held.items():
+        for lang, runs in held.items():
             every = np.concatenate(runs)
             _, at, n = np.unique(keys_of(every.reshape(-1), np.arange(len(every)) * ORDER + ORDER - 1)[-1], return_index=True, return_counts=True)
             joined = every[at].tobytes().decode("utf-32-le")
             grams = [joined[k : k + ORDER] for k in range(0, len(joined), ORDER)]
-            yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array([half] * len(grams), pa.int32()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "half", "gram", "n"])
+            yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     for part, text, offsets in text_chunks(it):
         symbols, place, counts = padded(text, offsets)
         runs = np.lib.stride_tricks.sliding_window_view(symbols, ORDER)[place - ORDER + 1] if len(place) else np.zeros((0, ORDER), np.uint32)
-        edges = np.concatenate(([0], np.cumsum(counts)))
-        whose = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-        for who in set(whose):
-            held.setdefault(who, []).append(np.concatenate([runs[edges[k] : edges[k + 1]] for k, x in enumerate(whose) if x == who]))
+        edges, langs = np.concatenate(([0], np.cumsum(counts))), part.column(0).to_pylist()
+        for lang in set(langs):
+            held.setdefault(lang, []).append(np.concatenate([runs[edges[k] : edges[k + 1]] for k, x in enumerate(langs) if x == lang]))
         size += len(place)
         if size >= HELD:
             yield from emit()
@@ -152,12 +153,10 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 
 def counted_models(text: DataFrame) -> DataFrame:
-    """(model, gram, n) of rows (lang, half, text): each language's and all text's, of either half and of both."""
-    grams = written(text.select("lang", "half", "text").mapInArrow(_counted, "lang string, half int, gram string, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")), "grams")
-    names = F.array(F.lit(EVERY), F.concat(F.lit("="), "lang"))
-    halves = F.array(F.lit(""), F.concat(F.lit("\t"), F.col("half").cast("string")))
-    each = grams.select("gram", "n", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("name"), halves.alias("halves"))
-    return each.select("gram", "n", "name", F.explode("halves").alias("half")).groupBy(F.concat("name", "half").alias("model"), "gram").agg(F.sum("n").alias("n"))
+    """(model, gram, n) of rows (lang, text): each language's and all text's."""
+    grams = written(text.select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    own = grams.where("lang is not null").select(F.concat(F.lit("="), "lang").alias("model"), "gram", "n")
+    return own.union(grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(EVERY), "gram", "n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -360,17 +359,15 @@ class Model:
         self.toxic = docs.sparkSession.sparkContext.broadcast(toxic_words(docs, labels))
         ids = written(trusted_ids(labels), "trusted")
         known = docs.where("text is not null and text <> '' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-        half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
-        text = only(known, ids).join(ids, "doc_id", "left_semi").withColumn("half", half)
-        models = written(kneser_ney(counted_models(text)), "models")
+        text = only(known, ids).join(ids, "doc_id", "left_semi")
+        aside = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+        models = written(kneser_ney(counted_models(text.where(~aside))), "models")
         names = sorted(x.model for x in models.select("model").distinct().collect())
+        self.scorer = Scorer(models, names) if names else None
         self.fences: dict[str, float] = {}
-        halves = [x for x in names if "\t" in x]
-        if halves:
-            other = F.concat(F.lit("\t"), (1 - F.col("half")).cast("string"))
-            found = Scorer(models, halves)
-            each = F.explode(F.array(F.lit(EVERY), F.concat(F.lit("="), "lang"))).alias("name")  # a null language has no model of its own
-            tried = found.added(text.select("doc_id", "text", "half", each).withColumn("of", F.concat("name", other)), F.col("of"), "x")
+        if names:
+            each = F.explode(F.filter(F.array(F.lit(EVERY), F.concat(F.lit("="), "lang")), lambda x: x.isNotNull())).alias("name")
+            tried = self.scorer.added(text.where(aside).select("doc_id", "text", each), F.col("name"), "x")
             good = written(tried.where("x is not null").select("name", "x"), "good")
             rows = good.groupBy("name").agg(F.percentile_approx("x", [0.5, HIGH], 10_000).alias("q"), F.count("*").alias("n")).collect()
             total = sum(r.n for r in rows if r.name != EVERY)
@@ -379,8 +376,6 @@ class Model:
                 smooth = SMOOTH_DOCUMENTS if r.name != EVERY else 0
                 self.fences[r.name] = r.q[0] + (r.n * (r.q[1] - r.q[0]) + smooth * mean) / (r.n + smooth)
         self.langs = [x[1:] for x in sorted(self.fences) if x != EVERY]
-        whole = [x for x in names if x == EVERY or x in self.fences]
-        self.scorer = Scorer(models, whole) if whole else None
 
     def model(self) -> Column:
         """The model that a document's language takes."""
