@@ -2,10 +2,16 @@
 
 The vocabulary file (JSON, in the layout of the public `tokenizers` library) is a parameter and stays where it is; each
 Python worker reads it once. Texts go through: added tokens, normalisation (NFC, white space to one space, lower case),
-splitting, byte symbols, merges by rank. Equal words of a worker are encoded once, in a cache of bounded size.
+splitting, byte symbols, merges by rank. Equal words of a worker are encoded once, in caches of bounded size: of what
+stands between white space, as it is written, and of the words in it.
+
+The file's parts that are understood: a BPE model without byte fallback, dropout or unknown token; normalisers NFC, white
+space to one space, lower case; pre-tokenisers Split by a pattern and ByteLevel without a prefix space; added tokens taken as they
+are. Any other is refused when the file is read.
 
 Null texts count as empty: no ids, the hash of no bytes. Rows keep their document id, repeated ids and texts included;
-other columns don't matter. Texts may have any length: the queue makes one word of n symbols O(n log n).
+other columns don't matter, whatever their names. An empty table gives an empty result. Texts may have any length: the queue makes
+one word of n symbols O(n log n).
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from quern.runtime import ship
 
 #: Words whose ids a worker keeps in each of two generations, and the longest of them in characters.
 CACHE_WORDS, CACHE_CHARS = 100_000, 64
+#: What Python's str.split() takes for white space, but the library doesn't.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 #: Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -50,13 +58,15 @@ class Bpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+        _check(spec)
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.bytes = byte_symbols()
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", WHITE) if r"[^\s" in pattern else pattern).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.known = Known(self)
+        self.first = frozenset(x[0] for x in self.added)
+        self.known, self.spaced = Known(self), Spaced(self)
 
     def merged(self, word: str) -> list[int]:
         """Ids of one word: always the lowest rank first, leftmost on ties; entries of changed symbols are skipped."""
@@ -85,7 +95,7 @@ class Bpe:
 
     def split(self, text: str) -> list[str | int]:
         """Words of a normalised text, and ids of added tokens between them."""
-        parts = self.specials.split(text) if self.specials and "<" in text else [text]
+        parts = self.specials.split(text) if self.specials and any(c in text for c in self.first) else [text]
         out: list[str | int] = []
         for k, part in enumerate(parts):
             if k % 2:
@@ -97,8 +107,11 @@ class Bpe:
         return out
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded string) of each word that has ids."""
-        found = list(map(self.known.__getitem__, self.split(text)))
+        """(ids as little-endian 32-bit integers, decoded string) of each stretch without white space that has ids."""
+        if any(c in text for c in self.first) or any(c in text for c in _NO_SPACE):
+            found = list(map(self.known.__getitem__, self.split(text)))
+        else:
+            found = list(map(self.spaced.__getitem__, text.split()))
         return found if all(found) else [x for x in found if x]
 
     def encode(self, text: str) -> list[int]:
@@ -135,6 +148,40 @@ class Known(dict):
         return found
 
 
+class Spaced(Known):
+    """Encoded stretches between white space, as they are written: no word, composition or case goes beyond one."""
+
+    def __missing__(self, text: str) -> tuple[bytes, str] | None:
+        found = self.older.get(text)
+        if found is None:
+            words = [x for x in map(self.bpe.known.__getitem__, self.bpe.split(text)) if x]
+            found = words[0] if len(words) == 1 else (b"".join([x[0] for x in words]), " ".join([x[1] for x in words])) if words else ()
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+def _check(spec: dict) -> None:
+    """Refuse a file with parts that aren't understood."""
+    model, wrong = spec["model"], []
+    wrong += [k for k in ("byte_fallback", "dropout", "unk_token", "continuing_subword_prefix", "ignore_merges") if model.get(k) and not (k == "unk_token" and model["unk_token"] in model["vocab"])]
+    flat = lambda x, key: [y for part in x[key] for y in flat(part, key)] if x and key in x else [x] if x else []
+    for x in flat(spec.get("normalizer"), "normalizers"):
+        if x["type"] not in ("NFC", "Lowercase") and not (x["type"] == "Replace" and x["content"] == " " and x["pattern"] in ({"Regex": r"\s+"}, {"String": " "})):
+            wrong.append(f"normalizer {x}")
+    for x in flat(spec.get("pre_tokenizer"), "pretokenizers"):
+        if not (x["type"] == "Split" and "Regex" in x["pattern"] and x["behavior"] == "Removed" and x["invert"] or x["type"] == "ByteLevel" and not x.get("add_prefix_space")):
+            wrong.append(f"pre_tokenizer {x}")
+    wrong += [f"added token {x['content']}" for x in spec.get("added_tokens", []) if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") and (x["content"] != x["content"].lower() or any(c.isspace() for c in x["content"]))]
+    if spec.get("decoder"):
+        wrong.append("decoder")
+    if wrong:
+        raise ValueError(f"not understood in the vocabulary file: {wrong}")
+
+
 _loaded: dict[str, Bpe] = {}
 
 
