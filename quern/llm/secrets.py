@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.runtime import fresh
+
 #: The base patterns, in the order in which kinds are listed. Runs of one class have their least length
 #: in the pattern, which finds the same as dropping shorter ones; an assignment is dropped after the match.
 BASE = {
@@ -29,8 +31,14 @@ LEAST_ASSIGNED = 8
 #: Character classes of the entropy scan (a candidate belongs to the first that holds all of it): (candidate pattern, alphabet, window length, least bits a character).
 CLASSES = {
     "entropy_hex": (r"(?<![A-Za-z0-9+/_=-])[0-9a-fA-F]{24,}(?![A-Za-z0-9+/_=-])", "0123456789abcdefABCDEF", 20, 2.9),
-    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?![0-9a-fA-F]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.6),
+    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])(?![0-9a-fA-F]++(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.6),
 }
+#: Characters of a candidate without digits for each change from a small to a capital letter, at most.
+MIXED = 6
+#: Matches that are located together, and counts in one number.
+BLOCK, SLOTS, SLOT_BITS = 256, 12, 5
+#: Entropies are compared as whole numbers, in steps of one to so many.
+SCALE = 1 << 30
 #: Candidates that match one of these are no secrets: placeholders, counting sequences, one character repeated, UUIDs.
 ALLOW = (r"(?i)example|placeholder|changeme|dummy|x{6}", r"0123456789|abcdefghij|ABCDEFGHIJ", r"(.)\1{7}", r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 
@@ -39,7 +47,7 @@ def _located(text: Column, pattern: str) -> Column:
     """array<struct<at, n, s>>: start, length and string of each match. The pieces between matches give the starts."""
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<at:int,n:int,s:string>>")
-    lengths = F.arrays_zip(F.transform(F.slice(between, 1, F.size(hits)), lambda x: F.char_length(x)).alias("gap"), hits.alias("s"))
+    pieces = F.arrays_zip(F.transform(F.slice(between, 1, F.size(hits)), lambda x: F.char_length(x)).alias("gap"), hits.alias("s"))
     start = F.struct(F.lit(0).alias("end"), empty.alias("found"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -47,7 +55,22 @@ def _located(text: Column, pattern: str) -> Column:
         here = F.struct((acc["end"] + x["gap"]).alias("at"), n.alias("n"), x["s"].alias("s"))
         return F.struct((acc["end"] + x["gap"] + n).alias("end"), F.concat(acc["found"], F.array(here)).alias("found"))
 
-    return F.aggregate(lengths, start, add, lambda acc: acc["found"])
+    def parts(all_: Column) -> Column:
+        """Blocks of BLOCK pieces, each located from its own begin."""
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda k: F.aggregate(F.slice(all_, k * BLOCK + 1, BLOCK), start, add))
+
+    def placed(blocks: Column) -> Column:
+        ends = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["end"])))
+        shifted = F.zip_with(blocks, F.slice(ends, 1, F.size(blocks)), lambda x, begin: F.transform(x["found"], lambda m: F.struct((m["at"] + begin).alias("at"), m["n"].alias("n"), m["s"].alias("s"))))
+        return F.flatten(shifted)
+
+    return F.when(F.size(hits) > 0, _let(_let(pieces, parts), placed)).otherwise(empty)
+
+
+def _let(x: Column, f) -> Column:
+    """f of x, with x computed once."""
+    return F.transform(F.array(x), f)[0]
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -71,34 +94,35 @@ def base_spans(text: Column, name: str) -> Column:
 def _hot(candidate: Column, alphabet: str, window: int, least: float) -> Column:
     """Maximal stretches of the candidate whose windows all reach the entropy: array<struct<a, b>>, offsets in the candidate."""
     index = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    pairs = F.transform(F.array(index), lambda ix: F.arrays_zip(ix.alias("new"), F.concat(F.array_repeat(F.lit(-1), window), F.slice(ix, 1, F.greatest(F.size(ix) - window, F.lit(0)))).alias("old")))[0]
-    log = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
-    weight = F.array(*map(F.lit, log))  # c log2 c
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"),
-        F.array().cast("array<struct<a:int,b:int>>").alias("spans"),
-    )
+    before = lambda ix: F.concat(F.array_repeat(F.lit(-1), window), F.slice(ix, 1, F.greatest(F.size(ix) - window, F.lit(0))))
+    pairs = _let(index, lambda ix: F.arrays_zip(ix.alias("new"), before(ix).alias("old")))
+    weight = F.array(*[F.lit(0 if c == 0 else round(c * math.log2(c) * SCALE)) for c in range(window + 2)])  # c log2 c
+    most = math.floor(window * (math.log2(window) - least) * SCALE)  # of the sum, in a hot window
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    slots = -(-len(alphabet) // SLOTS)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), slots).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), none.alias("closed"))
 
     def step(acc: Column, x: Column) -> Column:
         """One character in, one out (-1: none yet)."""
-        counts = acc["counts"]
-        same = x["new"] == x["old"]
-        up, down = F.get(counts, x["new"]), F.get(counts, x["old"])
-        total = acc["sum"] + F.when(same, F.lit(0.0)).otherwise(
-            F.get(weight, up + 1) - F.get(weight, up) + F.when(x["old"] < 0, F.lit(0.0)).otherwise(F.get(weight, down - 1) - F.get(weight, down))
-        )
-        after = F.when(same, counts).otherwise(F.transform(counts, lambda c, j: c + (j == x["new"]).cast("int") - (j == x["old"]).cast("int")))
-        hot = (acc["i"] >= window - 1) & (F.lit(math.log2(window)) - total / window >= least)
+        new, old = x["new"], x["old"]
+        slot_of, bit_of = (lambda i: F.floor(i / SLOTS).cast("int")), (lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), SLOT_BITS * F.pmod(i, F.lit(SLOTS))))
+        count = lambda i: F.call_function("shiftright", F.get(acc["counts"], slot_of(i)), SLOT_BITS * F.pmod(i, F.lit(SLOTS))).bitwiseAND((1 << SLOT_BITS) - 1).cast("int")
+        same, first = new == old, old < 0
+        up, down = count(new), count(old)
+        total = acc["sum"] + F.when(same, F.lit(0)).otherwise(F.get(weight, up + 1) - F.get(weight, up) + F.when(first, F.lit(0)).otherwise(F.get(weight, down - 1) - F.get(weight, down)))
+        moved = F.transform(acc["counts"], lambda c, j: c + F.when(j == slot_of(new), bit_of(new)).otherwise(F.lit(0)) - F.when(~first & (j == slot_of(old)), bit_of(old)).otherwise(F.lit(0)))
+        hot = (acc["i"] >= window - 1) & (total <= most)
         a, b = acc["i"] - (window - 1), acc["i"] + 1
-        n = F.size(acc["spans"])
-        grown = (
-            F.when(~hot, acc["spans"])
-            .when((n > 0) & (F.try_element_at(acc["spans"], F.lit(-1))["b"] >= a), F.concat(F.slice(acc["spans"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc["spans"], F.lit(-1))["a"].alias("a"), b.alias("b")))))
-            .otherwise(F.concat(acc["spans"], F.array(F.struct(a.alias("a"), b.alias("b")))))
-        )
-        return F.struct(after.alias("counts"), total.alias("sum"), b.alias("i"), grown.alias("spans"))
+        joins = hot & (acc["a"] >= 0) & (acc["b"] >= a)
+        closes = hot & (acc["a"] >= 0) & (acc["b"] < a)
+        open_ = F.struct(acc["a"].alias("a"), acc["b"].alias("b"))
+        return F.struct(
+            F.when(same, acc["counts"]).otherwise(moved).alias("counts"), total.alias("sum"), b.alias("i"),
+            F.when(joins | ~hot, acc["a"]).otherwise(a).alias("a"), F.when(hot, b).otherwise(acc["b"]).alias("b"),
+            F.when(closes, F.concat(acc["closed"], F.array(open_))).otherwise(acc["closed"]).alias("closed"),
+        )
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    return F.aggregate(pairs, zero, step, lambda acc: F.when(acc["a"] < 0, acc["closed"]).otherwise(F.concat(acc["closed"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))))
 
 
 def entropy_spans(text: Column, name: str, allow: tuple[str, ...] = ALLOW) -> Column:
@@ -106,6 +130,8 @@ def entropy_spans(text: Column, name: str, allow: tuple[str, ...] = ALLOW) -> Co
     pattern, alphabet, window, least = CLASSES[name]
     kind = len(BASE) + list(CLASSES).index(name)
     kept = F.filter(_located(text, pattern), lambda x: ~_any(x["s"], allow))
+    if name == "entropy_base64":
+        kept = F.filter(kept, lambda x: x["s"].rlike("[0-9]") | (MIXED * F.size(F.regexp_extract_all(x["s"], F.lit("[a-z](?=[A-Z])"), F.lit(0))) >= x["n"]))
     each = F.transform(kept, lambda x: F.transform(_hot(x["s"], alphabet, window, least), lambda y: F.struct((x["at"] + y["a"]).alias("start"), F.lit(kind).alias("kind"), (x["at"] + y["b"]).alias("end"))))
     return F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), F.flatten(each)).otherwise(F.array().cast(_EMPTY))
 
@@ -123,21 +149,30 @@ def _joined(spans: Column, names: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text_column: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """`docs` with base (array of spans by kind: assign, access, hex) and added (array of entropy spans)."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    out = docs.select("*", *[base_spans(text, k).alias(f"_{k}") for k in BASE], F.concat(*[entropy_spans(text, k, allow) for k in CLASSES]).alias("_added"))
-    covered = F.filter("_added", lambda a: ~F.exists(F.concat(*[F.col(f"_{k}") for k in BASE]), lambda b: (b["start"] <= a["start"]) & (b["end"] >= a["end"])))
-    return out.withColumn("_added", covered)
+def found_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> tuple[dict[str, Column], Column]:
+    """Base spans by kind (assign, access, hex), and added (entropy) spans that no base span covers."""
+    text = F.coalesce(text, F.lit(""))
+    base = {k: base_spans(text, k) for k in BASE}
+    added = F.concat(*[entropy_spans(text, k, allow) for k in CLASSES])
+    covered = lambda a, of: F.exists(of, lambda b: (b["start"] <= a["start"]) & (b["end"] >= a["end"]))
+    return base, F.when(F.size(added) > 0, _let(F.struct(added.alias("added"), F.concat(*base.values()).alias("base")), lambda x: F.filter(x["added"], lambda a: ~covered(a, x["base"])))).otherwise(added)
+
+
+def scan(docs: DataFrame, text_column: str = "text", allow: tuple[str, ...] = ALLOW, out: str = "secrets") -> DataFrame:
+    """`docs` with a column `out` (longer by underscores where the table has that name): struct of assign, access, hex and added,
+    arrays of spans (start, kind, end)."""
+    base, added = found_spans(F.col(f"`{text_column}`"), allow)
+    return docs.withColumn(fresh(docs, out), F.struct(*[x.alias(k) for k, x in base.items()], added.alias("added")))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document."""
     found = scan(docs.select("doc_id", "text"))
-    base, names = F.concat(*[F.col(f"_{k}") for k in BASE]), [*BASE, *CLASSES]
+    of = lambda k: F.col(f"secrets.{k}")
+    base, names = F.concat(*map(of, BASE)), [*BASE, *CLASSES]
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(base, names), 256).alias("base_sha256"),
-        _joined(F.concat(base, F.col("_added")), names).alias("spans"),
+        _joined(F.concat(base, of("added")), names).alias("spans"),
     )
