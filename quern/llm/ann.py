@@ -6,13 +6,17 @@ codebooks at once for the codes that beam search finds. Every vector is encoded
 the ratio of its norm to its approximation's, and itself.
 
 A scan compares all stored vectors with all queries: inner products with the approximation are sums of table lookups
-(a query's products with all codewords), corrected by the stored norms. Each task keeps, of every piece of PIECE vectors,
-the RERANK best ids by that score (all rows as good) for exact inner products in double precision (summed in the order of components), and of
-those the best of the task; tasks' lists are merged by query. Queries go to the tasks in blocks of QUERY_BLOCK.
+(a query's products with all codewords), corrected by the stored norms. Each task keeps, for every query, the RERANK ids of the
+best such scores among all its vectors, with their exact inner products in double precision (of the original components, summed in
+their order). Of all tasks' lists the RERANK best by table score are the query's shortlist, whatever the number of tasks or
+batches, and its best by exact score are the answer. Queries go to the tasks in blocks of QUERY_BLOCK, one block at a time:
+a block's lists are written before the next is sent. All pairs of queries and vectors are scored, so the work grows
+with the product of the two.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than most.
-Ties go to the smaller id. A query that is stored several times is asked once; candidates under the query's own id are
-skipped, and other ids stored several times count once. Empty tables give empty results.
+Queries of another length than the vectors that take part have no answer. Ties go to the smaller id. A query that is stored several
+times is asked once (the least of different vectors); candidates under the query's own id are skipped, and other ids stored
+several times count once, by their vector of the best table score. Empty tables give empty results. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,21 +29,26 @@ from pyspark.sql import functions as F
 from quern.runtime import ship, written
 
 CODEBOOKS, WORDS, BEAM, SAMPLE = 12, 256, 6, 20_000
-PIECE, RERANK, NEAREST = 4096, 192, 20
-QUERY_BLOCK, AT_ONCE = 16_384, 128
+RERANK, NEAREST = 200, 20
+QUERY_BLOCK, AT_ONCE = 4096, 128
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, embedding) of the vectors that take part, and their length."""
+def _fine(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of the vectors with an id whose components are all finite, and not all zero."""
     sized = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    length = sized.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return sized.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+
+
+def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """The vectors that take part, and their length."""
+    fine = _fine(vectors)
+    length = fine.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     n = length.n if length else 0
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return sized.where((F.size("embedding") == n) & fine), n
+    return fine.where(F.size("embedding") == n), n
 
 
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, n)
+def _matrix(column: pa.Array, n: int, kind=np.float32) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
 
 
 def beam_codes(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -113,51 +122,54 @@ def index(vectors: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
     return written(vectors.mapInArrow(batches, f"vec_id long, codes binary, scale float, embedding {kind}"), "index"), books
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids of each row, each once with its best score; higher scores first, then smaller ids."""
-    rows = np.arange(len(scores))[:, None]
-    order = np.lexsort((-scores, ids), axis=1)
-    scores, ids = scores[rows, order], ids[rows, order]
-    scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return scores[rows, order], ids[rows, order]
+def _best(k: int, rough: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k ids of the best table scores in each row, each once by its best one; higher scores first, then smaller ids."""
+    rows = np.arange(len(rough))[:, None]
+    order = np.lexsort((-exact, -rough, ids), axis=1)
+    rough, ids, exact = rough[rows, order], ids[rows, order], exact[rows, order]
+    rough[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    order = np.lexsort((ids, -rough), axis=1)[:, :k]
+    return rough[rows, order], ids[rows, order], exact[rows, order]
 
 
-def _searched(sent, length: int, k: int, rerank: int):
+def _searched(sent, length: int, rerank: int):
     def batches(it):
-        asked, query, tables = sent.value  # ids, vectors, products with all codewords
-        exact = query.astype(np.float64)
-        top_s, top_i = np.full((len(asked), k), -np.inf), np.full((len(asked), k), np.iinfo(np.int64).max)
-        for b in it:
-            for piece in range(0, len(b), PIECE):
-                part = b.slice(piece, PIECE)
-                ids = part.column(0).to_numpy()
-                by_id = np.argsort(ids, kind="stable")
-                groups = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
-                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                scale, x = part.column(2).to_numpy(), _matrix(part.column(3), length).astype(np.float64)
-                for a in range(0, len(asked), AT_ONCE):
-                    mine = slice(a, a + AT_ONCE)
-                    rough = np.zeros((len(asked[mine]), len(ids)), np.float32)
-                    for m in range(codes.shape[1]):
-                        rough += tables[mine, m][:, codes[:, m]]
-                    rough *= scale
-                    rough[asked[mine, None] == ids] = -np.inf
-                    n = min(rerank, len(ids))
-                    if len(groups) < len(ids):  # as many rows as hold the `rerank` best ids, each counted by its best row
-                        most = np.maximum.reduceat(rough[:, by_id], groups, axis=1)
-                        last = -np.partition(-most, min(rerank, len(groups)) - 1, axis=1)[:, [min(rerank, len(groups)) - 1]]
-                        n = int((rough >= last).sum(axis=1).max())
-                    chosen = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                    score = np.zeros(chosen.shape)
-                    for d in range(length):  # in the order of components
-                        score += exact[mine, d, None] * x[chosen, d]
-                    found = ids[chosen]
-                    score[found == asked[mine, None]] = -np.inf
-                    top_s[mine], top_i[mine] = _best(np.concatenate([top_s[mine], score], 1), np.concatenate([top_i[mine], found], 1), k)
-        row, col = np.nonzero(top_s > -np.inf)
-        if len(row):
-            yield pa.record_batch([pa.array(asked[row]), pa.array(top_i[row, col]), pa.array(top_s[row, col])], names=["query_id", "vec_id", "score"])
+        asked, exact, tables = sent.value  # ids, vectors, products with all codewords
+        top = [np.full((len(asked), rerank), -np.inf, np.float32), np.full((len(asked), rerank), np.iinfo(np.int64).max), np.zeros((len(asked), rerank))]
+        for part in it:
+            if not len(part):
+                continue
+            ids = part.column(0).to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            groups = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
+            codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+            scale, x = part.column(2).to_numpy(), _matrix(part.column(3), length, np.float64)
+            for a in range(0, len(asked), AT_ONCE):
+                mine = slice(a, a + AT_ONCE)
+                rough = np.zeros((len(asked[mine]), len(ids)), np.float32)
+                for m in range(codes.shape[1]):
+                    rough += tables[mine, m][:, codes[:, m]]
+                rough *= scale
+                rough[asked[mine, None] == ids] = -np.inf
+                n = min(rerank, len(ids))
+                if len(groups) < len(ids):  # as many rows as hold the `rerank` best ids, each counted by its best row
+                    most = np.maximum.reduceat(rough[:, by_id], groups, axis=1)
+                    last = -np.partition(-most, min(rerank, len(groups)) - 1, axis=1)[:, [min(rerank, len(groups)) - 1]]
+                    n = int((rough >= last).sum(axis=1).max())
+                # only what beats the worst of a list can enter it
+                n = max(1, min(n, int((rough >= top[0][mine, -1:]).sum(axis=1).max())))
+                chosen = np.argpartition(-rough, n - 1, axis=1)[:, :n]
+                score = np.zeros(chosen.shape)
+                for d in range(length):  # in the order of components
+                    score += exact[mine, d, None] * x[chosen, d]
+                found = np.take_along_axis(rough, chosen, 1), ids[chosen], score
+                for kept, new in zip(top, _best(rerank, *(np.concatenate([t[mine], f], 1) for t, f in zip(top, found, strict=True))), strict=True):
+                    kept[mine] = new
+        for a in range(0, len(asked), AT_ONCE):
+            rough, ids, score = (t[a : a + AT_ONCE] for t in top)
+            row, col = np.nonzero(rough > -np.inf)
+            if len(row):
+                yield pa.record_batch([pa.array(asked[a + row]), pa.array(ids[row, col]), pa.array(rough[row, col]), pa.array(score[row, col])], names=["query_id", "vec_id", "rough", "score"])
 
     return batches
 
@@ -171,20 +183,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, rerank: int
     if not length or vectors.isEmpty():
         return spark.createDataFrame([], schema)
     stored, books = index(vectors, length)
-    asked = usable(queries)[0].where(F.size("embedding") == length).dropDuplicates(["vec_id"])
-    blocks = 1 + asked.count() // QUERY_BLOCK
-    out = None
+    asked = _fine(queries).where(F.size("embedding") == length).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks, out = 1 + asked.count() // QUERY_BLOCK, None
     for no in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == no).toArrow().combine_chunks()
         if not len(block):
             continue
-        query = _matrix(block.column(1).combine_chunks(), length)
-        tables = np.einsum("qd,mwd->qmw", query, books, optimize=True).astype(np.float32)
-        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), query, tables))
-        found = stored.mapInArrow(_searched(sent, length, k, rerank), "query_id long, vec_id long, score double")
+        exact = _matrix(block.column(1).combine_chunks(), length, np.float64)
+        tables = np.einsum("qd,mwd->qmw", exact.astype(np.float32), books, optimize=True).astype(np.float32)
+        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), exact, tables))
+        found = written(stored.mapInArrow(_searched(sent, length, rerank), "query_id long, vec_id long, rough float, score double"), "lists")
+        sent.destroy()
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], schema)
-    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = out.groupBy("query_id", "vec_id").agg(F.max(F.struct("rough", "score")).alias("best")).select("query_id", "vec_id", "best.*")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
+    out = out.withColumn("place", place).where(F.col("place") <= rerank)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
