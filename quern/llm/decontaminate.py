@@ -1,7 +1,8 @@
 """Operator 3: benchmark items inside documents, by size-partitioned MinHash containment search and an exact check.
 
-Words are runs of letters, digits and other non-ASCII characters, in lower case; shingles are five words. An item is in a
-document if 80 % or more of its distinct shingles are among the document's.
+Words are runs of letters, digits and other non-ASCII characters, in Unicode's lower case (a character for a character);
+shingles are five words. An item is in a document if 80 % or more of its distinct shingles are among the document's; of an item
+of one to four words the whole sequence is its only shingle, which a document holds if the words stand in it in a row.
 
 Items are partitioned by the size of their sets, in powers of two. For each partition, documents are searched in windows
 of twice its upper bound of shingles, half overlapping, so that an item lies whole in one of them, and containment of
@@ -9,23 +10,25 @@ of twice its upper bound of shingles, half overlapping, so that an item lies who
 probability below 2e-6 at worst). Windows without a shingle that is an item's minimum can't agree and are skipped. Every
 candidate is verified by its exact containment in the whole document.
 
-Items are the query side: they go to the tasks in blocks of at most BLOCK_BYTES of text, one scan a block; documents stay
-where they are, and no shuffle is needed.
+Items are the query side: they go to the tasks in blocks of at most BLOCK_BYTES of text, one scan a block and one block at a
+time; documents stay where they are, and no shuffle is needed.
 
-Null texts, and items of fewer than five words, have no shingles and match nothing. Items or documents that share an id or
-a text are matched each on their own and reported once per pair of ids. Texts may have any length.
+Null texts and texts without words have no shingles and match nothing. Items or documents that share an id or
+a text are matched each on their own and reported once per pair of ids. Empty tables give empty results, or all documents back.
+Extra columns are kept by cleaned(), whatever their names. Texts may have any length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.words import LOWER, Words, mix, runs, text_chunks
-from quern.runtime import ship
+from quern.llm.words import Words, mix, runs, text_chunks
+from quern.runtime import drop, ship, written
 
 SHINGLE, LEAST_PERCENT, MINIMA = 5, 80, 64
 #: Text of benchmark items that is sent to the tasks at once.
@@ -38,19 +41,17 @@ _A = (_random.integers(0, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).asty
 _B = _random.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-def folded(text: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes in lower case: A-Z and the letters from U+00C0 to U+00DE."""
-    out = LOWER[text]
-    if len(text) > 1:
-        tail = text[1:]
-        out[1:][(text[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 0x20
-    return out
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.dictionary_decode() if pa.types.is_dictionary(texts.type) else texts)
 
 
-def shingled(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all five-word runs, in order, and each document's first."""
-    words = Words(folded(text), offsets, MARKS)
-    at, h = runs(words.hashes(), words.first, SHINGLE)
+def shingled(text: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` words, in order, and each document's first, of texts in lower case."""
+    return _shingled(Words(text, offsets, MARKS), size)
+
+
+def _shingled(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at, h = runs(words.hashes(), words.first, size)
     return h, np.searchsorted(at, words.first)
 
 
@@ -67,12 +68,19 @@ class Index:
     def __init__(self, ids: list, texts: pa.Array):
         self.sets, self.ids = [], []
         by_set: dict[bytes, int] = {}
-        for _, text, offsets in text_chunks([pa.record_batch([texts], names=["text"])]):
-            h, first = shingled(text, offsets)
+        #: Items of fewer words than a shingle: by number of words, their hashes and their ids.
+        self.short: dict[int, dict[int, list]] = {}
+        for _, text, offsets in text_chunks([pa.record_batch([lowered(texts)], names=["text"])]):
+            words = Words(text, offsets, MARKS)
+            h, first = _shingled(words, SHINGLE)
             for k in range(len(first) - 1):
                 s = np.unique(h[first[k] : first[k + 1]])
-                item = ids[len(self.ids)]
+                item, n = ids[len(self.ids)], int(words.counts[k])
                 self.ids.append((by_set.setdefault(s.tobytes(), len(by_set)), item, len(s)))
+                if 0 < n < SHINGLE:
+                    one, at = _shingled(words, n)
+                    self.short.setdefault(n, {}).setdefault(int(one[at[k]]), []).append(item)
+        self.short_hashes = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
         self.items: dict[int, list] = {}
         for no, item, n in self.ids:
             if n:
@@ -120,22 +128,35 @@ class Index:
                     for item in self.items[no]:
                         yield item, shared, len(s)
 
+    def found(self, text: np.ndarray, offsets: np.ndarray, percent: int):
+        """(document's number, item id, shared shingles, the item's shingles) of texts in lower case."""
+        words = Words(text, offsets, MARKS)
+        h, first = _shingled(words, SHINGLE)
+        hits = self.hits(h)
+        of = np.searchsorted(first, hits, "right") - 1
+        for d in np.unique(of).tolist():
+            for m in self.matches(h[first[d] : first[d + 1]], hits[of == d] - first[d], percent):
+                yield d, *m
+        for n, known in self.short_hashes.items():
+            h, first = _shingled(words, n)
+            at = np.flatnonzero(np.isin(h, known))
+            for d, x in sorted(set(zip((np.searchsorted(first, at, "right") - 1).tolist(), h[at].tolist(), strict=True))):
+                for item in self.short[n][x]:
+                    yield d, item, 1, 1
+
+
+def _lower_chunks(ids: pa.Array, texts: pa.Array):
+    return text_chunks([pa.record_batch([ids, lowered(texts)], names=["id", "text"])])
+
 
 def _searched(sent, percent: int):
     def batches(it):
-        index = sent.value
-        for part, text, offsets in text_chunks(it):
-            h, first = shingled(text, offsets)
-            hits = index.hits(h)
-            if not len(hits):
-                continue
-            rows = []
-            of = np.searchsorted(first, hits, "right") - 1
-            ids = part.column(0).to_pylist()
-            for d in np.unique(of).tolist():
-                rows += [(ids[d], *m) for m in index.matches(h[first[d] : first[d + 1]], hits[of == d] - first[d], percent)]
-            if rows:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item"])
+        for b in it:
+            for part, text, offsets in _lower_chunks(b.column(0), b.column(1)):
+                ids = part.column(0)
+                rows = [(ids[d].as_py(), *m) for d, *m in sent.value.found(text, offsets, percent)]
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item"])
 
     return batches
 
@@ -146,27 +167,30 @@ def _blocks(items: DataFrame, block_bytes: int):
     blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        yield items.sparkSession.sparkContext.broadcast(Index(block.column(0).to_pylist(), block.column(1).combine_chunks()))
+        yield k == blocks - 1, items.sparkSession.sparkContext.broadcast(Index(block.column(0).to_pylist(), block.column(1).combine_chunks()))
 
 
 def cleaned(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no item, with all their columns; no shuffle of texts."""
+    """The documents that hold no item, with all their columns; no shuffle of texts. What one block leaves is written for the next."""
     ship(docs.sparkSession)
-    for sent in _blocks(items, block_bytes):
+    before = None
+    for last, sent in _blocks(items, block_bytes):
         docs = docs.where(arrow_udf(_clean(sent, percent), "boolean")("text"))
+        if not last:
+            docs = written(docs, "clean")
+            sent.destroy()
+            drop(*([] if before is None else [before]))
+            before = docs
     return docs
 
 
 def _clean(sent, percent: int):
     def clean(texts: pa.Array) -> pa.Array:
         out = []
-        for _, text, offsets in text_chunks([pa.record_batch([texts], names=["text"])]):
-            h, first = shingled(text, offsets)
-            hits = sent.value.hits(h)
-            of = np.searchsorted(first, hits, "right") - 1
-            ok = np.ones(len(first) - 1, bool)
-            for d in np.unique(of).tolist():
-                ok[d] = next(sent.value.matches(h[first[d] : first[d + 1]], hits[of == d] - first[d], percent), None) is None
+        for part, text, offsets in _lower_chunks(pa.nulls(len(texts), pa.int8()), texts):
+            ok = np.ones(len(part), bool)
+            for d, *_ in sent.value.found(text, offsets, percent):
+                ok[d] = False
             out.append(pa.array(ok))
         return pa.concat_arrays(out) if out else pa.array([], pa.bool_())
 
@@ -178,8 +202,11 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for sent in _blocks(items, block_bytes):
+    for last, sent in _blocks(items, block_bytes):
         found = docs.mapInArrow(_searched(sent, percent), "doc_id long, item_id long, n_shared long, n_item long")
+        if not last:
+            found = written(found, "found")
+            sent.destroy()
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
 
@@ -188,8 +215,10 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-bs AS (SELECT DISTINCT item_id, list_slice(w, i, i + 4) AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+five AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+few AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 4),
+ds AS (SELECT * FROM five UNION SELECT doc_id, list_slice(w, i, i + n - 1) FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, few)),
+bs AS (SELECT DISTINCT item_id, list_slice(w, i, i + 4) AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
