@@ -10,10 +10,11 @@ the first place of each line stays. Chunks of equal 128-bit hashes are compared
 2. The places of those keys go back to their documents (other documents are left out before the shuffle, by a bitmap of
    fixed size), and come out with the chunk's bytes; a task sends its first place of each chunk, later ones are repeats
    for sure. Rows of one hash and equal bytes are ranked: all but the first are repeats.
-3. Repeats are gathered by document and cut from the text.
+3. Repeats are gathered by document and cut from the text; documents that the bitmap rules out aren't shuffled.
 
 Null texts have no lines and stay null. Documents without an id are returned unchanged; rows that share an id are told
-apart by position only, so equal rows don't remove each other. Documents may have any length.
+apart by position only, so equal rows don't remove each other. An empty table gives an empty result. Extra columns are kept,
+whatever their names. Documents may have any length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 
 from quern.llm.neardup import only
 from quern.llm.words import Words, runs, text_chunks
-from quern.runtime import ship, written
+from quern.runtime import fresh, ship, written
 
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
@@ -146,15 +147,18 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text and other columns) with repeated chunks cut from text, and _removed: the number of cuts."""
-    if clash := {"_removed", "_at", "_spans"} & set(docs.columns):
-        raise ValueError(f"columns of this operator's own: {sorted(clash)}")
-    spans = repeated_chunks(docs).select(F.col("doc_id").alias("_at"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("_at"), "left")
-    found = F.col("_spans").isNotNull()
-    text = F.when(found, arrow_udf(_cut, "string")(F.when(found, F.col("text")), "_spans")).otherwise(F.col("text"))
-    removed = F.coalesce(F.size("_spans"), F.lit(0)).cast("long")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], removed.alias("_removed"))
+    """`docs` (doc_id, text and other columns) with repeated chunks cut from text, and the number of cuts in _removed (longer by
+    underscores where the table has that name)."""
+    at, found = fresh(docs, "_at"), fresh(docs, "_spans")
+    spans = repeated_chunks(docs)
+    touched = only(docs, spans).join(spans.select(F.col("doc_id").alias(at), F.col("spans").alias(found)).hint("merge"), F.col("doc_id").cast("long") == F.col(at), "left")
+    cut = F.col(found).isNotNull()
+    text = F.when(cut, arrow_udf(_cut, "string")(F.when(cut, F.col("text")), found)).otherwise(F.col("text"))
+    removed = fresh(docs, "_removed")
+    columns = [f"`{c}`" for c in docs.columns if c != "text"]
+    touched = touched.select(*columns, text.alias("text"), F.coalesce(F.size(found), F.lit(0)).cast("long").alias(removed))
+    whole = only(docs, spans, False).select(*columns, "text", F.lit(0).cast("long").alias(removed))
+    return whole.unionByName(touched).select([f"`{c}`" for c in (*docs.columns, removed)])
 
 
 def digests(docs: DataFrame) -> DataFrame:
