@@ -1,27 +1,78 @@
-"""Dense retrieval: exact cosine top-k for a batch of query vectors, in built-in expressions."""
+"""Dense retrieval: exact cosine top-k for a batch of query vectors, in built-in expressions, and vectors of texts.
+
+Texts become vectors through an embedder: a function from (id, text) to (id, embedding). The one here counts tokens in hashed
+dimensions; a model can take its place."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one scan compares with.
+from quern.functions.text import index_tokens
+from quern.runtime import spread, stored, written
+
+#: Query vectors that one scan compares with; more go block by block.
 MOST_QUERIES = 4096
+#: Dimensions of hashed token counts.
+DIMENSIONS = 64
+
+Embedder = Callable[[DataFrame], DataFrame]
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def dimension(token: Column) -> Column:
+    """The dimension that a token counts in: the first sixteen bits of its SHA-1."""
+    return F.conv(F.substring(F.sha1(token), 1, 4), 16, 10).cast("int") % DIMENSIONS
+
+
+def hashed(texts: DataFrame) -> DataFrame:
+    """(id, embedding): how often tokens of (id, text) fall in each dimension; texts without tokens have no vector."""
+    tokens = texts.select("id", F.explode(index_tokens(F.col("text"))).alias("token"))
+    counts = tokens.groupBy("id", dimension(F.col("token")).alias("d")).agg(F.count("*").cast("double").alias("n"))
+    by_dimension = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("m"))  # DIMENSIONS entries at most
+    return by_dimension.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("embedding"))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """What a catalogue's vectors are made of."""
+    return docs.select(F.col("rowid").alias("id"), F.concat_ws(" ", "name", "description").alias("text"))
+
+
+def vectors(docs: DataFrame, embed: Embedder = hashed) -> DataFrame:
+    """(id, embedding) of a catalogue, kept in the shared folder until its files change."""
+    return stored(docs.sparkSession, f"vectors-{embed.__module__}.{embed.__qualname__}", docs, lambda: embed(described(spread(docs))))
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 20) -> DataFrame:
     """(qid, rank, id, score) for queries(qid, embedding) and vectors(id, embedding); score = q.v / (|q| |v| + 1e-10).
 
-    The stated queries meet all rows in a broadcast of checked size; top-k is cut before the shuffle."""
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; ask in batches of {MOST_QUERIES}")
-    q = F.broadcast(queries.select("qid", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("qn")))
+    Queries meet all rows in broadcasts of MOST_QUERIES, one alive at a time; top-k is cut before the shuffle."""
+    blocks = -(-queries.count() // MOST_QUERIES)
     v = vectors.select("id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("vn"))
-    scored = v.crossJoin(q).select("qid", "id", (dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn") + 1e-10)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("qid", "rank", "id", "score")
+
+    def found(asked: DataFrame) -> DataFrame:
+        q = F.broadcast(asked.select("qid", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("qn")))
+        scored = v.crossJoin(q).select("qid", "id", (dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn") + 1e-10)).alias("score"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("qid", "rank", "id", "score")
+
+    if blocks <= 1:
+        return found(queries)
+    parts = [written(found(queries.where(F.pmod(F.xxhash64("qid"), F.lit(2 * blocks)) == k)), "nearest") for k in range(2 * blocks)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, embed: Embedder = hashed, index: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, rowid, name, score, method): the rows of most similar vectors for queries(qid, query), similar at all."""
+    asked = embed(queries.select(F.col("qid").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "qid")
+    found = cosine_topk(asked, vectors(docs, embed) if index is None else index, top_k).where("score > 0")
+    named = found.join(docs.select(F.col("rowid").alias("id"), "name"), "id")
+    return named.select("qid", "rank", F.col("id").alias("rowid"), "name", F.round("score", 4).alias("score"), F.lit("embed").alias("method"))

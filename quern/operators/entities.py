@@ -49,7 +49,9 @@ def merge_pairs(names: DataFrame, least_entropy: float = LEAST_ENTROPY, merge: f
     named = names.select("rowid", "name", normal_name_exact(F.col("name")).alias("norm"))
     first = named.withColumn("a", F.min("rowid").over(Window.partitionBy("norm")))
     equal = first.where("a < rowid").select("a", F.col("rowid").alias("b"))
-    near = lsh_candidates(signatures(names, least_entropy))
+    # rows of one name have one signature, and equal names are joined above
+    alike = names.groupBy("name").agg(F.min("rowid").alias("rowid")).select("rowid", "name")
+    near = lsh_candidates(signatures(alike, least_entropy))
     side = lambda x: named.select(F.col("rowid").alias(x), F.col("norm").alias(f"n{x}"))
     near = near.join(side("a"), "a").join(side("b"), "b")
     guarded = ~is_variant_pair(F.col("na"), F.col("nb")) & ~is_prefix_pair(F.col("na"), F.col("nb"))
@@ -62,6 +64,14 @@ def survivors(names: DataFrame, least_entropy: float = LEAST_ENTROPY, merge: flo
     return names.join(found, names.rowid == found.node, "left").select(*[names[c] for c in names.columns], F.coalesce("component", names.rowid).alias("survivor"))
 
 
+def groups(names: DataFrame, **limits: float) -> DataFrame:
+    """(survivor, kept, removed): entities of more than one row, with the name that stays and the names that go, in order of rowid."""
+    found = survivors(names, **limits)
+    return found.groupBy("survivor").agg(
+        F.min_by("name", "rowid").alias("kept"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rowid") != F.col("survivor"), F.struct("rowid", "name")))), lambda x: x["name"]).alias("removed")
+    ).where("size(removed) > 0")
+
+
 def deduplicated(catalogue: DataFrame, **limits: float) -> DataFrame:
     """The catalogue without merged rows; dependent tables drop the others by an anti join on name."""
     return survivors(catalogue, **limits).where("rowid = survivor").drop("survivor")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import pattern_key
-from quern.runtime import ship
+from quern.runtime import ship, written
 
 
 def skill_weights(feedback: DataFrame) -> DataFrame:
@@ -40,24 +40,42 @@ def query_patterns(feedback: DataFrame) -> DataFrame:
     """(pattern_key, best_skill, count, last_used): which name serves a kind of query best, learnt in order of the log.
 
     The first name holds a new pattern; a success of another name takes over if its success rate, as counted over all
-    patterns up to then, is strictly better. A pattern's names bring their counters of other patterns along, so a group
-    holds the history of the names that the pattern has seen."""
+    patterns up to then, is strictly better. A pattern's names bring their counters of other patterns along, so the
+    history of the names that the pattern has seen passes by, in order and in one task; no more than the names' last rates are held."""
     ship(feedback.sparkSession)
     log = running_counters(feedback).withColumn("pattern_key", pattern_key(F.col("query"))).select("id", "skill_name", "success", "timestamp", "pattern_key", (F.col("s") / F.col("n")).alias("rate"))
-    names = log.where("pattern_key <> ''").select(F.col("pattern_key").alias("of"), "skill_name").distinct()
-    return log.join(names, "skill_name").groupBy("of").applyInArrow(_folded, "pattern_key string, best_skill string, count long, last_used timestamp_ntz")
-
-
-def _folded(t: pa.Table) -> pa.Table:
-    rates, best, count, last = {}, None, 0, None
-    for r in t.sort_by("id").to_pylist():
-        rates[r["skill_name"]] = r["rate"]
-        if r["pattern_key"] != r["of"]:
-            continue
-        if best is None or r["success"] and r["skill_name"] != best and r["rate"] > rates[best]:
-            best = r["skill_name"]
-        count, last = count + 1, r["timestamp"]
-    return pa.table({"pattern_key": [t.column("of")[0].as_py()], "best_skill": [best], "count": [count], "last_used": pa.array([last], pa.timestamp("us"))})
+    names = written(log.where("pattern_key <> ''").select(F.col("pattern_key").alias("of"), "skill_name").distinct(), "pattern-names")
+    history = log.join(names, "skill_name").select("of", "id", "skill_name", "success", "timestamp", "pattern_key", "rate")
+    return history.repartition("of").sortWithinPartitions("of", "id").mapInArrow(_folded, "pattern_key string, best_skill string, count long, last_used timestamp_ntz")
+
+
+def _folded(it):
+    """A pattern's history passes by in order; only its names' last rates are held."""
+    of, rates, best, count, last = None, {}, None, 0, None
+    done = []
+
+    def out():
+        cols = list(zip(*done, strict=True))
+        return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.timestamp("us"))], names=["pattern_key", "best_skill", "count", "last_used"])
+
+    for batch in it:
+        for key, _, name, success, at, pattern, rate in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != of:
+                if of is not None:
+                    done.append((of, best, count, last))
+                of, rates, best, count, last = key, {}, None, 0, None
+            rates[name] = rate
+            if pattern == key:
+                if best is None or success and name != best and rate > rates[best]:
+                    best = name
+                count, last = count + 1, at
+        if len(done) >= 1000:
+            yield out()
+            done.clear()
+    if of is not None:
+        done.append((of, best, count, last))
+    if done:
+        yield out()
 
 
 def best_skill(patterns: DataFrame, queries: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import expanded, hinted, index_tokens, keywords
-from quern.runtime import bounded, spread, written
+from quern.runtime import bounded, spread, stored
 
 # BM25 parameters, column weights, score tiers.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"name": 5.0, "description": 3.0, "body": 1.0, "tags": 1.0}
 UNHINTED, LIKE_SCORE = 0.85, 0.9
+#: Terms of a batch of queries that go to the reader as a filter.
+MOST_TERMS = 500
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -31,10 +33,16 @@ def doc_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
     return docs.select("rowid").join(counts, "rowid", "left").select("rowid", F.coalesce("length", F.lit(0)).alias("length"))
 
 
+def by_term(index: DataFrame) -> DataFrame:
+    """Postings in the order of terms, so that a reader of a few terms skips the files and row groups of others."""
+    return index.repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid")
+
+
 def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, stats) of a catalogue, written once: every query of a session reads them, none tokenises again."""
-    index = written(postings(spread(docs)), "postings")
-    return index, written(doc_stats(docs, index), "lengths")
+    """(postings, stats) of a catalogue, kept in the shared folder until its files change: later queries tokenise nothing."""
+    spark = docs.sparkSession
+    index = stored(spark, "postings", docs, lambda: by_term(postings(spread(docs))))
+    return index, stored(spark, "lengths", docs, lambda: doc_stats(docs, index))
 
 
 def _phrases(words: Column, prefix: bool) -> Column:
@@ -66,10 +74,21 @@ def phrase_counts(phrases: DataFrame, index: DataFrame) -> DataFrame:
     """(text, prefix, rowid, f): weighted occurrences of each distinct phrase; of a prefix phrase only the last token is one."""
     tokens = phrases.select("text", "prefix").distinct().withColumn("tokens", index_tokens(F.col("text")))
     tokens = tokens.select("text", "prefix", F.size("tokens").alias("m"), F.posexplode("tokens").alias("at", "token"))
-    exact = tokens.where(~(F.col("prefix") & (F.col("at") == F.col("m") - 1))).withColumn("term", F.col("token"))
+    last = F.col("prefix") & (F.col("at") == F.col("m") - 1)
+    exact = tokens.where(~last).withColumn("term", F.col("token"))
+    open_end = tokens.where(last)
+    few = open_end.select("token").union(exact.select("token")).distinct().limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
+    if len(few) <= MOST_TERMS:  # few terms: the reader skips the others; many meet the whole index in joins
+        ends = [x.token for x in open_end.select("token").distinct().collect()]
+        wanted = F.col("term").isin(few)
+        for x in ends:
+            wanted = wanted | F.startswith("term", F.lit(x))
+        index = index.where(wanted)
+    # a vocabulary term meets the open ends by its own beginnings of their lengths
+    lengths = [x.n for x in open_end.select(F.char_length("token").alias("n")).distinct().collect()]
     vocabulary = index.select("term").distinct()
-    open_end = tokens.where(F.col("prefix") & (F.col("at") == F.col("m") - 1))
-    ended = open_end.join(vocabulary, (F.substring("term", 1, 1) == F.substring("token", 1, 1)) & F.startswith("term", "token"))
+    beginnings = vocabulary.withColumn("n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("n <= char_length(term)")
+    ended = open_end.join(beginnings.select("term", F.expr("left(term, n)").alias("token")), "token")
     terms = exact.unionByName(ended).select("text", "prefix", "m", "at", "term")
     weight = F.lit(0.0)
     for c, x in WEIGHTS.items():

@@ -89,7 +89,7 @@ def normal_names(spark, sf_dir):
 @query
 def entropy_gate(spark, sf_dir):
     p = adapters.parts(spark, sf_dir)
-    return p.select("name", F.round(text.entropy(F.col("name")), 6).alias("entropy")).where("entropy >= 3.2")
+    return p.select("name", F.round(text.entropy(F.col("name")), 6).alias("entropy")).where(F.col("entropy") >= entities.LEAST_ENTROPY)
 
 
 @query
@@ -131,15 +131,19 @@ def bm25_mixed(spark, sf_dir):
 @query
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id < 10").select(F.col("id").alias("qid"), "embedding")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
     return dense.cosine_topk(q, v, 10).withColumn("score", F.round("score", 6))
 
 
 def _fused(spark, sf_dir, threshold=0.0):
-    """Without an embedding model both lists are the lexical one."""
+    """The lexical list and that of the hashed vectors."""
     d, q = adapters.documents(spark, sf_dir), asked(spark, DOCUMENT_QUERIES)
-    found = searched(spark, sf_dir, 60)
-    return fusion.rrf([found, found], q, d, 20, threshold)
+    return fusion.rrf([searched(spark, sf_dir, 60), dense.search(q, d, 60)], q, d, 20, threshold)
+
+
+@query
+def embed_search(spark, sf_dir):
+    return dense.search(asked(spark, DOCUMENT_QUERIES), adapters.documents(spark, sf_dir)).select("qid", "rank", "name", "score", "method")
 
 
 @query
@@ -149,7 +153,7 @@ def rrf_fusion(spark, sf_dir):
 
 @query
 def rrf_threshold(spark, sf_dir):
-    return _fused(spark, sf_dir, 0.03)
+    return _fused(spark, sf_dir, 0.015)
 
 
 @query
@@ -294,13 +298,13 @@ def tokens_saved(spark, sf_dir):
 
 @query
 def unused_skills(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity < 2 and l_returnflag = 'R'").select(F.col("p_name").alias("skill_name"))
-    return usage.unused(adapters.parts(spark, sf_dir), used, 20)
+    used = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("skill_name"))
+    return usage.unused(adapters.documents(spark, sf_dir), used, 20)
 
 
 @query
 def edges_cooccur(spark, sf_dir):
-    return graph.cooccurrence_edges(adapters.part_uses(spark, sf_dir))
+    return graph.cooccurrence_edges(adapters.word_uses(spark, sf_dir))
 
 
 @query
@@ -368,6 +372,13 @@ def dedup_survivors(spark, sf_dir):
     return entities.survivors(p.unionByName(again))
 
 
+@query
+def dedup_groups(spark, sf_dir):
+    p = adapters.parts(spark, sf_dir).select("rowid", "name")
+    again = p.select((F.col("rowid") + 1_000_000).alias("rowid"), F.upper(F.replace("name", F.lit(" "), F.lit("--"))).alias("name"))
+    return entities.groups(p.unionByName(again)).select("survivor", "kept", F.array_join("removed", ",").alias("removed"))
+
+
 @query
 def extract_tags(spark, sf_dir):
     return optimize.body_tags(adapters.documents(spark, sf_dir)).select("rowid", F.array_join("tags", ",").alias("tags"))
@@ -375,7 +386,7 @@ def extract_tags(spark, sf_dir):
 
 @query
 def optimize_compress(spark, sf_dir):
-    d = adapters.documents(spark, sf_dir).where("char_length(description) > 120")
+    d = adapters.documents(spark, sf_dir)
     return d.select("rowid", optimize.compressed(F.concat(F.lit("This skill provides information in order to "), "description")).alias("description"))
 
 
@@ -388,7 +399,7 @@ def optimize_expand(spark, sf_dir):
 @query
 def optimize_prefix(spark, sf_dir):
     d = adapters.documents(spark, sf_dir)
-    return d.select("rowid", optimize.prefixed(F.substring("description", 1, 40), F.col("body")).alias("description"))
+    return d.select("rowid", optimize.prefixed(F.col("description"), F.col("body")).alias("description"))
 
 
 @query
@@ -404,8 +415,8 @@ def optimize_totals(spark, sf_dir):
 @query
 def upsert_merge(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    loads = d.select(F.col("doc_id").alias("load_seq"), F.col("source").alias("name"), F.split_part("text", F.lit(" "), F.lit(1)).alias("description"), F.array("lang").alias("tags"))
-    return catalogue.upsert(loads).select("name", "description", F.array_join("tags", ",").alias("tags"), "rowid")
+    loads = d.select(F.col("doc_id").alias("load_seq"), F.col("source").alias("name"), F.col("text").alias("description"), F.array("lang").alias("tags"))
+    return catalogue.upsert(loads).select("name", F.md5("description").alias("description"), F.array_join("tags", ",").alias("tags"), "rowid")
 
 
 @query
@@ -422,4 +433,4 @@ def recipe_expand(spark, sf_dir):
 
 @query
 def json_output(spark, sf_dir):
-    return catalogue.as_json(adapters.documents(spark, sf_dir).where("rowid < 50").select("name", "category", F.col("token_cost_body").alias("tokens")))
+    return catalogue.as_json(adapters.documents(spark, sf_dir).select("name", "category", F.col("token_cost_body").alias("tokens")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter
 
 from quern.functions.text import EXPANSIONS, FOLD_FROM, FOLD_TO, GENERIC_TERMS, PATTERN_STOP_WORDS, STOP_WORDS
+from quern.operators.dense import DIMENSIONS
 from quern.operators.optimize import DEFAULT_PHRASE, DEFAULT_PREFIX, PHRASES, PREFIXES, REWRITES, TAG_STOP_WORDS, VERBS
 from quern.plans.catalogue import AS_OF, DOCUMENT_QUERIES, PART_QUERIES, RECIPES
 from quern.sources.adapters import PHRASES as TASKS
@@ -112,6 +116,7 @@ CO = """pu AS (SELECT l_orderkey AS sid, p_name AS n FROM lineitem JOIN part ON
 pc AS (SELECT a.n AS src, b.n AS dst, count(*) AS n FROM pu a JOIN pu b ON a.sid = b.sid AND a.n < b.n GROUP BY ALL),
 mg AS (SELECT name, sum(n) AS m FROM (SELECT src AS name, n FROM pc UNION ALL SELECT dst, n FROM pc) GROUP BY name), tt AS (SELECT sum(n) AS t FROM pc),
 e_co AS (SELECT src, dst, round(greatest(0, s), 4)::DOUBLE AS weight, 'co_occur' AS edge_type FROM (SELECT src, dst, log2((n / t) / ((a.m / t) * (b.m / t) + 1e-10)) AS s FROM pc JOIN mg a ON a.name = src JOIN mg b ON b.name = dst, tt) WHERE s > 0)"""
+WORD_CO = "pu AS (SELECT item_id AS sid, unnest(" + index_tokens("text") + ") AS n FROM benchmark)," + CO.partition("),")[2]
 CONTENT = """e_content AS (SELECT src, dst, round(s, 4)::DOUBLE AS weight, 'content' AS edge_type FROM (SELECT a.name AS src, b.name AS dst,
  CASE WHEN a.category = b.category THEN 0.3 ELSE 0 END + 0.4 * len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags)))::DOUBLE AS s FROM parts a JOIN parts b ON a.name < b.name) WHERE s > 0)"""
 FEED = """rated AS (SELECT skill_name AS name, successes / (successes + failures) AS rate FROM sw), good AS (SELECT * FROM rated WHERE rate > (SELECT avg(rate) FROM rated)),
@@ -164,9 +169,23 @@ def strategy(k: int) -> str:
     return f"WITH {DOCS}, {bm25_ctes('docs', DOCUMENT_QUERIES)} SELECT qid, rowid, round(bm25, 6) AS bm25 FROM scored WHERE strategy = {k}"
 
 
+def embedded(queries: list, top_k: int) -> str:
+    """es(qid, rank, rowid, score): cosine of token counts in hashed dimensions."""
+    rows = []
+    for qid, q in queries:
+        tokens = [t for t in re.split(r"[\W_]+", q.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))) if t]
+        dims = Counter(int(hashlib.sha1(t.encode()).hexdigest()[:4], 16) % DIMENSIONS for t in tokens)
+        rows += [(qid, d, float(n), math.sqrt(sum(x * x for x in dims.values()))) for d, n in dims.items()]
+    return f"""ht AS (SELECT rowid, ('0x' || sha1(t)[1:4])::BIGINT % {DIMENSIONS} AS d, count(*)::DOUBLE AS n FROM (SELECT rowid, unnest({index_tokens("name || ' ' || description")}) AS t FROM docs) GROUP BY ALL),
+hn AS (SELECT rowid, sqrt(sum(n * n)) AS vn FROM ht GROUP BY rowid), eq AS (SELECT * FROM {values(rows, "qid, d, n, qn")}),
+es AS (SELECT qid, rowid, sum(eq.n * ht.n) / (any_value(qn::DOUBLE) * any_value(vn) + 1e-10) AS score FROM eq JOIN ht USING (d) JOIN hn USING (rowid) GROUP BY qid, rowid),
+el AS (SELECT qid, rowid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid)::INT AS rank FROM es QUALIFY rank <= {top_k})"""
+
+
 def fused(threshold: float) -> str:
-    return f"""{WIDE}, fu AS (SELECT qid, name, 2.0 / (60 + rank) AS s, rank AS old FROM res),
-fp AS (SELECT fu.qid, name, old, s * CASE WHEN {hint(DOCUMENT_QUERIES, ["name", "description"], 2)} THEN 1 ELSE 0.7 END AS s FROM fu JOIN docs USING (name))
+    return f"""{WIDE}, {embedded(DOCUMENT_QUERIES, 60)}, both_lists AS (SELECT qid, name, 1.0::DOUBLE / (60 + rank) AS s, 0 AS l, rank FROM res UNION ALL SELECT qid, name, 1.0::DOUBLE / (60 + rank), 1, rank FROM el JOIN docs USING (rowid)),
+fu AS (SELECT qid, name, sum(s) AS s, min(l * 1000 + rank) AS old FROM both_lists GROUP BY ALL),
+fp AS (SELECT fu.qid, name, old, s * CASE WHEN {hint(DOCUMENT_QUERIES, ["name", "description"], 2)} THEN 1 ELSE 0.7::DOUBLE END AS s FROM fu JOIN docs USING (name))
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, old)::INT AS rank, name, round(s, 4)::DOUBLE AS score, 'bm25+embed' AS method FROM fp
 QUALIFY rank <= 20 AND round(s, 4) >= {threshold}"""
 
@@ -179,6 +198,30 @@ SELECT qid, {RERANK}, name, score::DOUBLE AS score, method FROM bo"""
 GAPS = "ga AS (SELECT qid, rank, score, score - lead(score) OVER (PARTITION BY qid ORDER BY rank) AS gap FROM res), gs AS (SELECT qid, count(*) AS n, avg(gap) AS mean, max(gap) AS largest, max(score) AS top FROM ga GROUP BY qid), gm AS (SELECT ga.qid, min(rank) AS ix FROM ga JOIN gs USING (qid) WHERE gap = largest GROUP BY ga.qid), kk AS (SELECT qid, n, (CASE WHEN n <= 1 THEN n WHEN mean <= 0 THEN 0 ELSE greatest(1, least(CASE WHEN largest >= mean * 2 AND largest >= 0.05 * top THEN ix ELSE n END, 10)) END)::BIGINT AS k FROM gs LEFT JOIN gm USING (qid))"
 HEADERS = "se AS (SELECT user_id::VARCHAR AS session_id, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS event, ts, props FROM events), hd AS (SELECT session_id, min(ts) FILTER (event = 'start') AS started_at, max(ts) FILTER (event = 'end') AS ended_at, arg_min(props, ts) FILTER (event = 'start') AS metadata FROM se GROUP BY session_id)"
 LAST = f"{USES}, la AS (SELECT session_id, skill_name, max(id) AS id, arg_max(ts, id) AS ts FROM uses GROUP BY ALL), rk AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC)::INT AS place, skill_name, id FROM la)"
+#: Each pattern's rows in order, and the last rate of every name up to each of them; then the fold, row by row.
+FOLD = EFB.replace("value > 30 AS success FROM events", "value > 30 AS success, ts FROM events") + f""", fk AS (SELECT id, skill_name, success, ts, {PATTERN.format("query")} AS key FROM efb),
+rc AS (SELECT *, sum(success::INT) OVER w / count(*) OVER w AS rate FROM fk WINDOW w AS (PARTITION BY skill_name ORDER BY id)),
+pr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS no FROM rc WHERE key <> ''),
+kn AS (SELECT DISTINCT key, skill_name AS best FROM pr), mv AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS k FROM pr WHERE success OR no = 1),
+gr AS MATERIALIZED (SELECT mv.key, mv.k, kn.best, arg_max(rc.rate, rc.id) AS rate FROM mv JOIN kn USING (key) JOIN rc ON rc.skill_name = kn.best AND rc.id <= mv.id GROUP BY ALL),
+fo(key, k, best) AS (SELECT key, k, skill_name FROM mv WHERE k = 1 UNION ALL
+ SELECT mv.key, mv.k, CASE WHEN mv.success AND mv.skill_name <> fo.best AND mv.rate > gr.rate THEN mv.skill_name ELSE fo.best END FROM fo JOIN mv ON mv.key = fo.key AND mv.k = fo.k + 1 JOIN gr ON gr.key = mv.key AND gr.k = mv.k AND gr.best = fo.best),
+qp AS (SELECT key AS pattern_key, arg_max(best, k) AS best_skill FROM fo GROUP BY key),
+qc AS (SELECT key AS pattern_key, count(*) AS count, arg_max(ts, id) AS last_used FROM pr GROUP BY key)"""
+BEST_FOR = [(1, "please deploy the cluster"), (2, "database backup"), (3, "unknown thing")]
+#: Part names and their shouted variants, and what makes two of them one entity.
+NAMES = f"{PARTS}, nm AS (SELECT rowid, name FROM parts UNION ALL SELECT rowid + 1000000, upper(replace(name, ' ', '--')) FROM parts)"
+STEM = "'^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$'"
+ENTITIES = f"""{NAMES}, no AS (SELECT rowid, name, {NORM.format("name")} AS x FROM nm),
+ne AS (SELECT rowid, -sum(c / n * log2(c / n)) AS e FROM (SELECT rowid, ch, count(*) AS c, any_value(length(x)) AS n FROM (SELECT rowid, x, unnest(string_split(x, '')) AS ch FROM no) GROUP BY rowid, ch) GROUP BY rowid),
+nr AS (SELECT rowid, list_distinct(list_transform(range(1, greatest(length(y) - 1, 2)), lambda i: y[i:i + 2])) AS sh FROM (SELECT rowid, replace(name, ' ', '') AS y FROM no JOIN ne USING (rowid) WHERE e >= 2.5)),
+ng AS (SELECT rowid, {SIG} AS sig FROM nr), nb AS (SELECT rowid, b, array_to_string(sig[b * 6 + 1:b * 6 + 6], ',') AS k FROM (SELECT rowid, unnest(range(20)) AS b, sig FROM ng)),
+nc AS (SELECT DISTINCT a.rowid AS a, b.rowid AS b FROM nb a JOIN nb b ON a.b = b.b AND a.k = b.k AND a.rowid < b.rowid),
+nl AS (SELECT a, b FROM nc JOIN no x ON x.rowid = a JOIN no y ON y.rowid = b WHERE jaro_winkler_similarity(x.x, y.x) >= 0.92 AND NOT (x.x <> y.x AND (starts_with(x.x, y.x) OR starts_with(y.x, x.x)))
+ AND NOT (x.x <> y.x AND greatest(length(x.x), length(y.x)) < 12 AND regexp_matches(x.x, {STEM}) AND regexp_matches(y.x, {STEM}) AND regexp_extract(x.x, {STEM}, 1) = regexp_extract(y.x, {STEM}, 1) AND regexp_extract(x.x, {STEM}, 2) <> regexp_extract(y.x, {STEM}, 2))
+ UNION SELECT a.rowid, b.rowid FROM no a JOIN no b ON a.x = b.x AND a.rowid < b.rowid),
+nd AS (SELECT a, b FROM nl UNION ALL SELECT b, a FROM nl), ra(a, b) AS (SELECT a, b FROM nd UNION SELECT ra.a, nd.b FROM ra JOIN nd ON ra.b = nd.a),
+sv AS (SELECT nm.rowid, nm.name, least(nm.rowid, coalesce(m, nm.rowid)) AS survivor FROM nm LEFT JOIN (SELECT a, min(b) AS m FROM ra GROUP BY a) ON a = nm.rowid)"""
 MUST = [(i, n) for r, _, must, should in RECIPES if r == "audit" for i, n in enumerate([*must, *should])]
 #: Three page folders: host/lang/id, so parent is host/lang and grandparent host.
 PATHS = "pg AS (SELECT 'page-' || page_id AS name, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/[^/]*$', '') AS parent FROM pages), pq AS (SELECT name, parent, regexp_replace(parent, '/[^/]*$', '') AS grand FROM pg)"
@@ -191,13 +234,14 @@ ORACLE_SQL: dict[str, str] = {
     "metadata_projection": f"WITH {DOCS} SELECT rowid, name || ': ' || description || ' [' || array_to_string(tags[1:3], ', ') || ']' AS line, (length(body) // 4)::BIGINT AS tokens, regexp_replace(description, '[\\x00-\\x1f\\x7f]', '', 'g')[1:128] AS safe FROM docs",
     "keywords": f"SELECT item_id, array_to_string({KEYWORD_LIST}, ' ') AS words, {PATTERN.format('text')} AS pattern_key FROM benchmark",
     "normal_names": f"WITH {PARTS} SELECT name, {NORM.format('description')} AS norm FROM parts",
-    "entropy_gate": f"WITH {PARTS}, {ENTROPY} SELECT name, round(e, 6) AS entropy FROM en WHERE round(e, 6) >= 3.2",
+    "entropy_gate": f"WITH {PARTS}, {ENTROPY} SELECT name, round(e, 6) AS entropy FROM en WHERE round(e, 6) >= 2.5",
     "like_supplement": f"WITH {DOCS}, {like_cte('docs', DOCUMENT_QUERIES, 20)} SELECT qid, rowid FROM lk",
     "bm25_and": strategy(1), "bm25_or": strategy(2), "bm25_truncated_prefix": strategy(3), "bm25_prefix": strategy(4), "bm25_mixed": strategy(5),
     "cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
-s AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_dot_product(q.e, v.e) / (q.n * v.n + 1e-10) AS score FROM v, (SELECT * FROM v WHERE vec_id < 10) q)
+s AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_dot_product(q.e, v.e) / (q.n * v.n + 1e-10) AS score FROM v, (SELECT * FROM v WHERE vec_id % 100 = 0) q)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
-    "rrf_fusion": fused(0), "rrf_threshold": fused(0.03),
+    "rrf_fusion": fused(0), "rrf_threshold": fused(0.015),
+    "embed_search": f"WITH {DOCS}, {embedded(DOCUMENT_QUERIES, 20)} SELECT qid, rank, name, round(score, 4) AS score, 'embed' AS method FROM el JOIN docs USING (rowid)",
     "session_boost": boosted(SEARCH, "(VALUES ('doc-12'), ('doc-40'), ('doc-61')) ", "score + 0.5", "o.name IS NOT NULL", "+session").replace("(VALUES ('doc-12'), ('doc-40'), ('doc-61'))  o", "(VALUES ('doc-12'), ('doc-40'), ('doc-61')) o(name)"),
     "feedback_weighted": boosted(SEARCH + ", lw AS (SELECT 'doc-' || doc_id AS name, (count(*) FILTER (quality = 1) + 1) / (count(*) + 2) AS w FROM labels GROUP BY doc_id)", "lw", "score * 0.7 + w * 0.3", "w IS NOT NULL", "+weighted"),
     "graph_boost": boosted("WITH " + ALL_EDGES + ", " + pagerank() + ", pr AS (SELECT name, round(score, 6) AS ppr FROM r20)" + search_ctes("parts", "", PART_QUERIES, 10), "pr", "score * 0.7 + ppr * 0.3", "ppr > 0", "+graph"),
@@ -221,8 +265,8 @@ SELECT * FROM kept UNION ALL SELECT qid, rank, name, tokens FROM rt WHERE rank =
     "usage_top": f"WITH {RECENT_USAGE} SELECT skill_name, count(*) AS cnt FROM ru GROUP BY skill_name ORDER BY cnt DESC, skill_name LIMIT 10",
     "usage_by_method": f"WITH {RECENT_USAGE} SELECT retrieval_method, count(*) AS cnt FROM ru GROUP BY retrieval_method",
     "tokens_saved": f"WITH {RECENT_USAGE} SELECT coalesce(sum(tokens_saved), 0)::BIGINT AS tokens_saved FROM ru",
-    "unused_skills": f"WITH {PARTS} SELECT name FROM parts WHERE name NOT IN (SELECT DISTINCT p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 2 AND l_returnflag = 'R') ORDER BY rowid, name LIMIT 20",
-    "edges_cooccur": f"WITH {CO} FROM e_co", "edges_content": f"WITH {PARTS}, {CONTENT} FROM e_content", "edges_feedback": f"WITH {SW}, {FEED} FROM e_feed", "edges_text": f"WITH {PARTS}, {TEXT} FROM e_text",
+    "unused_skills": f"WITH {DOCS} SELECT name FROM docs WHERE rowid NOT IN (SELECT doc_id FROM labels) ORDER BY rowid, name LIMIT 20",
+    "edges_cooccur": f"WITH {WORD_CO} FROM e_co", "edges_content": f"WITH {PARTS}, {CONTENT} FROM e_content", "edges_feedback": f"WITH {SW}, {FEED} FROM e_feed", "edges_text": f"WITH {PARTS}, {TEXT} FROM e_text",
     "edges_path": f"""WITH {PATHS}, near AS (SELECT DISTINCT a.name AS src, b.name AS dst FROM pq a JOIN pq b ON a.parent = b.parent AND a.name < b.name WHERE (a.name, b.name) <> ('page-1', 'page-2')),
 far AS (SELECT DISTINCT a.name AS src, b.name AS dst FROM pq a JOIN pq b ON a.grand = b.grand AND a.name < b.name WHERE a.parent <> b.parent AND (a.name, b.name) <> ('page-1', 'page-2'))
 SELECT src, dst, 0.4::DOUBLE AS weight, 'path_shared' AS edge_type FROM near UNION ALL SELECT src, dst, 0.2::DOUBLE, 'path_shared' FROM far""",
@@ -231,14 +275,19 @@ SELECT src, dst, 0.4::DOUBLE AS weight, 'path_shared' AS edge_type FROM near UNI
     "ppr_20": f"WITH {SOME_EDGES}, {pagerank()} SELECT name, round(score, 6) AS score FROM r20",
     "minhash_signatures": f"WITH {SIGNED} SELECT rowid, array_to_string(sig, ',') AS sig FROM sg",
     "lsh_candidates": f"WITH {SIGNED}, bd AS (SELECT rowid, unnest(range(20)) AS no, sig FROM sg), bk AS (SELECT rowid, no, array_to_string(sig[no * 6 + 1:no * 6 + 6], ',') AS k FROM bd) SELECT DISTINCT a.rowid AS a, b.rowid AS b FROM bk a JOIN bk b ON a.no = b.no AND a.k = b.k AND a.rowid < b.rowid",
+    "query_patterns": f"WITH RECURSIVE {FOLD} SELECT pattern_key, best_skill, count, last_used FROM qp JOIN qc USING (pattern_key)",
+    "best_skill": f"WITH RECURSIVE {FOLD} SELECT qid, best_skill FROM (SELECT qid, {PATTERN.format('query')} AS pattern_key FROM {values(BEST_FOR, 'qid, query')}) JOIN qp USING (pattern_key)",
+    "jaro_winkler_pairs": f"WITH {SIGNED}, bd AS (SELECT rowid, unnest(range(20)) AS no, sig FROM sg), bk AS (SELECT rowid, no, array_to_string(sig[no * 6 + 1:no * 6 + 6], ',') AS k FROM bd), cd AS (SELECT DISTINCT a.rowid AS a, b.rowid AS b FROM bk a JOIN bk b ON a.no = b.no AND a.k = b.k AND a.rowid < b.rowid) SELECT a, b, round(jaro_winkler_similarity(x.name, y.name), 6) AS score, len(list_filter(list_zip(sa.sig, sb.sig), lambda z: z[1] = z[2])) / 128 AS jaccard FROM cd JOIN parts x ON x.rowid = a JOIN parts y ON y.rowid = b JOIN sg sa ON sa.rowid = a JOIN sg sb ON sb.rowid = b",
+    "dedup_survivors": f"WITH RECURSIVE {ENTITIES} FROM sv",
+    "dedup_groups": f"WITH RECURSIVE {ENTITIES} SELECT survivor, arg_min(name, rowid) AS kept, string_agg(name, ',' ORDER BY rowid) FILTER (rowid <> survivor) AS removed FROM sv GROUP BY survivor HAVING count(*) > 1",
     "extract_tags": f"WITH {DOCS}, {TAGS} SELECT rowid, array_to_string(l, ',') AS tags FROM tg",
-    "optimize_compress": f"WITH {DOCS}, c AS (SELECT rowid, {compress(chr(39) + 'This skill provides information in order to ' + chr(39) + ' || description')} AS x FROM docs WHERE length(description) > 120) SELECT rowid, {CUT} AS description FROM c",
+    "optimize_compress": f"WITH {DOCS}, c AS (SELECT rowid, {compress(chr(39) + 'This skill provides information in order to ' + chr(39) + ' || description')} AS x FROM docs) SELECT rowid, {CUT} AS description FROM c",
     "optimize_expand": f"WITH {DOCS} SELECT rowid, {first_of(chr(40) + 'body || ' + chr(39) + ' backup' + chr(39) + chr(41), PHRASES, DEFAULT_PHRASE)} || ' ' || {TITLE.format('category')} || ' [' || array_to_string(tags[1:3], ', ') || ']' AS description FROM docs",
-    "optimize_prefix": f"WITH {DOCS}, o AS (SELECT rowid, description[1:40] AS d, body FROM docs) SELECT rowid, {PREFIXED.format('d', first_of('body', PREFIXES, DEFAULT_PREFIX))} AS description FROM o",
+    "optimize_prefix": f"WITH {DOCS}, o AS (SELECT rowid, description AS d, body FROM docs) SELECT rowid, {PREFIXED.format('d', first_of('body', PREFIXES, DEFAULT_PREFIX))} AS description FROM o",
     "optimize_metadata": f"WITH {OPTIMIZED} SELECT rowid, array_to_string(t, ',') AS tags, neu AS description, (length(neu) // 4 + length(name) // 4)::BIGINT AS after_tokens, neu <> old AS changed FROM oe",
     "optimize_totals": f"WITH {OPTIMIZED}, z AS (SELECT neu <> old AS c, (length(neu) // 4 + length(name) // 4) AS a, length(name || ' ' || old) // 4 AS b FROM oe) SELECT count(*) AS total, count(*) FILTER (c) AS changed, coalesce(sum(b) FILTER (c), 0)::BIGINT AS before_tokens, coalesce(sum(a) FILTER (c), 0)::BIGINT AS after_tokens, (coalesce(sum(b) FILTER (c), 0) - coalesce(sum(a) FILTER (c), 0))::BIGINT AS saved FROM z",
-    "upsert_merge": "SELECT source AS name, arg_max(split_part(text, ' ', 1), doc_id) AS description, array_to_string(list_sort(list(DISTINCT lang)), ',') AS tags, min(doc_id) AS rowid FROM documents GROUP BY source",
+    "upsert_merge": "SELECT source AS name, md5(arg_max(text, doc_id)) AS description, array_to_string(list_sort(list(DISTINCT lang)), ',') AS tags, min(doc_id) AS rowid FROM documents GROUP BY source",
     "cascade_delete": f"WITH {DOCS} SELECT rowid, name, category FROM docs WHERE category <> 'src0'",
     "recipe_expand": f"WITH {DOCS}, f AS (SELECT pos, v.name, (length(body) // 4)::BIGINT AS tokens FROM {values(MUST, 'pos, name')} JOIN docs USING (name)) SELECT pos::INT AS pos, name, tokens, sum(tokens) OVER ()::BIGINT AS total_tokens FROM f",
-    "json_output": f"""WITH {DOCS} SELECT '{{"name":"' || name || '","category":"' || category || '","tokens":' || (length(body) // 4) || '}}' AS json FROM docs WHERE rowid < 50""",
+    "json_output": f"""WITH {DOCS} SELECT '{{"name":"' || name || '","category":"' || category || '","tokens":' || (length(body) // 4) || '}}' AS json FROM docs""",
 }

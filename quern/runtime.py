@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +40,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset on a local master (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError(f"spark.checkpoint.dir is unset: on {sc.master} it has to name a folder that driver and executors share")
     if not found:
         found = getattr(sc, "_quern_dir", None) or f"file://{tempfile.mkdtemp(prefix='quern-shared-')}"
         sc._quern_dir = found
@@ -94,6 +99,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, name: str, source: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from files, kept in the shared folder until the files (or the query on them) change: made where it isn't there yet.
+
+    Its name follows from the files' paths, lengths and times. Writers go to a path of their own and rename it; who
+    comes second takes the first one's. A source without files (rows made by the driver) is derived anew each time."""
+    paths, jvm, conf = sorted(source.inputFiles()), spark._jvm, spark._jsc.hadoopConfiguration()
+    if not paths:
+        return written(make(), name)
+    seen = hashlib.sha256(f"{source.columns} {source.semanticHash()}\n".encode())
+    for f in paths:
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        seen.update(f"{f} {status.getLen()} {status.getModificationTime()}\n".encode())
+    path = f"{shared_dir(spark)}/quern-kept/{name}-{seen.hexdigest()[:32]}"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    df = make()
+    if not fs.exists(at):
+        draft = new_path(spark, name)
+        write(df, draft)
+        fs.mkdirs(at.getParent())
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), at):
+            drop_path(spark, draft)
+        _paths.remove(draft)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of written() that no later result reads. Anything that reads more than one folder is passed over."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import token_estimate
+from quern.functions.text import index_tokens, token_estimate
 from quern.runtime import table
 
 
@@ -31,6 +31,11 @@ def part_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(p, lines.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("session_id"), F.col("p_name").alias("skill_name"))
 
 
+def word_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of words: a benchmark item's."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("session_id"), F.explode(index_tokens(F.col("text"))).alias("skill_name"))
+
+
 def part_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback on part names, for aggregates that don't depend on order."""
     lines, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
