@@ -5,7 +5,7 @@ Builders return pairs (src, dst, weight, edge_type) with src < dst; both_ways()
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import text_shingles
@@ -60,12 +60,21 @@ def feedback_edges(weights: DataFrame) -> DataFrame:
 
 
 def text_edges(docs: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
-    """Jaccard similarity of character shingles of name and description, counted over an inverted index."""
-    s = docs.select("name", text_shingles(F.col("name"), F.col("description")).alias("s")).select("name", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    a, b = (s.select("shingle", F.col("name").alias(x), F.col("n").alias(f"n_{x}")) for x in ("src", "dst"))
-    shared = a.join(b, "shingle").where("src < dst").groupBy("src", "dst", "n_src", "n_dst").agg(F.count("*").alias("both"))
-    weight = F.col("both") / (F.col("n_src") + F.col("n_dst") - F.col("both"))
-    return shared.select("src", "dst", weight.alias("w")).where(F.col("w") >= least).select("src", "dst", F.round("w", 4).alias("weight"), F.lit("text_overlap").alias("edge_type"))
+    """Jaccard similarity of character shingles of name and description.
+
+    Names that are similar enough share one of their rarest shingles: of n, all but the ceil(least n) - 1 most frequent ones. Those
+    alone are joined, so shingles that nearly all names have bring no pairs; whole sets decide."""
+    s = written(docs.select("name", text_shingles(F.col("name"), F.col("description")).alias("s")).withColumn("n", F.size("s")), "shingles")
+    each = s.select("name", "n", F.explode("s").alias("shingle"))
+    often = written(each.groupBy("shingle").agg(F.count("*").alias("often")), "shingle-counts")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("often", "shingle"))
+    rare = written(each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("name", "n", "shingle"), "rare-shingles")
+    a, b = (rare.select("shingle", F.col("name").alias(x), F.col("n").alias(f"n_{x}")) for x in ("src", "dst"))
+    pairs = a.join(b, "shingle").where(f"src < dst and least(n_src, n_dst) >= {least} * greatest(n_src, n_dst)").select("src", "dst").distinct()
+    side = lambda x: s.select(F.col("name").alias(x), F.col("s").alias(f"s_{x}"))
+    both = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    weight = F.size(F.array_intersect("s_src", "s_dst")) / F.size(F.array_union("s_src", "s_dst"))
+    return both.select("src", "dst", weight.alias("w")).where(F.col("w") >= least).select("src", "dst", F.round("w", 4).alias("weight"), F.lit("text_overlap").alias("edge_type"))
 
 
 def path_edges(paths: DataFrame, others: DataFrame) -> DataFrame:

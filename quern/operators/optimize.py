@@ -114,7 +114,8 @@ def optimized(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFram
 
 
 def totals(result: DataFrame) -> DataFrame:
-    """One row: tokens before, after and saved over the changed rows."""
+    """One row: tokens before, after and saved over the changed rows, and rows with an error if the result has that column."""
     c = F.col("changed")
     part = lambda x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
-    return result.agg(F.count("*").alias("total"), F.count_if(c).alias("changed"), part("before_tokens").alias("before_tokens"), part("after_tokens").alias("after_tokens")).withColumn("saved", F.col("before_tokens") - F.col("after_tokens"))
+    errors = [F.count("error").alias("errors")] if "error" in result.columns else []
+    return result.agg(F.count("*").alias("total"), F.count_if(c).alias("changed"), part("before_tokens").alias("before_tokens"), part("after_tokens").alias("after_tokens"), *errors).withColumn("saved", F.col("before_tokens") - F.col("after_tokens"))

@@ -1,18 +1,22 @@
 """The engine's API: a catalogue and append-only logs in a folder, and the tools that work on them.
 
 Tables are Parquet below `root`: skills, session_events, session_skills, feedback, usage_events, recipes. Writes append;
-upserts and rewrites publish a new version folder of a table and never change one that readers may hold."""
+upserts and rewrites publish a new version folder of a table and never change one that readers may hold. Beside each
+version of the catalogue stand its postings, lengths and vectors, written with it, so that queries tokenise nothing but themselves."""
 
 from __future__ import annotations
 
 import datetime
+import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import schemas
-from quern.operators import entities, fusion, graph, learning, lexical, optimize, select, sessions, usage
-from quern.sources import catalogue, documents
+from quern.operators import dense, entities, fusion, graph, learning, lexical, optimize, select, sessions, usage
+from quern.runtime import numbered, written
+from quern.sources import catalogue, documents, frontmatter
 
 SCHEMAS = {
     "skills": schemas.CATALOGUE, "session_events": schemas.SESSION_EVENTS, "session_skills": schemas.SESSION_LOG, "feedback": schemas.FEEDBACK_LOG,
@@ -20,9 +24,38 @@ SCHEMAS = {
 }
 
 
+#: How an agent is told to work with the tools.
+GUIDE = """\
+# Finding the right document
+
+1. Ask first: `query` with the task at hand; take the best two or three, not the whole catalogue.
+2. Open a session with `session_start` when a conversation begins, and note what is used with `session_use`.
+3. `session_context` gives a short block of what was used last.
+4. Tell `feedback` whether a document helped; later rankings learn from it.
+5. `session_end` closes the session.
+
+Only what is asked for is loaded, so most of the catalogue's tokens are saved.
+"""
+
+
+def safe(tool: Callable) -> Callable:
+    """A tool that returns {"error": message, "type": name} instead of raising."""
+
+    @functools.wraps(tool)
+    def call(*args, **kwargs):
+        try:
+            return tool(*args, **kwargs)
+        except Exception as e:  # whatever goes wrong is told to the caller
+            return {"error": str(e), "type": type(e).__name__}
+
+    return call
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """`embed` makes vectors of texts; `category_root` is the folder whose subfolders name categories."""
+
+    def __init__(self, spark: SparkSession, root: str, embed: dense.Embedder = dense.hashed, category_root: str = ""):
+        self.spark, self.root, self.embed, self.category_root = spark, root.rstrip("/"), embed, category_root
         self._versions = {name: self._latest(name) for name in SCHEMAS}
 
     def _latest(self, name: str) -> int:
@@ -46,6 +79,23 @@ class Engine:
         rows.write.parquet(f"{self.root}/{name}/v{version}")
         self._versions[name] = version
 
+    def _replace_skills(self, rows: DataFrame) -> None:
+        """Publish a catalogue with its index: readers take the version up when the index is there."""
+        version = self._versions["skills"] + 1
+        rows.write.parquet(f"{self.root}/skills/v{version}")
+        docs = self.spark.read.schema(SCHEMAS["skills"]).parquet(f"{self.root}/skills/v{version}")
+        index = lexical.postings(docs)
+        lexical.by_term(index).write.mode("overwrite").parquet(f"{self.root}/index/v{version}/postings")
+        index = self.spark.read.schema(index.schema).parquet(f"{self.root}/index/v{version}/postings")
+        lexical.doc_stats(docs, index).write.mode("overwrite").parquet(f"{self.root}/index/v{version}/lengths")
+        self.embed(dense.described(docs)).write.mode("overwrite").parquet(f"{self.root}/index/v{version}/vectors")
+        self._versions["skills"] = version
+
+    def _index(self, name: str, otherwise: Callable[[], DataFrame]) -> DataFrame:
+        """A part of the current catalogue's index; of a catalogue without one (none written yet, or by hand) made now."""
+        path = f"{self.root}/index/v{self._versions['skills']}/{name}"
+        return self.spark.read.parquet(path) if documents._exists(self.spark, f"{path}/_SUCCESS") else otherwise()
+
     def _row(self, name: str, *values) -> None:
         self.append(name, self.spark.createDataFrame([values], SCHEMAS[name]))
 
@@ -54,38 +104,73 @@ class Engine:
         """Scan, parse and merge documents; returns how many were read."""
         if roots is not None:
             documents.guarded(folder, roots)
-        found = documents.parse(documents.scan(self.spark, folder, recursive, exclude))
+        found = documents.parse(documents.scan(self.spark, folder, recursive, exclude), self.category_root)
         old = self.table("skills")
         last = old.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0]
-        # rows are numbered in the order of their paths; a batch of documents is small beside their bodies
-        seq = F.row_number().over(Window.orderBy("path")) + last
-        loads = old.withColumnRenamed("rowid", "load_seq").unionByName(found.withColumn("load_seq", seq.cast("bigint")))
+        # rows are numbered in the order of their paths
+        seq = numbered(found.select("path"), "path", "seq")
+        loads = old.withColumnRenamed("rowid", "load_seq").unionByName(found.join(seq, "path").withColumn("load_seq", (F.col("seq") + last).cast("bigint")).drop("seq"))
         new = catalogue.upsert(loads)
-        self.replace("skills", (entities.deduplicated(new) if dedup else new).select(old.columns))
+        self._replace_skills((entities.deduplicated(new) if dedup else new).select(old.columns))
         return found.count()
 
-    def dedup(self) -> DataFrame:
-        """Remove merged rows; (total, removed)."""
+    def index_existing(self, folders: list[str], **options) -> dict[str, int]:
+        """Index those of some candidate folders that are there; documents read by folder."""
+        return {f: self.index(f, **options) for f in documents.existing(self.spark, folders)}
+
+    def corrupt(self, folder: str) -> DataFrame:
+        """(path, error) of files that index() leaves out."""
+        return documents.corrupt(self.spark, folder)
+
+    def dedup(self) -> tuple[DataFrame, DataFrame]:
+        """Remove merged rows: one row (total, removed), and the groups (survivor, kept, removed)."""
         before = self.table("skills")
-        kept = entities.deduplicated(before).select(before.columns)
+        groups = written(entities.groups(before.select("rowid", "name")), "groups")
         n = before.count()
-        self.replace("skills", kept)
-        return self.spark.createDataFrame([(n, n - self.table("skills").count())], "total long, removed long")
+        removed = groups.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
+        if removed:
+            self._replace_skills(entities.deduplicated(before).select(before.columns))
+        return self.spark.createDataFrame([(n, removed)], "total long, removed long"), groups
 
     def stats(self) -> DataFrame:
         return self.table("skills").groupBy("category").agg(F.count("*").alias("cnt"), F.sum("token_cost_meta").alias("meta_tokens"), F.sum("token_cost_body").alias("body_tokens"))
 
     def optimize(self) -> DataFrame:
-        """What rewriting the metadata would change; apply with documents.rewritten()."""
+        """What rewriting the catalogue's metadata would change."""
         return optimize.optimized(self.table("skills"))
 
+    def optimize_folder(self, folder: str, apply: bool = False) -> DataFrame:
+        """What rewriting changes in each document of a folder, with an error where one can't be read or written.
+
+        Without `apply` files stay as they are."""
+        files = documents.scan(self.spark, folder)
+        docs = documents.parse(files, self.category_root)
+        docs = docs.join(numbered(docs.select("path"), "path", "rowid"), "path")
+        result = optimize.optimized(docs).join(docs.select("rowid", "path"), "rowid")
+        result = written(result, "optimized") if apply else result  # files change below it
+        errors = documents.corrupt(self.spark, folder)
+        if apply:
+            new = documents.rewritten(files.join(result.where("changed").select("path", "name", "description", "tags"), "path"))
+            failed = documents.applied(self.spark, new)
+            errors = errors.unionByName(self.spark.createDataFrame(list(failed.items()), "path string, error string"))
+        return result.join(errors, "path", "full").withColumn("changed", F.coalesce("changed", F.lit(False)))
+
     # retrieval
     def query(self, queries: DataFrame, top_k: int = 5, method: str = "rrf", threshold: float = 0.0, session: str | None = None, boost_graph: bool = False, use_feedback: bool = False, budget: int | None = None, log_at: datetime.datetime | None = None) -> DataFrame:
-        """(qid, rank, name, score, method) for queries(qid, query); three independent re-scorings; a token budget in place of top_k."""
+        """(qid, rank, name, score, method) for queries(qid, query); by words, vectors or both fused; three independent re-scorings; a token
+        budget in place of top_k."""
         docs, wide = self.table("skills"), 30 if budget else top_k * 4
-        found = lexical.search(queries, docs, wide * 3 if method == "rrf" else wide).select("qid", "rank", "name", "score", "method")
-        if method == "rrf":
-            found = fusion.rrf([found, found], queries, docs, wide)
+        deep, columns = wide * 3 if method == "rrf" else wide, ["qid", "rank", "name", "score", "method"]
+        if method not in ("rrf", "bm25", "embed"):
+            raise ValueError(f"method {method}: one of rrf, bm25, embed")
+        lists = []
+        if method != "embed":
+            index = self._index("postings", lambda: lexical.built(docs)[0]), self._index("lengths", lambda: lexical.built(docs)[1])
+            lists.append(lexical.search(queries, docs, deep, index=index).select(columns))
+        if method != "bm25":
+            vectors = self._index("vectors", lambda: dense.vectors(docs, self.embed))
+            lists.append(dense.search(queries, docs, deep, self.embed, vectors).select(columns))
+        found = fusion.rrf(lists, queries, docs, wide) if method == "rrf" else lists[0]
         if session:
             recent = sessions.recent_skills(self.table("session_skills").where(F.col("session_id") == session)).select(F.col("skill_name").alias("name"))
             found = fusion.session_boost(found, recent)
@@ -148,3 +233,20 @@ class Engine:
     def recipe_save(self, name: str, must: list[str], should: list[str] = (), description: str = "") -> None:
         new = self.spark.createDataFrame([(name, description, list(must), list(should))], SCHEMAS["recipes"])
         self.replace("recipes", catalogue.save_recipe(self.table("recipes"), new))
+
+    def recipes_load(self, text: str) -> int:
+        """Take the recipes of a YAML file in, in place of their namesakes; returns how many."""
+        new = frontmatter.recipes(text)
+        if new:
+            self.replace("recipes", catalogue.save_recipe(self.table("recipes"), self.spark.createDataFrame(new, SCHEMAS["recipes"])))
+        return len(new)
+
+    def guide(self) -> str:
+        """How an agent works with the tools."""
+        return GUIDE
+
+    def tools(self) -> dict[str, Callable]:
+        """The tools by name, none of which raises."""
+        names = """query index dedup stats session_start session_use session_context session_end optimize optimize_folder feedback
+        feedback_stats query_adaptive insights neighbors recipe recipe_save guide""".split()
+        return {x: safe(getattr(self, x)) for x in names}

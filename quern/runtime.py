@@ -163,6 +163,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """`df` with numbers from 1 in the order of a column of unique values, counted range by range instead of in one task."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    part = fresh(df, "part")
+    dealt = written(df.repartitionByRange(by).withColumn(part, F.spark_partition_id()), "ranges")
+    before, offsets = 0, []
+    for row in dealt.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect():
+        offsets += [F.lit(row[0]), F.lit(before)]
+        before += row.n
+    start = F.create_map(*offsets)[F.col(part)] if offsets else F.lit(0)
+    return dealt.withColumn(name, start + F.row_number().over(Window.partitionBy(part).orderBy(by))).drop(part)
+
+
 def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
     """A broadcast hint if the table is counted to hold `most` rows or fewer; else the table as it is."""
     from pyspark.sql.functions import broadcast

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import token_estimate
+from quern.runtime import ship
+from quern.sources.frontmatter import parsed
 
 FILE = "SKILL.md"
 # Folders that a recursive scan skips, besides hidden ones.
@@ -30,13 +32,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
-    """(path, content) of the documents below a folder, corrupt ones left out; a missing folder has none.
-
-    Spark's file listing leaves out folders that begin with _ or a dot."""
-    empty = spark.createDataFrame([], "path string, content string")
+def _files(spark: SparkSession, root: str, recursive: bool, exclude: list[str]) -> DataFrame | None:
+    """(path, content) of the files below a folder; None of a missing folder."""
     if not _exists(spark, root):
-        return empty
+        return None
     reader = spark.read.format("binaryFile").option("pathGlobFilter", FILE)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
@@ -44,43 +43,58 @@ def scan(spark: SparkSession, root: str, recursive: bool = True, exclude: list[s
     inside = F.regexp_replace(F.col("path"), "^.*?" + _quoted(posixpath.normpath(root.removeprefix("file://"))) + "/?", "")
     folders = F.slice(F.split(inside, "/"), 1, F.greatest(F.size(F.split(inside, "/")) - 1, F.lit(0)))
     skipped = F.exists(folders, lambda f: f.isin([*EXCLUDED, *exclude]) | f.startswith("."))
-    text = files.where(~skipped & F.is_valid_utf8(F.col("content")))
-    return text.select("path", F.decode("content", "UTF-8").alias("content")) if recursive else text.where(F.size(folders) == 0).select("path", F.decode("content", "UTF-8").alias("content"))
+    return files.where(~skipped if recursive else ~skipped & (F.size(folders) == 0))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def scan(spark: SparkSession, root: str, recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
+    """(path, content) of the documents below a folder, without those that corrupt() lists; a missing folder has none.
+
+    Spark's file listing leaves out folders that begin with _ or a dot."""
+    files = _files(spark, root, recursive, exclude)
+    if files is None:
+        return spark.createDataFrame([], "path string, content string")
+    return files.where(F.is_valid_utf8(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
-def _field(head: Column, key: str) -> Column:
-    """The value of a `key: value` line, quotes around it removed; null where there is none."""
-    value = F.trim(F.regexp_extract(head, rf"(?m)^{key}[ \t]*:[ \t]*(.*)$", 1))
-    plain = F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2")
-    return F.when(head.rlike(rf"(?m)^{key}[ \t]*:"), plain)
+def _quoted(text: str) -> str:
+    return "\\Q" + text + "\\E"
 
 
-def parse(files: DataFrame, category_root: str = "/.hermes/skills/") -> DataFrame:
-    """The catalogue of (path, content): front-matter fields with defaults, natively, line by line.
+def parse(files: DataFrame, category_root: str = "") -> DataFrame:
+    """The catalogue of (path, content): front-matter fields with defaults.
 
-    Name defaults to the folder's, category to the first folder below `category_root`, tags take [a, b] and block lists."""
+    Name defaults to the folder's, category to the first folder below `category_root` (none if empty)."""
+    ship(files.sparkSession)
     content = F.col("content")
     parts = F.split(content, "---", 3)
     framed = content.startswith("---") & (F.size(parts) == 3)
-    head = F.when(framed, parts[1]).otherwise(F.lit(""))
-    listed = F.regexp_extract_all(F.regexp_extract(head, r"(?m)^tags[ \t]*:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*\r?\n?)+)", 1), F.lit(r"-[ \t]+(.*)"), F.lit(1))
-    inline = F.split(F.regexp_replace(F.coalesce(_field(head, "tags"), F.lit("")), r'^[\["]+|[\]"]+$', ""), ",")
-    clean = lambda t: F.regexp_replace(F.trim(t), r"""^["']|["']$""", "")
-    tags = F.filter(F.transform(F.when(F.size(listed) > 0, listed).otherwise(inline), clean), lambda t: t != "")
+    read = files.withColumn("_head", parsed(F.when(framed, parts[1])))
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    below = F.regexp_extract("path", _quoted(category_root) + r"([^/.][^/]*)/", 1)
-    given = F.coalesce(F.nullif(_field(head, "category"), F.lit("")), F.lit("uncategorized"))
-    out = files.select(
-        F.coalesce(_field(head, "name"), folder).alias("name"), F.coalesce(_field(head, "description"), F.lit("")).alias("description"),
+    below = F.regexp_extract("path", _quoted(category_root) + r"([^/.][^/]*)/", 1) if category_root else F.lit("")
+    given = F.coalesce(F.nullif(F.col("_head.category"), F.lit("")), F.lit("uncategorized"))
+    out = read.select(
+        F.coalesce("_head.name", folder).alias("name"), F.coalesce("_head.description", F.lit("")).alias("description"),
         F.when(framed, F.regexp_replace(parts[2], r"^\s+|\s+$", "")).otherwise(content).alias("body"), "path",
-        F.when((given == "uncategorized") & (below != ""), below).otherwise(given).alias("category"), tags.alias("tags"),
+        F.when((given == "uncategorized") & (below != ""), below).otherwise(given).alias("category"), F.coalesce("_head.tags", F.array().cast("array<string>")).alias("tags"),
     )
-    costs = out.withColumn("token_cost_meta", token_estimate(F.concat_ws(" ", "name", "description"))).withColumn("token_cost_body", token_estimate(F.col("body")))
-    return costs
+    return out.withColumn("token_cost_meta", token_estimate(F.concat_ws(" ", "name", "description"))).withColumn("token_cost_body", token_estimate(F.col("body")))
+
+
+def existing(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Those of some candidate folders that are there, in order: where documents may be looked for."""
+    out = []
+    for path in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+            out.append(path)
+    return out
+
+
+def corrupt(spark: SparkSession, root: str, recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
+    """(path, error) of the documents that scan() leaves out, because they aren't UTF-8."""
+    bad = _files(spark, root, recursive, exclude)
+    return spark.createDataFrame([], "path string, error string") if bad is None else bad.where(~F.is_valid_utf8(F.col("content"))).select("path", F.lit("not UTF-8").alias("error"))
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
@@ -96,3 +110,23 @@ def rewritten(docs: DataFrame) -> DataFrame:
     patched = F.concat(F.transform(lines, line), F.when(F.exists(lines, lambda x: x.startswith("description:")), F.array().cast("array<string>")).otherwise(F.array(said)))
     new = F.concat(F.lit("---\nname: "), "name", F.lit("\n"), said, F.lit("\n"), tags, F.lit("\n---\n\n"), content)
     return docs.select("path", F.when(framed, F.concat(F.lit("---\n"), F.array_join(patched, "\n"), F.lit("\n---\n"), parts[2])).otherwise(new).alias("new_content"))
+
+
+def applied(spark: SparkSession, new: DataFrame) -> dict[str, str]:
+    """Put (path, new_content) in place of the files, one after another as they come from the tasks; errors by path.
+
+    A file is written beside the old one and renamed over it, so that a reader sees one or the other."""
+    jvm, errors = spark._jvm, {}
+    for row in new.toLocalIterator():
+        at, draft = jvm.org.apache.hadoop.fs.Path(row.path), jvm.org.apache.hadoop.fs.Path(f"{row.path}.draft")
+        try:
+            fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            out = fs.create(draft, True)
+            out.write(bytearray(row.new_content.encode()))
+            out.close()
+            fs.delete(at, False)
+            if not fs.rename(draft, at):
+                raise OSError(f"can't rename {draft}")
+        except Exception as e:  # one file's error is reported and doesn't stop the others
+            errors[row.path] = str(e).splitlines()[0][:300]
+    return errors

@@ -32,6 +32,29 @@ def test_scan_and_parse(spark, tree):
     assert documents.scan(spark, f"file://{tree}", recursive=False).count() == 0
 
 
+def test_front_matter():
+    """Escapes, comments, folded text, nested values, and lines where YAML doesn't parse."""
+    from quern.sources.frontmatter import fields
+
+    assert fields('name: "a: b # c"\ndescription: >\n  two\n  lines\n# note\ntags:\n  - x\n  - 7\nmeta: {k: [1, 2]}') == {"name": "a: b # c", "description": "two lines\n", "category": None, "tags": ["x", "7"]}
+    assert fields("name: a\ndescription: first: second") == {"name": "a", "description": "first: second", "category": None, "tags": []}
+    assert fields("tags: [p, 'q']\ncategory: ops") == {"name": None, "description": None, "category": "ops", "tags": ["p", "q"]}
+    assert fields("") == fields(None) == fields("- just\n- a list") | {"tags": []}
+    assert fields('tags: "p, q"')["tags"] == ["p", "q"]
+
+
+def test_corrupt_and_existing(spark, tree):
+    assert [r.path.rsplit("/", 2)[1] for r in documents.corrupt(spark, f"file://{tree}").collect()] == ["bad"]
+    assert documents.existing(spark, [f"file://{tree}/a", f"file://{tree}/zz", f"file://{tree}/a/SKILL.md"]) == [f"file://{tree}/a"]
+
+
+def test_numbers_in_order(spark):
+    from quern.runtime import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("cast((id * 7919) % 1000 as string) as path").repartition(7), "path", "no").collect()
+    assert [r.path for r in sorted(rows, key=lambda r: r.no)] == sorted(r.path for r in rows) and {r.no for r in rows} == set(range(1, 1001))
+
+
 def test_guard():
     assert documents.guarded("/data/x/../y", ["/data"]) == "/data/y"
     with pytest.raises(ValueError, match="allowed"):
@@ -66,3 +89,22 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT sum(successes + failures) FROM view1").first()[0] == batch.count()
     increments.append_log(stream, str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "log")).count() == batch.count()
+
+
+def test_views_of_a_stream(spark, tmp_path):
+    """Patterns and recent names after each batch equal the batch operators over all rows."""
+    from quern.operators import learning, sessions
+
+    rows = [(i, ["deploy cluster", "run tests"][i % 2], f"s{i % 3}", i % 5 > 1, f"2024-01-{1 + i % 20:02} 10:00:00", f"u{i % 4}") for i in range(60)]
+    every = spark.createDataFrame(rows, "id long, query string, skill_name string, success boolean, at string, session_id string").withColumn("timestamp", F.col("at").cast("timestamp_ntz")).drop("at")
+    names = "id", "query", "skill_name", "success", "timestamp", "session_id"
+    for k in range(2):
+        every.where(F.col("id") % 2 == k).select(*names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(every.select(*names).schema).parquet(f"{tmp_path}/in")
+        increments.query_patterns(stream, f"{tmp_path}/log1", f"{tmp_path}/view1", f"{tmp_path}/c1").awaitTermination()
+        increments.recent_skills(stream, f"{tmp_path}/log2", f"{tmp_path}/view2", f"{tmp_path}/c2", 2).awaitTermination()
+    want = learning.query_patterns(every)
+    assert set(increments.newest(spark, f"{tmp_path}/view1").drop("batch").collect()) == set(want.collect())
+    got = increments.newest(spark, f"{tmp_path}/view2")
+    recent = sessions.recent_skills(every, 2)
+    assert set(got.select(recent.columns).collect()) == set(recent.collect())
