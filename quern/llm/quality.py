@@ -63,6 +63,14 @@ _PAD = ord(" ")
 _WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64)) for k in range(ORDER)]
 
 
+#: This worker's shard, by name: the last one used.
+_opened: dict[str, Shard] = {}
+
+
+def _chunks(batches):
+    return text_chunks(batches, holder="quality", drop=_opened.clear)
+
+
 def padded(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of some documents, ORDER - 1 spaces before each; where each character stands; each document's number."""
     pad = ORDER - 1
@@ -97,7 +105,7 @@ def _counted(it):
             grams = [joined[k : k + ORDER] for k in range(0, len(joined), ORDER)]
             yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    for part, text, offsets in text_chunks(it):
+    for part, text, offsets in _chunks(it):
         symbols, place, counts = padded(text, offsets)
         runs = np.lib.stride_tricks.sliding_window_view(symbols, ORDER)[place - ORDER + 1] if len(place) else np.zeros((0, ORDER), np.uint32)
         edges, langs = np.concatenate(([0], np.cumsum(counts))), part.column(0).to_pylist()
@@ -119,22 +127,25 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def _worded(it):
     """(word, toxic, n): in how many documents of a task each word's hash stands, by label."""
 
-    def emit(held):
-        keys, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
-        return pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(bool)), pa.array(n.astype(np.int64))], names=["word", "toxic", "n"])
+    def emit():
+        for toxic, hashes in held.items():
+            if hashes:
+                words, n = np.unique(np.concatenate(hashes), return_counts=True)
+                yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(np.full(len(words), toxic)), pa.array(n.astype(np.int64))], names=["word", "toxic", "n"])
 
-    held, size = [], 0
-    for part, text, offsets in text_chunks(it):
+    held, size = {True: [], False: []}, 0
+    for part, text, offsets in _chunks(it):
         words = Words(LOWER[text], offsets, APART)
-        toxic = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        once = np.unique(np.stack([words.doc, words.hashes().view(np.int64)], axis=1), axis=0)
-        held.append(np.stack([once[:, 1], toxic[once[:, 0]]], axis=1))
+        h = words.hashes()
+        _, once = np.unique(h ^ mix(words.doc.astype(np.uint64) + np.uint64(1)), return_index=True)  # each word of a document
+        toxic = part.column(0).to_numpy(zero_copy_only=False)[words.doc[once]]
+        for kind, hashes in held.items():
+            hashes.append(h[once[toxic == kind]])
         size += len(once)
         if size >= HELD // 4:
-            yield emit(held)
-            held, size = [], 0
-    if size:
-        yield emit(held)
+            yield from emit()
+            held, size = {True: [], False: []}, 0
+    yield from emit()
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -281,9 +292,6 @@ def shards(models: DataFrame, names: list[str], entries: int) -> tuple[DataFrame
     return written(dealt.groupBy("shard").applyInArrow(pack, "shard int, packed binary"), "shards"), n
 
 
-_opened: dict[str, Shard] = {}
-
-
 def _open(sent) -> Shard:
     """This worker's shard: the last one used."""
     name, packed = sent.value
@@ -302,7 +310,7 @@ def _cost(sent, n: int, shard: int, number: dict[str, int], text: str, model: st
         out = np.full(len(texts), np.nan)
         for k in np.unique(which[which >= 0]).tolist():
             rows, at = np.flatnonzero(which == k), 0
-            for piece, data, offsets in text_chunks([pa.record_batch([texts.take(pa.array(rows))], names=["text"])]):
+            for piece, data, offsets in _chunks([pa.record_batch([texts.take(pa.array(rows))], names=["text"])]):
                 symbols, place, counts = padded(data, offsets)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 if n > 1:
@@ -328,13 +336,17 @@ class Scorer:
         packed = self.shards.where(F.col("shard") == shard).select("packed").toArrow().column(0)
         return self.shards.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, packed[0].as_py() if len(packed) else zlib.compress(pickle.dumps(Shard(*(np.zeros(0) for _ in range(2)), [], *(np.zeros(0) for _ in range(2)), np.zeros(len(self.number)))))))
 
-    def added(self, docs: DataFrame, model: Column, name: str) -> DataFrame:
-        """`docs` with a column: mean negative log-probability of the characters of `text`; null of no text or no model."""
+    def added(self, docs: DataFrame, model: Column, name: str, beside: dict[str, Column] | None = None) -> DataFrame:
+        """`docs` with a column: mean negative log-probability of the characters of `text`; null of no text or no model.
+
+        Columns `beside` it are worked out in the same pass, so that a task needs one Python worker."""
         of, total, key = (fresh(docs, x) for x in ("model", "total", "row"))
+        beside = beside or {}
         docs = docs.withColumn(of, model)
         n_chars = F.nullif(F.char_length("text"), F.lit(0))
         if self.n == 1:
-            return docs.withColumn(name, _cost(self.sent(0), 1, 0, self.number, "text", of) / n_chars).drop(of)
+            out = docs.withColumns({total: _cost(self.sent(0), 1, 0, self.number, "text", of), **beside})
+            return out.withColumn(name, F.col(total) / n_chars).drop(of, total)
         row = F.struct(F.col("doc_id"), F.xxhash64("text"), F.col(of))
         parts = []
         for k in range(self.n):  # one shard at a time; equal rows have equal costs
@@ -348,7 +360,7 @@ class Scorer:
         sums = written(every.groupBy(key).agg(F.sum(total).alias(total)), "sums")
         drop(*parts)
         joined = docs.withColumn(key, row).join(sums.withColumnRenamed(key, f"{key}_of"), F.col(key).eqNullSafe(F.col(f"{key}_of")), "left")
-        return joined.withColumn(name, F.col(total) / n_chars).drop(of, key, f"{key}_of", total)
+        return joined.withColumns({name: F.col(total) / n_chars, **beside}).drop(of, key, f"{key}_of", total)
 
 
 class Model:
@@ -381,9 +393,12 @@ class Model:
         """The model that a document's language takes."""
         return F.when(F.col("lang").isin(self.langs), F.concat(F.lit("="), F.col("lang").cast("string"))).otherwise(F.lit(EVERY))
 
-    def scored(self, docs: DataFrame, name: str) -> DataFrame:
-        """`docs` with the log-perplexity of `text`; null where there is none."""
-        return self.scorer.added(docs, self.model(), name) if self.scorer else docs.withColumn(name, F.lit(None).cast("double"))
+    def scored(self, docs: DataFrame, name: str, harmful: str | None = None) -> DataFrame:
+        """`docs` with the log-perplexity of `text`, null where there is none, and whether harmful() holds."""
+        beside = {harmful: self.harmful()} if harmful else {}
+        if self.scorer:
+            return self.scorer.added(docs, self.model(), name, beside)
+        return docs.withColumns({name: F.lit(None).cast("double"), **beside})
 
     def harmful(self) -> Column:
         """Whether `text` holds a word that stands for toxic documents; false for a null text."""
@@ -391,7 +406,7 @@ class Model:
 
         def harmful(texts: pa.Array) -> pa.Array:
             toxic, out = sent.value, []
-            for _, text, offsets in text_chunks([pa.record_batch([texts], names=["text"])]):
+            for _, text, offsets in _chunks([pa.record_batch([texts], names=["text"])]):
                 words = Words(LOWER[text], offsets, APART)
                 h = words.hashes().view(np.int64)
                 hit = toxic[np.minimum(np.searchsorted(toxic, h), len(toxic) - 1)] == h
@@ -415,11 +430,11 @@ def _kept(x: Column, most: Column, harmful: Column) -> Column:
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, perplexity, threshold, kept) of every document."""
     model = Model(docs, labels)
-    out = model.scored(docs.select("doc_id", "lang", "text"), "x").withColumn("most", model.fence())
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.exp("x").alias("perplexity"), F.exp("most").alias("threshold"), _kept(F.col("x"), F.col("most"), model.harmful()).alias("kept"))
+    out = model.scored(docs.select("doc_id", "lang", "text"), "x", "harmful").withColumn("most", model.fence())
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.exp("x").alias("perplexity"), F.exp("most").alias("threshold"), _kept(F.col("x"), F.col("most"), F.col("harmful")).alias("kept"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    model, x = Model(docs, labels), fresh(docs, "x")
-    return model.scored(docs, x).where(_kept(F.col(x), model.fence(), model.harmful())).select([f"`{c}`" for c in docs.columns])
+    model, x, harmful = Model(docs, labels), fresh(docs, "x"), fresh(docs, "harmful")
+    return model.scored(docs, x, harmful).where(_kept(F.col(x), model.fence(), F.col(harmful))).select([f"`{c}`" for c in docs.columns])

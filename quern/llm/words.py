@@ -134,9 +134,9 @@ def runs(word_hashes: np.ndarray, first: np.ndarray, size: int, which: int = 0)
     return at, mix(h[at])
 
 
-def text_chunks(batches, column: str = "text"):
-    """(slice of the batch, bytes, offsets) for pieces of bounded size."""
-    claim("words", _powers.clear)
+def text_chunks(batches, column: str = "text", holder: str = "words", drop: Callable[[], None] | None = None):
+    """(slice of the batch, bytes, offsets) for pieces of bounded size. What `holder` keeps beside, `drop` drops when others work."""
+    claim(holder, lambda: (_powers.clear(), drop and drop()))
     for batch in batches:
         text, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
         for a, b in chunks(text, offsets):
