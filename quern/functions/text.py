@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +23,9 @@ PATTERN_STOP_WORDS = "the a an is are was please help need want like get can you
 # Terms too generic to count as a hint at a name, and terms that bring others.
 GENERIC_TERMS = ["pipeline", "dashboard"]
 EXPANSIONS = {"pipeline": ["ci", "cd", "build", "release", "deploy"]}
-# Letters with marks and what the index folds them to.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters with one mark and what the index folds them to: Latin ones, by their canonical decomposition.
+_MARKED = [(chr(k), d[0]) for k in range(0xC0, 0x1F00) if len(d := unicodedata.normalize("NFD", chr(k))) == 2 and d[0] in string.ascii_lowercase and unicodedata.combining(d[1])]
+FOLD_FROM, FOLD_TO = ("".join(x) for x in zip(*_MARKED, strict=True))
 
 
 def literals(words: list[str]) -> Column:

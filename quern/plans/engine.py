@@ -103,7 +103,7 @@ class Engine:
     def index(self, folder: str, roots: list[str] | None = None, recursive: bool = True, exclude: list[str] = (), dedup: bool = False) -> int:
         """Scan, parse and merge documents; returns how many were read."""
         if roots is not None:
-            documents.guarded(folder, roots)
+            documents.guarded(folder, roots, self.spark)
         found = documents.parse(documents.scan(self.spark, folder, recursive, exclude), self.category_root)
         old = self.table("skills")
         last = old.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,21 @@ dist build .build .idea .vscode .DS_Store
 """.split()
 
 
-def guarded(path: str, roots: list[str]) -> str:
-    """The normalised path, if it lies in one of the allowed roots."""
-    real = posixpath.normpath(path)
-    if not any(real == (r := posixpath.normpath(root)) or real.startswith(r.rstrip("/") + "/") for root in roots):
+def guarded(path: str, roots: list[str], spark: SparkSession | None = None) -> str:
+    """The path with dots and (of local files) links resolved, if it lies in one of the allowed roots.
+
+    With a session, also if it is a folder that exists."""
+    scheme = path[: path.index(":/") + 1] if ":/" in path else ""
+    inside = lambda x: x.removeprefix(scheme) if scheme else x
+    resolve = os.path.realpath if scheme in ("", "file:") else posixpath.normpath
+    real = resolve("/" + inside(path).lstrip("/"))
+    if not any(real == (r := resolve("/" + inside(root).lstrip("/"))) or real.startswith(r.rstrip("/") + "/") for root in roots):
         raise ValueError(f"{real} is in none of the allowed roots")
+    if spark is not None:
+        if not _exists(spark, path):
+            raise FileNotFoundError(path)
+        if not existing(spark, [path]):
+            raise NotADirectoryError(path)
     return real
 
 

@@ -61,6 +61,18 @@ def test_guard():
         documents.guarded("/data/../etc", ["/data"])
 
 
+def test_guard_of_real_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in/link").symlink_to(tmp_path / "out")
+    (tmp_path / "in/file").write_text("x")
+    root = f"file://{tmp_path}/in"
+    assert documents.guarded(root, [root], spark) == f"{tmp_path}/in"
+    for bad, kind in ((f"{root}/link", ValueError), (f"{root}/none", FileNotFoundError), (f"{root}/file", NotADirectoryError)):
+        with pytest.raises(kind):
+            documents.guarded(bad, [root], spark)
+
+
 def test_rewrite(spark):
     rows = [("p", "---\nname: a\ndescription: old\n---\nBody", "a", "new", ["t"]), ("q", "plain", "b", "d", []), ("r", "--- open", "c", "d", ["u"])]
     out = {r.path: r.new_content for r in documents.rewritten(spark.createDataFrame(rows, "path string, content string, name string, description string, tags array<string>")).collect()}
