@@ -15,7 +15,8 @@ the estimates get loose and more windows go through the exact grouping; the resu
 
 Null texts have no words. Documents without an id take no part and are returned whole; rows that share an id count as one
 document, whose starts are told apart by position only, so equal rows don't remove each other. Shorter documents than a
-window keep all words. Documents may have any length; other columns don't matter.
+window keep all words. Documents may have any length; other columns don't matter, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
