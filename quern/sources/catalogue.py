@@ -10,8 +10,9 @@ def upsert(loads: DataFrame) -> DataFrame:
     """One row by name of loads(load_seq, name, ..., tags): the last load's fields, with the sorted union of all tags."""
     last = Window.partitionBy("name").orderBy(F.desc("load_seq"))
     newest = loads.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "tags")
-    tags = loads.groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.min("load_seq").alias("rowid"))
-    return newest.join(tags, "name").drop("load_seq")
+    first = loads.groupBy("name").agg(F.min("load_seq").alias("rowid"))
+    tags = loads.select("name", F.explode_outer("tags").alias("tag")).distinct().groupBy("name").agg(F.array_sort(F.collect_list("tag")).alias("tags"))  # a name's distinct tags, however many loads
+    return newest.join(tags, "name").join(first, "name").drop("load_seq")
 
 
 def without(table: DataFrame, removed: DataFrame, key: str = "name") -> DataFrame:
