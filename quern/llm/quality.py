@@ -380,8 +380,8 @@ class Model:
         if names:
             each = F.explode(F.filter(F.array(F.lit(EVERY), F.concat(F.lit("="), "lang")), lambda x: x.isNotNull())).alias("name")
             tried = self.scorer.added(text.where(aside).select("doc_id", "text", each), F.col("name"), "x")
-            good = written(tried.where("x is not null").select("name", "x"), "good")
-            rows = good.groupBy("name").agg(F.percentile_approx("x", [0.5, HIGH], 10_000).alias("q"), F.count("*").alias("n")).collect()
+            good = written(tried.select("name", "x"), "good")  # a filter here would work the costs out twice, in two Python workers a task
+            rows = good.where("x is not null").groupBy("name").agg(F.percentile_approx("x", [0.5, HIGH], 10_000).alias("q"), F.count("*").alias("n")).collect()
             total = sum(r.n for r in rows if r.name != EVERY)
             mean = sum(r.n * (r.q[1] - r.q[0]) for r in rows if r.name != EVERY) / total if total else 0.0
             for r in rows:
