@@ -17,7 +17,8 @@ grows with the trusted text, without a cap.
 5. Few words in clean prose don't move a document's mean, so words count by themselves: of every word (open vocabulary, any
    number) the trusted documents and those labelled toxic that hold it are counted in shards. A document is rejected too
    if it holds a word that is LEAST_RATIO times as frequent among toxic documents, at SURE standard errors below the
-   estimate. Hashes of those words only are broadcast.
+   estimate; or if more than LIKELY_SHARE of its words are LIKELY_RATIO times as frequent, at LIKELY standard errors below.
+   Hashes of those words only are broadcast.
 
 Documents of a language without trusted text on either side, or of none, take the model and quantile of all trusted text.
 Null or empty texts have no perplexity and are rejected. Without any trusted text nothing else is rejected. Rows that
@@ -47,6 +48,8 @@ HELD_OUT = 4
 SMOOTH_DOCUMENTS = 100
 HIGH = 0.995
 LEAST_RATIO, SURE = 5.0, 3.0
+#: Weaker signs, which count by their share of a document's words.
+LIKELY_RATIO, LIKELY, LIKELY_SHARE = 4.0, 2.0, 0.005
 #: Runs and contexts that are sent to the tasks at once, about.
 SHARD_ENTRIES = 2_000_000
 #: Characters that a task counts at once.
@@ -148,19 +151,23 @@ def _worded(it):
     yield from emit()
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Sorted hashes of the words that stand for toxic documents."""
+def toxic_words(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that stand for toxic documents, and which of them do so by themselves."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
     sides = written(known.where("t = 1").select("doc_id", F.lit(True).alias("toxic")).union(trusted_ids(labels).select("doc_id", F.lit(False))), "sides")
     text = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = only(text, sides.select("doc_id")).join(sides, "doc_id").select("toxic", "text")
     many = {x.toxic: x.n for x in text.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(many) < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     counts = text.mapInArrow(_worded, "word long, toxic boolean, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(k) for k, x in (("t", F.col("toxic")), ("c", ~F.col("toxic")))])
     ratio = F.log((F.col("t") + 0.5) / (many[True] + 1)) - F.log((F.col("c") + 0.5) / (many[False] + 1))
-    sure = ratio - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) >= float(np.log(LEAST_RATIO))
-    return np.sort(counts.where("t > 0").where(sure).select("word").toArrow().column(0).to_numpy())
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    sure, likely = (ratio - errors * error >= float(np.log(least)) for errors, least in ((SURE, LEAST_RATIO), (LIKELY, LIKELY_RATIO)))
+    found = counts.where("t > 0").where(sure | likely).select("word", sure.alias("sure")).toArrow()
+    words, alone = (found.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(words)
+    return words[order], alone[order]
 
 
 def counted_models(text: DataFrame) -> DataFrame:
@@ -401,19 +408,21 @@ class Model:
         return docs.withColumns({name: F.lit(None).cast("double"), **beside})
 
     def harmful(self) -> Column:
-        """Whether `text` holds a word that stands for toxic documents; false for a null text."""
+        """Whether `text` holds a word that stands for toxic documents, or too many likely ones; false for a null text."""
         sent = self.toxic
 
         def harmful(texts: pa.Array) -> pa.Array:
-            toxic, out = sent.value, []
+            (toxic, alone), out = sent.value, []
             for _, text, offsets in _chunks([pa.record_batch([texts], names=["text"])]):
                 words = Words(LOWER[text], offsets, APART)
                 h = words.hashes().view(np.int64)
-                hit = toxic[np.minimum(np.searchsorted(toxic, h), len(toxic) - 1)] == h
-                out.append(np.bincount(words.doc[hit], minlength=len(offsets) - 1) > 0)
+                at = np.minimum(np.searchsorted(toxic, h), len(toxic) - 1)
+                hit, n = toxic[at] == h, len(offsets) - 1
+                every, likely, sure = (np.bincount(words.doc[x], minlength=n) for x in (slice(None), hit, hit & alone[at]))
+                out.append((sure > 0) | (likely > LIKELY_SHARE * every))
             return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
-        return arrow_udf(harmful, "boolean")(F.col("text")) if len(sent.value) else F.lit(False)
+        return arrow_udf(harmful, "boolean")(F.col("text")) if len(sent.value[0]) else F.lit(False)
 
     def fence(self) -> Column:
         """A document's highest log-perplexity."""

@@ -201,6 +201,40 @@ def test_quality(spark, docs):
     assert quality.classified(docs, labels.limit(0)).where("kept").count() == docs.where("length(text) > 0").count()
 
 
+def test_toxic_words(spark):
+    """Sure words reject by themselves, likely ones by their share: decisions equal those of plain counts."""
+    rng = random.Random(7)
+    calm = ["river", "stone", "Haus", "été", "lamp", "cloud", "path", "field"]
+
+    def text(toxic):
+        own = [w for w, of_toxic, of_clean in (("scum", 0.9, 0.0), ("Pest", 0.3, 0.01), ("mud", 0.5, 0.3)) if rng.random() < (of_toxic if toxic else of_clean)]
+        parts = own + rng.choices(calm, k=rng.choice((0, 5, 40, 600)))
+        rng.shuffle(parts)
+        return rng.choice((" ", "\n", ", ")).join(parts)
+
+    kinds = [int(k % 4 == 0) for k in range(400)]
+    rows = [(k, "en" if k % 3 else None, text(toxic)) for k, toxic in enumerate(kinds)]
+    tried = [(500 + k, "en", text(k % 2)) for k in range(200)] + [(800, "en", "PEST"), (801, "en", "pest " + "river " * 300), (802, "en", "scum " + "river " * 5000), (803, None, ""), (804, None, None)]
+    docs = spark.createDataFrame(rows + tried, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, t) for k, t in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
+    held = [Counter(w for (_, _, t), toxic in zip(rows, kinds, strict=True) if toxic == side for w in set(words(t))) for side in (0, 1)]
+    n = [kinds.count(0) + 1, kinds.count(1) + 1]
+
+    def beyond(w, least, errors):
+        t, c = held[1][w] + 0.5, held[0][w] + 0.5
+        return held[1][w] > 0 and np.log(t / n[1]) - np.log(c / n[0]) - errors * np.sqrt(1 / t + 1 / c) >= np.log(least)
+
+    vocabulary = {*held[0], *held[1]}
+    sure = {w for w in vocabulary if beyond(w, quality.LEAST_RATIO, quality.SURE)}
+    likely = {w for w in vocabulary if beyond(w, quality.LIKELY_RATIO, quality.LIKELY)}
+    assert sure == {"scum"} and likely == {"scum", "pest"}
+    want = {d: any(w in sure for w in words(t)) or sum(w in likely for w in words(t)) > quality.LIKELY_SHARE * len(words(t)) for d, _, t in rows + tried}
+    model = quality.Model(docs, labels)
+    got = {r.doc_id: r.harmful for r in docs.select("doc_id", model.harmful().alias("harmful")).collect()}
+    assert got == want and got[800] and not got[801] and got[802] and not got[803] and not got[804]
+
+
 def test_bpe(docs, texts):
     from tokenizers import Tokenizer
 
