@@ -218,7 +218,7 @@ b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\
 five AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 few AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 4),
 ds AS (SELECT * FROM five UNION SELECT doc_id, list_slice(w, i, i + n - 1) FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, few)),
-bs AS (SELECT DISTINCT item_id, list_slice(w, i, i + 4) AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM b WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT item_id, list_slice(w, i, i + 4) AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
