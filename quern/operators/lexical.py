@@ -15,6 +15,11 @@ from quern.runtime import bounded, spread, stored
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"name": 5.0, "description": 3.0, "body": 1.0, "tags": 1.0}
 UNHINTED, LIKE_SCORE = 0.85, 0.9
+#: One row about all documents: how many, and their mean length.
+CORPUS = "total bigint, mean double"
+#: Rows in a block, and what a term has in one: rows, most weighted occurrences in a row, and the least length of such a row.
+BLOCK_ROWS = 128
+IMPACTS = "term string, block bigint, n bigint, most double, least bigint"
 #: Terms of a batch of queries that go to the reader as a filter.
 MOST_TERMS = 500
 
@@ -33,6 +38,29 @@ def doc_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
     return docs.select("rowid").join(counts, "rowid", "left").select("rowid", F.coalesce("length", F.lit(0)).alias("length"))
 
 
+def totals(stats: DataFrame) -> DataFrame:
+    """One row: number of documents and their mean length."""
+    return stats.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+
+
+def weight() -> Column:
+    """What one occurrence counts in its column."""
+    out = F.lit(0.0)
+    for c, x in WEIGHTS.items():
+        out = F.when(F.col("col") == c, F.lit(x)).otherwise(out)
+    return out
+
+
+def block(rowid: Column) -> Column:
+    return F.floor(rowid / F.lit(BLOCK_ROWS)).cast("bigint")
+
+
+def impacts(index: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, block, n, most, least): bounds of what a term gives in a block of rows, whatever the corpus' totals are."""
+    each = index.groupBy("term", "rowid").agg(F.sum(weight()).alias("f")).join(stats.select("rowid", "length"), "rowid")
+    return each.groupBy("term", block(F.col("rowid")).alias("block")).agg(F.count("*").alias("n"), F.max("f").alias("most"), F.min("length").alias("least"))
+
+
 def by_term(index: DataFrame) -> DataFrame:
     """Postings in the order of terms, so that a reader of a few terms skips the files and row groups of others."""
     return index.repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid")
@@ -90,17 +118,16 @@ def phrase_counts(phrases: DataFrame, index: DataFrame) -> DataFrame:
     beginnings = vocabulary.withColumn("n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("n <= char_length(term)")
     ended = open_end.join(beginnings.select("term", F.expr("left(term, n)").alias("token")), "token")
     terms = exact.unionByName(ended).select("text", "prefix", "m", "at", "term")
-    weight = F.lit(0.0)
-    for c, x in WEIGHTS.items():
-        weight = F.when(F.col("col") == c, F.lit(x)).otherwise(weight)
     hits = index.join(terms, "term").groupBy("text", "prefix", "m", "rowid", "col", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count_distinct("at").alias("found"))
-    return hits.where("found = m").groupBy("text", "prefix", "rowid").agg(F.sum(weight).alias("f"))
+    return hits.where("found = m").groupBy("text", "prefix", "rowid").agg(F.sum(weight()).alias("f"))
+
 
+def bm25(phrases: DataFrame, index: DataFrame, stats: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(qid, strategy, rowid, bm25), higher is better, over all phrases of a strategy (a repeated phrase counts again).
 
-def bm25(phrases: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(qid, strategy, rowid, bm25), higher is better, over all phrases of a strategy (a repeated phrase counts again)."""
+    `corpus`: totals of the documents, where they are kept with the index."""
     counts = phrase_counts(phrases, index)
-    corpus = stats.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))  # one row
+    corpus = totals(stats) if corpus is None else corpus  # one row
     df = counts.groupBy("text", "prefix").agg(F.count("*").alias("n"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = df.crossJoin(F.broadcast(corpus)).select("text", "prefix", "mean", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
@@ -124,7 +151,7 @@ def like_supplement(queries: DataFrame, docs: DataFrame, top_k: int = 20) -> Dat
     return hits.withColumn("k", first).where(F.col("k") <= top_k).select("qid", "rowid")
 
 
-def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: float = 0.0, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: float = 0.0, index: tuple[DataFrame, ...] | None = None) -> DataFrame:
     """(qid, rank, rowid, name, score, method): the best rows of every query.
 
     Each strategy gives its top_k; a row keeps the score of its first strategy; rows without a hint in the name are held

@@ -1,8 +1,10 @@
 """The engine's API: a catalogue and append-only logs in a folder, and the tools that work on them.
 
-Tables are Parquet below `root`: skills, session_events, session_skills, feedback, usage_events, recipes. Writes append;
-upserts and rewrites publish a new version folder of a table and never change one that readers may hold. Beside each
-version of the catalogue stand its postings, lengths and vectors, written with it, so that queries tokenise nothing but themselves."""
+Tables are Parquet below `root`: session_events, session_skills, feedback, usage_events and recipes are append-only logs (of
+recipes with one name the last counts); the catalogue, `skills`, stands in segments with its postings and vectors, so that a load writes no more
+than what it brings and queries tokenise nothing but themselves. Nothing is changed or renamed once written: a writer that dies
+leaves files that nobody reads, and every engine on a folder sees what others have finished. Numbers of rows are given out by one
+writer at a time."""
 
 from __future__ import annotations
 
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.operators import dense, entities, fusion, graph, learning, lexical, optimize, select, sessions, usage
+from quern.operators.segments import Segments
 from quern.runtime import numbered, written
 from quern.sources import catalogue, documents, frontmatter
 
 SCHEMAS = {
-    "skills": schemas.CATALOGUE, "session_events": schemas.SESSION_EVENTS, "session_skills": schemas.SESSION_LOG, "feedback": schemas.FEEDBACK_LOG,
-    "usage_events": schemas.USAGE_LOG, "recipes": schemas.RECIPES,
+    "session_events": schemas.SESSION_EVENTS, "session_skills": schemas.SESSION_LOG, "feedback": schemas.FEEDBACK_LOG,
+    "usage_events": schemas.USAGE_LOG, "recipes": f"id bigint, {schemas.RECIPES}",
 }
 
 
@@ -56,45 +59,18 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, embed: dense.Embedder = dense.hashed, category_root: str = ""):
         self.spark, self.root, self.embed, self.category_root = spark, root.rstrip("/"), embed, category_root
-        self._versions = {name: self._latest(name) for name in SCHEMAS}
-
-    def _latest(self, name: str) -> int:
-        """The newest version folder of a table that a writer has finished; 0 where there is none."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
-        done = [int(p.getName()[1:]) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=0)
+        self.skills = Segments(spark, f"{self.root}/skills", embed=embed)
 
     # tables
     def table(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}/v{self._versions[name]}"
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if documents._exists(self.spark, path) else self.spark.createDataFrame([], SCHEMAS[name])
+        if name == "skills":
+            return self.skills.catalogue()
+        path = f"{self.root}/{name}"
+        log = self.spark.read.schema(SCHEMAS[name]).parquet(path) if documents._exists(self.spark, path) else self.spark.createDataFrame([], SCHEMAS[name])
+        return catalogue.newest_recipes(log) if name == "recipes" else log
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}/v{self._versions[name]}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = self._versions[name] + 1
-        rows.write.parquet(f"{self.root}/{name}/v{version}")
-        self._versions[name] = version
-
-    def _replace_skills(self, rows: DataFrame) -> None:
-        """Publish a catalogue with its index: readers take the version up when the index is there."""
-        version = self._versions["skills"] + 1
-        rows.write.parquet(f"{self.root}/skills/v{version}")
-        docs = self.spark.read.schema(SCHEMAS["skills"]).parquet(f"{self.root}/skills/v{version}")
-        index = lexical.postings(docs)
-        lexical.by_term(index).write.mode("overwrite").parquet(f"{self.root}/index/v{version}/postings")
-        index = self.spark.read.schema(index.schema).parquet(f"{self.root}/index/v{version}/postings")
-        lexical.doc_stats(docs, index).write.mode("overwrite").parquet(f"{self.root}/index/v{version}/lengths")
-        self.embed(dense.described(docs)).write.mode("overwrite").parquet(f"{self.root}/index/v{version}/vectors")
-        self._versions["skills"] = version
-
-    def _index(self, name: str, otherwise: Callable[[], DataFrame]) -> DataFrame:
-        """A part of the current catalogue's index; of a catalogue without one (none written yet, or by hand) made now."""
-        path = f"{self.root}/index/v{self._versions['skills']}/{name}"
-        return self.spark.read.parquet(path) if documents._exists(self.spark, f"{path}/_SUCCESS") else otherwise()
+        rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def _row(self, name: str, *values) -> None:
         self.append(name, self.spark.createDataFrame([values], SCHEMAS[name]))
@@ -107,12 +83,17 @@ class Engine:
         found = documents.parse(documents.scan(self.spark, folder, recursive, exclude), self.category_root)
         old = self.table("skills")
         last = old.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0]
-        # rows are numbered in the order of their paths
+        # rows are numbered in the order of their paths; old rows of the same names give their numbers and tags
         seq = numbered(found.select("path"), "path", "seq")
-        loads = old.withColumnRenamed("rowid", "load_seq").unionByName(found.join(seq, "path").withColumn("load_seq", (F.col("seq") + last).cast("bigint")).drop("seq"))
-        new = catalogue.upsert(loads)
-        self._replace_skills((entities.deduplicated(new) if dedup else new).select(old.columns))
-        return found.count()
+        same = old.join(found.select("name").distinct(), "name", "left_semi")
+        loads = same.withColumnRenamed("rowid", "load_seq").unionByName(found.join(seq, "path").withColumn("load_seq", (F.col("seq") + last).cast("bigint")).drop("seq"))
+        new, n = written(catalogue.upsert(loads).select(old.columns), "loads"), found.count()
+        if n:
+            self.skills.add(new)
+            self.skills.merge()
+        if dedup:
+            self.dedup()
+        return n
 
     def index_existing(self, folders: list[str], **options) -> dict[str, int]:
         """Index those of some candidate folders that are there; documents read by folder."""
@@ -129,7 +110,8 @@ class Engine:
         n = before.count()
         removed = groups.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
         if removed:
-            self._replace_skills(entities.deduplicated(before).select(before.columns))
+            gone = groups.select(F.explode("removed").alias("name")).join(before, "name").select("rowid")
+            self.skills.add(before.limit(0), gone)
         return self.spark.createDataFrame([(n, removed)], "total long, removed long"), groups
 
     def stats(self) -> DataFrame:
@@ -165,11 +147,9 @@ class Engine:
             raise ValueError(f"method {method}: one of rrf, bm25, embed")
         lists = []
         if method != "embed":
-            index = self._index("postings", lambda: lexical.built(docs)[0]), self._index("lengths", lambda: lexical.built(docs)[1])
-            lists.append(lexical.search(queries, docs, deep, index=index).select(columns))
+            lists.append(lexical.search(queries, docs, deep, index=self.skills.index()).select(columns))
         if method != "bm25":
-            vectors = self._index("vectors", lambda: dense.vectors(docs, self.embed))
-            lists.append(dense.search(queries, docs, deep, self.embed, vectors).select(columns))
+            lists.append(dense.search(queries, docs, deep, self.embed, self.skills.vectors()).select(columns))
         found = fusion.rrf(lists, queries, docs, wide) if method == "rrf" else lists[0]
         if session:
             recent = sessions.recent_skills(self.table("session_skills").where(F.col("session_id") == session)).select(F.col("skill_name").alias("name"))
@@ -231,14 +211,17 @@ class Engine:
         return catalogue.recipe(self.table("recipes"), self.table("skills"), name, include_should)
 
     def recipe_save(self, name: str, must: list[str], should: list[str] = (), description: str = "") -> None:
-        new = self.spark.createDataFrame([(name, description, list(must), list(should))], SCHEMAS["recipes"])
-        self.replace("recipes", catalogue.save_recipe(self.table("recipes"), new))
+        self._save_recipes([(name, description, list(must), list(should))])
+
+    def _save_recipes(self, rows: list[tuple]) -> None:
+        last = self.table("recipes").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        self.append("recipes", self.spark.createDataFrame([(last + 1, *r) for r in rows], SCHEMAS["recipes"]))
 
     def recipes_load(self, text: str) -> int:
         """Take the recipes of a YAML file in, in place of their namesakes; returns how many."""
         new = frontmatter.recipes(text)
         if new:
-            self.replace("recipes", catalogue.save_recipe(self.table("recipes"), self.spark.createDataFrame(new, SCHEMAS["recipes"])))
+            self._save_recipes(new)
         return len(new)
 
     def guide(self) -> str:

@@ -28,6 +28,13 @@ def recipe(recipes: DataFrame, catalogue: DataFrame, name: str, include_should:
     return found.select("pos", "name", "tokens").withColumn("total_tokens", F.sum("tokens").over(Window.partitionBy()))
 
 
+def newest_recipes(log: DataFrame) -> DataFrame:
+    """Of an append-only log of recipes with ids, each name's last one."""
+    every = [c for c in log.columns if c not in ("id", "recipe")]
+    last = log.groupBy("recipe").agg(F.max(F.struct("id", *every)).alias("x"))
+    return last.select("x.id", "recipe", *[f"x.{c}" for c in every])
+
+
 def save_recipe(recipes: DataFrame, new: DataFrame) -> DataFrame:
     """Recipes with new ones added or put in place of their namesakes."""
     return recipes.join(new.select("recipe"), "recipe", "left_anti").unionByName(new)
