@@ -10,8 +10,12 @@ from quern.runtime import table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of `documents`: first line as description, source as category, language as tag."""
-    d = table(spark, sf_dir, "documents")
+    """The catalogue of `documents`."""
+    return catalogued(table(spark, sf_dir, "documents"))
+
+
+def catalogued(d: DataFrame) -> DataFrame:
+    """A catalogue of (doc_id, text, lang, source): first line as description, source as category, language as tag."""
     name, line = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.split_part("text", F.lit("\n"), F.lit(1))
     return d.select(
         name.alias("name"), line.alias("description"), F.col("text").alias("body"), F.concat(F.lit("/"), "source", F.lit("/"), name).alias("path"), F.col("source").alias("category"),
@@ -48,8 +52,13 @@ def event_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A usage log of the `events` table."""
+    return usage_log(table(spark, sf_dir, "events"))
+
+
+def usage_log(events: DataFrame) -> DataFrame:
     """A usage log: events with their key as tokens saved and the user's last digit as method."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("skill_name"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("retrieval_method"),
         F.col("value").alias("score"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens_saved"), (F.col("event_id") % 50).alias("latency_ms"),
     )
