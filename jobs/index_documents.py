@@ -7,7 +7,7 @@ the output folder (quern.operators.segments), named by the batch's number: a bat
 the same segment again, and readers don't see one before it is whole. A document that comes again replaces its earlier version;
 one whose text is null is deleted. A run without new files writes nothing.
 
-Output, partitioned by segment: entries (the catalogue), postings sorted by term, impacts, and a row a segment. Searching:
+Output, partitioned by segment: entries (the catalogue), postings sorted by term, grams, impacts, and a row a segment. Searching:
 
     index = Segments(spark, output); lexical.search(queries, index.catalogue(), index=index.index())
 
@@ -67,10 +67,10 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, confi
 def output(spark: SparkSession, folder: str) -> DataFrame:
     """The index read back: how often each term stands in each column of each live document, with the document's length."""
     index = segments.Segments(spark, folder)
-    postings, lengths, corpus = index.index()
-    counts = postings.groupBy("rowid", "col", "term").agg(F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
+    found = index.index()
+    counts = found.postings.groupBy("rowid", "col", "term").agg(F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
     names = index.catalogue().select("rowid", "name", "category")
-    return counts.join(lengths, "rowid").join(names, "rowid").crossJoin(F.broadcast(corpus.select(F.col("total").alias("documents"))))
+    return counts.join(found.lengths, "rowid").join(names, "rowid").crossJoin(F.broadcast(found.corpus.select(F.col("total").alias("documents"))))
 
 
 if __name__ == "__main__":

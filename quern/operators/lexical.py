@@ -5,6 +5,8 @@ One plan answers a whole batch of queries(qid, query). The query side is small a
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ CORPUS = "total bigint, mean double"
 #: Rows in a block, and what a term has in one: rows, most weighted occurrences in a row, and the least length of such a row.
 BLOCK_ROWS = 128
 IMPACTS = "term string, block bigint, n bigint, most double, least bigint"
+#: What fills up the last grams of a text, and how many of a word's grams are looked up.
+GRAM_END, MOST_GRAMS = "\x01", 3
 #: Terms of a batch of queries that go to the reader as a filter.
 MOST_TERMS = 500
 
@@ -66,6 +70,20 @@ def by_term(index: DataFrame) -> DataFrame:
     return index.repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid")
 
 
+def kept_impacts(docs: DataFrame) -> DataFrame:
+    """Block bounds of a catalogue, kept like built()."""
+    return stored(docs.sparkSession, "impacts", docs, lambda: impacts(*built(docs)).repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+
+
+class Index(NamedTuple):
+    """What a search reads besides the catalogue. Without corpus, grams or impacts these are made from the rest."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame | None = None
+    grams: DataFrame | None = None
+
+
 def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, stats) of a catalogue, kept in the shared folder until its files change: later queries tokenise nothing."""
     spark = docs.sparkSession
@@ -73,6 +91,12 @@ def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, stored(spark, "lengths", docs, lambda: doc_stats(docs, index))
 
 
+def indexed(docs: DataFrame) -> Index:
+    """The whole index of a catalogue, kept like built()."""
+    index, lengths = built(docs)
+    return Index(index, lengths, stored(docs.sparkSession, "totals", docs, lambda: totals(lengths)), kept_grams(docs))
+
+
 def _phrases(words: Column, prefix: bool) -> Column:
     return F.transform(words, lambda w, i: F.struct((i + 1).alias("no"), w.alias("text"), F.lit(prefix).alias("prefix")))
 
@@ -122,41 +146,106 @@ def phrase_counts(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return hits.where("found = m").groupBy("text", "prefix", "rowid").agg(F.sum(weight()).alias("f"))
 
 
-def bm25(phrases: DataFrame, index: DataFrame, stats: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def frequencies(counts: DataFrame) -> DataFrame:
+    """(text, prefix, n): rows that hold each phrase."""
+    return counts.groupBy("text", "prefix").agg(F.count("*").alias("n"))
+
+
+def weighed(df: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(text, prefix, mean, idf) of phrase frequencies."""
+    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    return df.crossJoin(F.broadcast(corpus)).select("text", "prefix", "mean", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
+
+
+def contribution(f: Column, length: Column) -> Column:
+    """What a phrase gives a row; more with more occurrences, less with a longer row."""
+    return F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("mean")))
+
+
+def bm25(phrases: DataFrame, index: DataFrame, stats: DataFrame, corpus: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
     """(qid, strategy, rowid, bm25), higher is better, over all phrases of a strategy (a repeated phrase counts again).
 
-    `corpus`: totals of the documents, where they are kept with the index."""
+    `corpus`: totals of the documents, where they are kept with the index; `df`: phrase frequencies, where `index` is only a part."""
     counts = phrase_counts(phrases, index)
     corpus = totals(stats) if corpus is None else corpus  # one row
-    df = counts.groupBy("text", "prefix").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighed = df.crossJoin(F.broadcast(corpus)).select("text", "prefix", "mean", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = counts.join(weighed, ["text", "prefix"]).join(stats, "rowid").select("text", "prefix", "rowid", part.alias("part"))
+    weights = weighed(frequencies(counts) if df is None else df, corpus)
+    scored = counts.join(weights, ["text", "prefix"]).join(stats, "rowid").select("text", "prefix", "rowid", contribution(F.col("f"), F.col("length")).alias("part"))
     asked = phrases.withColumn("wanted", F.count("*").over(Window.partitionBy("qid", "strategy")))
     out = asked.join(scored, ["text", "prefix"]).groupBy("qid", "strategy", "every", "wanted", "rowid").agg(F.sum("part").alias("bm25"), F.count("*").alias("met"))
     return out.where("not every or met = wanted").select("qid", "strategy", "rowid", "bm25")
 
 
-def like_supplement(queries: DataFrame, docs: DataFrame, top_k: int = 20) -> DataFrame:
-    """(qid, rowid): rows whose name or description holds one of the first three keywords (of none: the whole query).
+def _grams(text: Column) -> Column:
+    """The three characters from each position on, in lower case; the last ones are filled up."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substring(F.concat(text, F.lit(GRAM_END * 2)), i, F.lit(3)))
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """(gram, rowid): three-character runs of names and descriptions, each once a row."""
+    return docs.select(F.explode(F.array_distinct(F.concat(_grams(F.col("name")), _grams(F.col("description"))))).alias("gram"), "rowid")
+
 
-    As in SQL's LIKE, an underscore stands for any character; case counts for ASCII letters only in the pattern's favour."""
+def by_gram(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("gram", "rowid").sortWithinPartitions("gram", "rowid")
+
+
+def kept_grams(docs: DataFrame) -> DataFrame:
+    """Grams of a catalogue, kept like built()."""
+    return stored(docs.sparkSession, "grams", docs, lambda: by_gram(grams(spread(docs))))
+
+
+def like_patterns(queries: DataFrame) -> DataFrame:
+    """(qid, word): the first three keywords of a query, or the whole of one that has none."""
     words = keywords(F.trim("query"))
     patterns = F.when(F.size(words) > 0, F.slice(words, 1, 3)).otherwise(F.array(F.trim("query")))
-    asked = queries.where(F.trim("query") != "").select("qid", F.explode(F.array_distinct(patterns)).alias("word"))
-    asked = bounded(asked.select("qid", F.concat(F.lit("%"), "word", F.lit("%")).alias("pattern")))
-    hits = docs.select("rowid", "name", "description").join(asked, F.expr("name ilike pattern or description ilike pattern")).select("qid", "rowid").distinct()
+    return queries.where(F.trim("query") != "").select("qid", F.explode(F.array_distinct(patterns)).alias("word"))
+
+
+def gram_candidates(words: DataFrame, index: DataFrame) -> DataFrame:
+    """(word, rowid): rows that may hold words(word) by their grams, none missing.
+
+    A word's runs without wildcards have grams of their own: rows must have the rarest MOST_GRAMS of these. A word with
+    shorter runs only takes the rows of all grams that begin with its longest run."""
+    runs = words.select("word", F.filter(F.split(F.lower("word"), r"[_%\\]"), lambda r: r != "").alias("runs"))
+    inner = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 2), lambda i: F.substring(r, i, F.lit(3)))
+    full = runs.select("word", F.array_distinct(F.flatten(F.transform(F.filter("runs", lambda r: F.char_length(r) > 2), inner))).alias("grams"), "runs")
+    counted = bounded(full.select("word", F.explode("grams").alias("gram")), MOST_TERMS)
+    wanted = [r.gram for r in counted.select("gram").distinct().limit(MOST_TERMS + 1).collect()]
+    some = index.where(F.col("gram").isin(wanted)) if len(wanted) <= MOST_TERMS else index  # few: the reader skips the others
+    rarest = F.row_number().over(Window.partitionBy("word").orderBy("n", "gram"))
+    chosen = counted.join(some.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").fillna(0, ["n"]).withColumn("k", rarest).where(F.col("k") <= MOST_GRAMS)
+    chosen = chosen.withColumn("needed", F.count("*").over(Window.partitionBy("word"))).select("word", "gram", "needed")
+    met = some.join(chosen, "gram").groupBy("word", "needed", "rowid").agg(F.count("*").alias("met")).where("met = needed").select("word", "rowid")
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: F.struct(F.char_length(r).alias("n"), r.alias("run"))))["run"], F.lit(""))
+    short = full.where(F.size("grams") == 0).select("word", longest.alias("run")).withColumn("n", F.char_length("run"))
+    sizes = [r.n for r in short.select("n").distinct().collect()]  # 0, 1 or 2
+    begun = index.select("rowid", "gram", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("n")).select("rowid", "n", F.expr("left(gram, n)").alias("run"))
+    return met.unionByName(begun.join(short, ["n", "run"]).select("word", "rowid").distinct())
+
+
+def like_supplement(queries: DataFrame, docs: DataFrame, top_k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """(qid, rowid): rows whose name or description holds one of the first three keywords (of none: the whole query).
+
+    As in SQL's LIKE, an underscore stands for any character; case counts for ASCII letters only in the pattern's favour.
+    Rows are found by their grams (`index`, or one that is kept) and held against the pattern itself."""
+    asked = like_patterns(queries)
+    may = gram_candidates(asked.select("word").distinct(), kept_grams(docs) if index is None else index)
+    pattern = F.concat(F.lit("%"), "word", F.lit("%")).alias("pattern")
+    hits = may.join(docs.select("rowid", "name", "description"), "rowid").select("word", "rowid", "name", "description", pattern)
+    hits = hits.where("name ilike pattern or description ilike pattern").select("word", "rowid")
+    hits = bounded(asked).join(hits, "word").select("qid", "rowid").distinct()
     first = F.row_number().over(Window.partitionBy("qid").orderBy("rowid"))
     return hits.withColumn("k", first).where(F.col("k") <= top_k).select("qid", "rowid")
 
 
-def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: float = 0.0, index: tuple[DataFrame, ...] | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: float = 0.0, index: Index | None = None) -> DataFrame:
     """(qid, rank, rowid, name, score, method): the best rows of every query.
 
     Each strategy gives its top_k; a row keeps the score of its first strategy; rows without a hint in the name are held
-    below LIKE matches, which supplement what the index finds. Without an index from built(), one is made."""
-    found = bm25(strategies(queries), *(built(docs) if index is None else index))
+    below LIKE matches, which supplement what the index finds. Without an index, one is made and kept."""
+    index = indexed(docs) if index is None else index
+    found = bm25(strategies(queries), index.postings, index.lengths, index.corpus)
     place = F.row_number().over(Window.partitionBy("qid", "strategy").orderBy(F.desc("bm25"), "rowid"))
     found = found.withColumn("place", place).where(F.col("place") <= top_k)
     first = F.row_number().over(Window.partitionBy("qid", "rowid").orderBy("strategy", "place"))
@@ -165,7 +254,7 @@ def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: floa
     score = 1 + F.col("bm25") / 100
     score = F.when(hinted(F.col("query"), F.col("name")), score).otherwise(F.least(score, F.lit(UNHINTED)))
     lexical = found.join(bounded(queries), "qid").join(fields, "rowid").select("qid", "rowid", "name", F.round(score, 4).alias("score"), F.lit("bm25").alias("method"), "strategy", "place")
-    like = like_supplement(queries, docs, top_k).join(found.select("qid", "rowid"), ["qid", "rowid"], "left_anti").join(fields, "rowid")
+    like = like_supplement(queries, docs, top_k, index.grams).join(found.select("qid", "rowid"), ["qid", "rowid"], "left_anti").join(fields, "rowid")
     like = like.select("qid", "rowid", "name", F.lit(LIKE_SCORE).alias("score"), F.lit("like").alias("method"), F.lit(9).alias("strategy"), F.col("rowid").alias("place"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "strategy", "place", "rowid"))
     out = lexical.unionByName(like).where((F.col("score") >= threshold) if threshold > 0 else F.lit(True)).withColumn("rank", rank)

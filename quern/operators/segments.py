@@ -1,7 +1,7 @@
 """A catalogue with its full-text index in immutable segments: adding, changing and deleting documents writes no more than the batch.
 
 Tables below `root`, each partitioned by segment: `entries` (the catalogue's columns, token count, whether the row is a tombstone),
-`postings` (sorted by term), `impacts` (a row for each term and block of rows: what the term can give there at most), `vectors` (where an embedder is
+`postings` (sorted by term), `grams` (runs of three characters of names and descriptions), `impacts` (a row for each term and block of rows: what the term can give there at most), `vectors` (where an embedder is
 given), and `sealed`, one row a segment, written last: a segment without it isn't there for readers, so a writer that dies
 leaves nothing but files that nobody reads. Of rows with one rowid the newest segment's counts.
 
@@ -29,6 +29,7 @@ from quern.operators.dense import described
 FAN = 4
 SEALED = "place bigint, documents bigint, replaces array<string>, live array<string>, total bigint, mean double"
 POSTINGS = "rowid bigint, col string, term string, pos int"
+GRAMS = "gram string, rowid bigint"
 VECTORS = "id bigint, embedding array<double>"
 
 
@@ -37,7 +38,7 @@ class Segments:
 
     def __init__(self, spark: SparkSession, root: str, columns: str = schemas.CATALOGUE, embed: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.root, self.columns, self.embed = spark, root.rstrip("/"), columns, embed
-        self.schemas = {"entries": f"{columns}, length bigint, gone boolean", "postings": POSTINGS, "impacts": lexical.IMPACTS, "vectors": VECTORS, "sealed": SEALED}
+        self.schemas = {"entries": f"{columns}, length bigint, gone boolean", "postings": POSTINGS, "impacts": lexical.IMPACTS, "grams": GRAMS, "vectors": VECTORS, "sealed": SEALED}
 
     def _read(self, table: str, names: list[str] | None = None) -> DataFrame:
         """A table, or some segments of it; empty where nothing has been written."""
@@ -84,21 +85,22 @@ class Segments:
     def catalogue(self) -> DataFrame:
         return self._current("entries", self._live()).drop("gone", "length")
 
-    def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(postings, lengths, corpus) of one state, as lexical.search() takes them."""
+    def index(self) -> lexical.Index:
+        """The index of one state, as lexical.search() takes it."""
         rows = self.sealed()
         live = [r.segment for r in rows]
         lengths = self._owners(live).where("not gone").select("rowid", "length")
         known = [r for r in rows if sorted(r.live) == live]  # totals of just these segments; a writer at the same time may have left none
         corpus = self.spark.createDataFrame([(known[-1].total, known[-1].mean)], lexical.CORPUS) if known else lexical.totals(lengths)
-        return self._current("postings", live), lengths, corpus
+        return lexical.Index(self._current("postings", live), lengths, corpus, self._current("grams", live))
 
     def vectors(self) -> DataFrame:
         return self._current("vectors", self._live(), "id")
 
-    def impacts(self) -> DataFrame:
-        """Bounds of all live segments; those of replaced rows are bounds still."""
-        return self._read("impacts", self._live()).drop("segment")
+    def impacts(self) -> tuple[DataFrame, bool]:
+        """Block bounds of all live segments, and whether they count live rows alone; bounds of replaced rows are bounds still."""
+        live = self._live()
+        return self._read("impacts", live).drop("segment"), len(live) <= 1
 
     # writing
     def _seal(self, name: str, place: int, replaces: list[str]) -> None:
@@ -123,6 +125,7 @@ class Segments:
             entries = entries.unionByName(gone.select(F.col("rowid").cast("bigint"), F.lit(0).cast("bigint").alias("length"), F.lit(True).alias("gone")), allowMissingColumns=True).select(null.columns)
         self._write("entries", name, entries)
         self._write("impacts", name, lexical.impacts(self._read("postings", [name]), self._read("entries", [name])))
+        self._write("grams", name, lexical.by_gram(lexical.grams(docs)))
         if self.embed:
             self._write("vectors", name, self.embed(described(docs)))
         self._seal(name, place, [])
@@ -154,9 +157,9 @@ class Segments:
             own = own.where("not gone")
         # the last one's place in the order; a merge of the same segments has the same name
         name = f"{chosen[-1]}+{uuid.uuid5(uuid.NAMESPACE_OID, ' '.join(chosen)).hex[:8]}"
-        for table, key in (("entries", "rowid"), ("postings", "rowid"), *([("vectors", "id")] if self.embed else [])):
+        for table, key in (("entries", "rowid"), ("postings", "rowid"), ("grams", "rowid"), *([("vectors", "id")] if self.embed else [])):
             rows = self._read(table, chosen).join(own.select(F.col("rowid").alias(key), "segment"), [key, "segment"], "left_semi").drop("segment")
-            self._write(table, name, lexical.by_term(rows) if table == "postings" else rows)
+            self._write(table, name, {"postings": lexical.by_term, "grams": lexical.by_gram}.get(table, lambda x: x)(rows))
         self._write("impacts", name, lexical.impacts(self._read("postings", [name]), self._read("entries", [name])))
         self._seal(name, run[-1].place, chosen)
         return name

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.unicode import jaro_winkler
-from quern.operators import dense, entities, fusion, graph, learning, lexical, optimize, select, sessions, usage
-from quern.runtime import table
+from quern.operators import dense, entities, fusion, graph, learning, lexical, optimize, segments, select, sessions, topk, usage
+from quern.runtime import new_path, table
 from quern.sources import adapters, catalogue
 
 #: A batch of keyword queries on documents: license lines, frequent and rare words, phrases, synonyms, no match, stop-words.
@@ -128,6 +128,32 @@ def bm25_mixed(spark, sf_dir):
     return _one_strategy(spark, sf_dir, 5)
 
 
+@query
+def bm25_top_blocks(spark, sf_dir):
+    """The ten best rows of any word, by block bounds."""
+    d = adapters.documents(spark, sf_dir)
+    phrases = lexical.strategies(asked(spark, DOCUMENT_QUERIES)).where("strategy = 2")
+    return topk.search(phrases, lexical.indexed(d), lexical.kept_impacts(d), 10)[0]
+
+
+def changed(docs):
+    """A catalogue after changes: every seventeenth document gone, of every tenth a new text."""
+    body = F.when(F.col("rowid") % 10 == 3, F.concat(F.lit("Apache license "), F.substring("body", 1, 200))).otherwise(F.col("body"))
+    return docs.where("rowid % 17 <> 5").withColumn("body", body)
+
+
+@query
+def index_segments(spark, sf_dir):
+    """A search of an index that grew by four batches, one of which changes and deletes earlier documents, with merges."""
+    d = adapters.documents(spark, sf_dir)
+    index = segments.Segments(spark, new_path(spark, "segments"))
+    for k in range(3):
+        index.add(d.where(F.col("rowid") % 3 == k))
+    index.add(changed(d).where("rowid % 10 = 3"), d.where("rowid % 17 = 5").select("rowid"))
+    index.merge(3)
+    return lexical.search(asked(spark, DOCUMENT_QUERIES), index.catalogue(), 20, index=index.index()).select("qid", "rank", "name", "score", "method")
+
+
 @query
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

@@ -28,6 +28,7 @@ def words_in(words: list[str]) -> str:
 
 DOCS = """docs AS (SELECT doc_id AS rowid, 'doc-' || doc_id AS name, split_part(text, chr(10), 1) AS description, text AS body,
  source AS category, [lang] AS tags, '["' || lang || '"]' AS tags_json FROM documents)"""
+CHANGED = """changed AS (SELECT rowid, name, description, CASE WHEN rowid % 10 = 3 THEN 'Apache license ' || body[1:200] ELSE body END AS body, category, tags, tags_json FROM docs WHERE rowid % 17 <> 5)"""
 PARTS = """parts AS (SELECT p_name AS name, min(p_partkey) AS rowid, min(p_type) AS category, min(p_type) || ' ' || min(p_brand) AS description,
  p_name AS body, string_split(p_name, ' ') AS tags, '["' || replace(p_name, ' ', '","') || '"]' AS tags_json FROM part GROUP BY p_name)"""
 
@@ -237,6 +238,8 @@ ORACLE_SQL: dict[str, str] = {
     "entropy_gate": f"WITH {PARTS}, {ENTROPY} SELECT name, round(e, 6) AS entropy FROM en WHERE round(e, 6) >= 2.5",
     "like_supplement": f"WITH {DOCS}, {like_cte('docs', DOCUMENT_QUERIES, 20)} SELECT qid, rowid FROM lk",
     "bm25_and": strategy(1), "bm25_or": strategy(2), "bm25_truncated_prefix": strategy(3), "bm25_prefix": strategy(4), "bm25_mixed": strategy(5),
+    "bm25_top_blocks": f"WITH {DOCS}, {bm25_ctes('docs', DOCUMENT_QUERIES)} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, rowid)::INT AS rank, rowid, round(bm25, 6) AS bm25 FROM scored WHERE strategy = 2 QUALIFY rank <= 10",
+    "index_segments": "WITH " + search_ctes("changed", f"{DOCS}, {CHANGED}", DOCUMENT_QUERIES, 20) + " SELECT qid, rank, name, score, method FROM res",
     "cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
 s AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_dot_product(q.e, v.e) / (q.n * v.n + 1e-10) AS score FROM v, (SELECT * FROM v WHERE vec_id % 100 = 0) q)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
