@@ -134,6 +134,15 @@ def runs(word_hashes: np.ndarray, first: np.ndarray, size: int, which: int = 0)
     return at, mix(h[at])
 
 
+def ranges(word_hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the words from each start up to its end, of any number."""
+    up, down = powers(_WORD_BASES[which], len(word_hashes))
+    total = np.zeros(len(word_hashes) + 1, np.uint64)
+    np.cumsum(word_hashes * up[: len(word_hashes)], out=total[1:])
+    h = (total[ends] - total[starts]) * down[starts] if len(starts) else np.zeros(0, np.uint64)
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
 def text_chunks(batches, column: str = "text", holder: str = "words", drop: Callable[[], None] | None = None):
     """(slice of the batch, bytes, offsets) for pieces of bounded size. What `holder` keeps beside, `drop` drops when others work."""
     claim(holder, lambda: (_powers.clear(), drop and drop()))
