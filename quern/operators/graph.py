@@ -14,6 +14,8 @@ from quern.runtime import written
 # Weights and limits of the builders.
 CATEGORY, TAGS, FEEDBACK, LEAST_TEXT, PARENT, GRANDPARENT = 0.3, 0.4, 0.1, 0.3, 0.4, 0.2
 DAMPING, MOST_ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+#: Names that go to the reader of edges as a filter.
+FEW = 500
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.unicode import jaro_winkler
-from quern.operators import dense, entities, fusion, graph, learning, lexical, optimize, segments, select, sessions, topk, usage
+from quern.operators import dense, entities, fusion, graph, groups, learning, lexical, optimize, segments, select, sessions, topk, usage
 from quern.runtime import new_path, table
 from quern.sources import adapters, catalogue
 
@@ -48,6 +48,14 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.both_ways(pairs)
 
 
+def part_groups(spark: SparkSession, sf_dir: str) -> groups.Groups:
+    """The same graph with its groups kept as groups."""
+    p = adapters.parts(spark, sf_dir)
+    weights = learning.skill_weights(adapters.part_feedback(spark, sf_dir))
+    pairs = graph.cooccurrence_edges(adapters.part_uses(spark, sf_dir)).unionByName(graph.text_edges(p))
+    return groups.united(groups.of_pairs(pairs), groups.content(p), groups.feedback(weights))
+
+
 @query
 def bm25_search(spark, sf_dir):
     return searched(spark, sf_dir).select("qid", "rank", "name", "score", "method")
@@ -357,19 +365,29 @@ def edges_path(spark, sf_dir):
 @query
 def neighbors(spark, sf_dir):
     first = adapters.parts(spark, sf_dir).agg(F.min("name")).first()[0]
-    return graph.neighbors(part_edges(spark, sf_dir), first, ["content", "text_overlap"])
+    return groups.neighbors(part_groups(spark, sf_dir), first, ["content", "text_overlap"])
 
 
 @query
 def graph_stats(spark, sf_dir):
-    return graph.graph_stats(part_edges(spark, sf_dir))
+    return groups.stats(part_groups(spark, sf_dir))
 
 
 @query
 def ppr_20(spark, sf_dir):
+    p = adapters.parts(spark, sf_dir)
+    g = groups.united(groups.content(p), groups.of_pairs(graph.text_edges(p)))
+    return groups.pagerank(g, p.orderBy("name").limit(3).select("name")).withColumn("score", F.round("score", 6))
+
+
+@query
+def ppr_push(spark, sf_dir):
+    """PageRank by residual push from the first three names."""
     p = adapters.parts(spark, sf_dir)
     edges = graph.both_ways(graph.content_edges(p).unionByName(graph.text_edges(p)))
-    return graph.pagerank(edges, p.orderBy("name").limit(3).select("name")).withColumn("score", F.round("score", 6))
+    seeds = p.orderBy("name").limit(3).select(F.lit(1).alias("set"), "name")
+    scores, _ = groups.pushed(edges, seeds)
+    return scores.select("set", "name", F.round("score", 6).alias("score")).where("score > 0")
 
 
 @query

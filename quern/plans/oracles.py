@@ -276,6 +276,7 @@ SELECT src, dst, 0.4::DOUBLE AS weight, 'path_shared' AS edge_type FROM near UNI
     "neighbors": f"WITH {ALL_EDGES} SELECT dst AS name, weight, edge_type FROM edges WHERE src = (SELECT min(name) FROM parts) AND edge_type IN ('content', 'text_overlap') ORDER BY weight DESC, dst, edge_type LIMIT 20",
     "graph_stats": f"WITH {ALL_EDGES} SELECT 'nodes' AS metric, count(DISTINCT src) AS value FROM edges UNION ALL SELECT 'edges', count(*) // 2 FROM edges UNION ALL SELECT 'type:' || edge_type, count(*) FROM edges GROUP BY edge_type",
     "ppr_20": f"WITH {SOME_EDGES}, {pagerank()} SELECT name, round(score, 6) AS score FROM r20",
+    "ppr_push": f"WITH {SOME_EDGES}, {pagerank()} SELECT 1 AS set, name, round(score, 6) AS score FROM r20 WHERE round(score, 6) > 0",
     "minhash_signatures": f"WITH {SIGNED} SELECT rowid, array_to_string(sig, ',') AS sig FROM sg",
     "lsh_candidates": f"WITH {SIGNED}, bd AS (SELECT rowid, unnest(range(20)) AS no, sig FROM sg), bk AS (SELECT rowid, no, array_to_string(sig[no * 6 + 1:no * 6 + 6], ',') AS k FROM bd) SELECT DISTINCT a.rowid AS a, b.rowid AS b FROM bk a JOIN bk b ON a.no = b.no AND a.k = b.k AND a.rowid < b.rowid",
     "query_patterns": f"WITH RECURSIVE {FOLD} SELECT pattern_key, best_skill, count, last_used FROM qp JOIN qc USING (pattern_key)",
