@@ -106,6 +106,17 @@ def safe_name(name: Column) -> Column:
     return F.substring(F.regexp_replace(name, r"[\x00-\x1f\x7f]", ""), 1, 128)
 
 
+def percent(score: Column) -> Column:
+    """A score as a whole number of hundredths, cut off."""
+    return (score * 100).cast("int")
+
+
+def score_bar(score: Column) -> Column:
+    """A score as a bar of ten places; scores of one and more fill it."""
+    full = F.greatest(F.least(F.floor(percent(score) / 10), F.lit(10)), F.lit(0)).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), 10 - full))
+
+
 def hinted(query: Column, *fields: Column, least: int = 0) -> Column:
     """Whether a term of the query, or its first six letters, stands in one of the fields; stop-words take part.
 
@@ -124,6 +135,7 @@ def hinted(query: Column, *fields: Column, least: int = 0) -> Column:
 
 def is_variant_pair(a: Column, b: Column) -> Column:
     """Short names of one stem with different endings, such as model versions: never the same entity."""
+    # Fixed value: what a name with a variant's ending looks like.
     pattern = r"^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$"
     stem = lambda x: F.regexp_extract(x, pattern, 1)
     end = lambda x: F.regexp_extract(x, pattern, 2)

@@ -74,9 +74,15 @@ def _first(body: Column, table: dict[str, str], default: str) -> Column:
     return out
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters with its first one in upper case and the others in lower case: `k8s-DNS` gives `K8S-Dns`."""
+    runs = F.split(text, r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, F.lit(2), F.char_length(r))))), "")
+
+
 def expanded(name: Column, body: Column, tags: Column) -> Column:
     """A description from the body's first known keyword, the name in title case and three tags; never text of the body."""
-    title = F.initcap(F.translate(name, "-_", "  "))
+    title = title_case(F.translate(name, "-_", "  "))
     first = F.slice(tags, 1, 3)
     end = F.when(F.size(first) > 0, F.concat(F.lit(" ["), F.array_join(first, ", "), F.lit("]"))).otherwise(F.lit(""))
     return F.concat(_first(body, PHRASES, DEFAULT_PHRASE), F.lit(" "), title, end)

@@ -67,6 +67,17 @@ def index_stats(spark, sf_dir):
     return d.groupBy("category").agg(F.count("*").alias("cnt"), F.coalesce(F.sum("token_cost_meta"), F.lit(0)).alias("meta_tokens"), F.coalesce(F.sum("token_cost_body"), F.lit(0)).alias("body_tokens"))
 
 
+@query
+def list_by_use(spark, sf_dir):
+    return catalogue.by_use(adapters.parts(spark, sf_dir), adapters.part_uses(spark, sf_dir)).select("name", "category", "use_count", "rowid")
+
+
+@query
+def text_output(spark, sf_dir):
+    d = adapters.documents(spark, sf_dir).select("name", F.left("description", F.lit(60)).alias("description"), "tags", "token_cost_meta", "token_cost_body")
+    return catalogue.as_text(searched(spark, sf_dir).join(d, "name"))
+
+
 @query
 def list_by_category(spark, sf_dir):
     return adapters.documents(spark, sf_dir).where("category = 'src3'").select("rowid", "name", "category")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import functools
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from quern.operators.segments import Segments
 from quern.runtime import numbered, written
 from quern.sources import catalogue, documents, frontmatter
 
+log = logging.getLogger(__name__)
 SCHEMAS = {
     "session_events": schemas.SESSION_EVENTS, "session_skills": schemas.SESSION_LOG, "feedback": schemas.FEEDBACK_LOG,
     "usage_events": schemas.USAGE_LOG, "recipes": f"id bigint, {schemas.RECIPES}",
@@ -114,6 +116,14 @@ class Engine:
             self.skills.add(before.limit(0), gone)
         return self.spark.createDataFrame([(n, removed)], "total long, removed long"), groups
 
+    def list(self, category: str | None = None) -> DataFrame:
+        """The catalogue, the most used names first."""
+        return catalogue.by_use(self.table("skills"), self.table("usage_events").select("skill_name").unionByName(self.table("session_skills").select("skill_name")), category)
+
+    def shown(self, results: DataFrame) -> DataFrame:
+        """(qid, rank, line): results of query() as text."""
+        return catalogue.as_text(results.join(self.table("skills").select("name", "description", "tags", "token_cost_meta", "token_cost_body"), "name"))
+
     def stats(self) -> DataFrame:
         return self.table("skills").groupBy("category").agg(F.count("*").alias("cnt"), F.sum("token_cost_meta").alias("meta_tokens"), F.sum("token_cost_body").alias("body_tokens"))
 
@@ -149,8 +159,15 @@ class Engine:
         if method != "embed":
             lists.append(lexical.search(queries, docs, deep, index=self.skills.index()).select(columns))
         if method != "bm25":
-            lists.append(dense.search(queries, docs, deep, self.embed, self.skills.vectors()).select(columns))
-        found = fusion.rrf(lists, queries, docs, wide) if method == "rrf" else lists[0]
+            try:  # written here, so that an embedder that fails does so now
+                lists.append(written(dense.search(queries, docs, deep, self.embed, self.skills.vectors()).select(columns), "similar"))
+            except Exception as e:  # whatever goes wrong with a model, words still find something
+                log.info("vectors failed, searching by words: %s", e)
+                if not lists:
+                    lists.append(lexical.search(queries, docs, deep, index=self.skills.index()).select(columns))
+                if method == "rrf":
+                    method = "bm25"
+        found = fusion.rrf(lists, queries, docs, wide) if method == "rrf" else lists[0].where(F.col("rank") <= wide)
         if session:
             recent = sessions.recent_skills(self.table("session_skills").where(F.col("session_id") == session)).select(F.col("skill_name").alias("name"))
             found = fusion.session_boost(found, recent)
@@ -230,6 +247,6 @@ class Engine:
 
     def tools(self) -> dict[str, Callable]:
         """The tools by name, none of which raises."""
-        names = """query index dedup stats session_start session_use session_context session_end optimize optimize_folder feedback
+        names = """query index dedup list stats session_start session_use session_context session_end optimize optimize_folder feedback
         feedback_stats query_adaptive insights neighbors recipe recipe_save guide""".split()
         return {x: safe(getattr(self, x)) for x in names}

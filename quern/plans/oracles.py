@@ -230,6 +230,9 @@ PATHS = "pg AS (SELECT 'page-' || page_id AS name, regexp_replace(regexp_replace
 ORACLE_SQL: dict[str, str] = {
     "bm25_search": f"{SEARCH} SELECT qid, rank, name, score, method FROM res",
     "index_stats": f"WITH {DOCS} SELECT category, count(*) AS cnt, sum(length(name || ' ' || description) // 4)::BIGINT AS meta_tokens, sum(length(body) // 4)::BIGINT AS body_tokens FROM docs GROUP BY category",
+    "list_by_use": f"WITH {PARTS}, pu AS (SELECT p_name AS name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name) SELECT name, category, coalesce(n, 0) AS use_count, rowid FROM parts LEFT JOIN pu USING (name)",
+    "text_output": f"""{SEARCH} SELECT qid, rank, rank || '. ' || res.name || chr(10) || description[1:60] || ' [' || array_to_string(tags[1:2], ', ') || ']' || chr(10) || '[' || repeat('█', least(pct // 10, 10)::INT) || repeat('░', (10 - least(pct // 10, 10))::INT) || '] '
+ || pct || '% | ' || method || ' | ~' || length(res.name || ' ' || description) // 4 || 't meta / ~' || length(body) // 4 || 't body' AS line FROM (SELECT *, trunc(score * 100)::INT AS pct FROM res) res JOIN docs ON docs.name = res.name""",
     "list_by_category": f"WITH {DOCS} SELECT rowid, name, category FROM docs WHERE category = 'src3'",
     "get_by_name": f"WITH {DOCS} SELECT rowid, name, description, (length(body) // 4)::BIGINT AS token_cost_body FROM docs WHERE name = 'doc-42'",
     "metadata_projection": f"WITH {DOCS} SELECT rowid, name || ': ' || description || ' [' || array_to_string(tags[1:3], ', ') || ']' AS line, (length(body) // 4)::BIGINT AS tokens, regexp_replace(description, '[\\x00-\\x1f\\x7f]', '', 'g')[1:128] AS safe FROM docs",
