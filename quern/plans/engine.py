@@ -143,8 +143,7 @@ class Engine:
         errors = documents.corrupt(self.spark, folder)
         if apply:
             new = documents.rewritten(files.join(result.where("changed").select("path", "name", "description", "tags"), "path"))
-            failed = documents.applied(self.spark, new)
-            errors = errors.unionByName(self.spark.createDataFrame(list(failed.items()), "path string, error string"))
+            errors = errors.unionByName(documents.applied(self.spark, new, folder))
         return result.join(errors, "path", "full").withColumn("changed", F.coalesce("changed", F.lit(False)))
 
     # retrieval

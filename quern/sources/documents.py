@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import token_estimate
-from quern.runtime import ship
+from quern.runtime import new_path, ship
+from quern.sources import tree
 from quern.sources.frontmatter import parsed
 
 FILE = "SKILL.md"
@@ -43,14 +45,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _registered(spark: SparkSession) -> None:
+    """Make the data source known to a session, and to its workers."""
+    ship(spark)
+    spark.dataSource.register(tree.Documents)
+
+
 def _files(spark: SparkSession, root: str, recursive: bool, exclude: list[str]) -> DataFrame | None:
-    """(path, content) of the files below a folder; None of a missing folder."""
+    """(path, content, error) of the files below a folder; None of a missing folder."""
     if not _exists(spark, root):
         return None
+    if tree.readable(root):
+        _registered(spark)
+        reader = spark.read.format(tree.NAME).option("name", FILE).option("exclude", json.dumps([*EXCLUDED, *exclude])).option("recursive", str(recursive).lower())
+        return reader.load(root)
+    # a store that only Spark's readers open
     reader = spark.read.format("binaryFile").option("pathGlobFilter", FILE)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    files = reader.load(root).select("path", "content")
+    files = reader.load(root).select("path", "content", F.lit(None).cast("string").alias("error"))
     inside = F.regexp_replace(F.col("path"), "^.*?" + _quoted(posixpath.normpath(root.removeprefix("file://"))) + "/?", "")
     folders = F.slice(F.split(inside, "/"), 1, F.greatest(F.size(F.split(inside, "/")) - 1, F.lit(0)))
     skipped = F.exists(folders, lambda f: f.isin([*EXCLUDED, *exclude]) | f.startswith("."))
@@ -58,13 +71,11 @@ def _files(spark: SparkSession, root: str, recursive: bool, exclude: list[str])
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
-    """(path, content) of the documents below a folder, without those that corrupt() lists; a missing folder has none.
-
-    Spark's file listing leaves out folders that begin with _ or a dot."""
+    """(path, content) of the documents below a folder, without those that corrupt() lists; a missing folder has none."""
     files = _files(spark, root, recursive, exclude)
     if files is None:
         return spark.createDataFrame([], "path string, content string")
-    return files.where(F.is_valid_utf8(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("content"))
+    return files.where(F.is_valid_utf8(F.col("content")) & F.col("error").isNull()).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def _quoted(text: str) -> str:
@@ -103,9 +114,11 @@ def existing(spark: SparkSession, folders: list[str]) -> list[str]:
 
 
 def corrupt(spark: SparkSession, root: str, recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
-    """(path, error) of the documents that scan() leaves out, because they aren't UTF-8."""
+    """(path, error) of the documents that scan() leaves out: they can't be read, or aren't UTF-8."""
     bad = _files(spark, root, recursive, exclude)
-    return spark.createDataFrame([], "path string, error string") if bad is None else bad.where(~F.is_valid_utf8(F.col("content"))).select("path", F.lit("not UTF-8").alias("error"))
+    if bad is None:
+        return spark.createDataFrame([], "path string, error string")
+    return bad.where(F.col("error").isNotNull() | ~F.is_valid_utf8(F.col("content"))).select("path", F.coalesce("error", F.lit("not UTF-8")).alias("error"))
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
@@ -123,21 +136,13 @@ def rewritten(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.when(framed, F.concat(F.lit("---\n"), F.array_join(patched, "\n"), F.lit("\n---\n"), parts[2])).otherwise(new).alias("new_content"))
 
 
-def applied(spark: SparkSession, new: DataFrame) -> dict[str, str]:
-    """Put (path, new_content) in place of the files, one after another as they come from the tasks; errors by path.
-
-    A file is written beside the old one and renamed over it, so that a reader sees one or the other."""
-    jvm, errors = spark._jvm, {}
-    for row in new.toLocalIterator():
-        at, draft = jvm.org.apache.hadoop.fs.Path(row.path), jvm.org.apache.hadoop.fs.Path(f"{row.path}.draft")
-        try:
-            fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-            out = fs.create(draft, True)
-            out.write(bytearray(row.new_content.encode()))
-            out.close()
-            fs.delete(at, False)
-            if not fs.rename(draft, at):
-                raise OSError(f"can't rename {draft}")
-        except Exception as e:  # one file's error is reported and doesn't stop the others
-            errors[row.path] = str(e).splitlines()[0][:300]
-    return errors
+def applied(spark: SparkSession, new: DataFrame, root: str) -> DataFrame:
+    """Put (path, new_content) in place of files below `root`; (path, error) of those that couldn't be.
+
+    Tasks write drafts, and once all are there each is renamed over its file: a reader sees one or the other, and a task that
+    fails leaves all files as they were."""
+    _registered(spark)
+    report = new_path(spark, "report")
+    new.select("path", "new_content").write.format(tree.NAME).mode("append").option("report", report).save(root)
+    schema = "path string, error string"
+    return spark.read.schema(schema).json(report) if _exists(spark, report) else spark.createDataFrame([], schema)
