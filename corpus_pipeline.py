@@ -23,9 +23,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of two or more lines that stand earlier are cut from texts; n_chars follows, null for a null text. Texts that go
+    """Passages of two or more lines that stand earlier are cut from texts; n_chars follows, null for a null text (a table without it stays so). Texts that go
     whole stay as empty rows; of equal rows of one id none is cut."""
     cut = lines.dedup(docs)
+    if "n_chars" not in docs.columns:
+        return cut.select([f"`{c}`" for c in docs.columns])
     n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return cut.select([n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -36,12 +36,17 @@ def signatures(names: DataFrame, least_entropy: float = LEAST_ENTROPY) -> DataFr
     return names.where(entropy(F.col("name")) >= least_entropy).select("rowid", "name", minhash(name_shingles(F.col("name"))).alias("sig"))
 
 
+def bands(signed: DataFrame) -> DataFrame:
+    """(no, key, rowid): each signature's bands."""
+    band = lambda i: F.struct(i.alias("no"), F.array_join(F.slice(F.col("sig"), i * ROWS + 1, F.lit(ROWS)).cast("array<string>"), ",").alias("key"))
+    return signed.select("rowid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band")).select("band.no", "band.key", "rowid")
+
+
 def lsh_candidates(signed: DataFrame) -> DataFrame:
     """(a, b): rowids that share a band, a < b."""
-    band = lambda i: F.struct(i.alias("no"), F.array_join(F.slice(F.col("sig"), i * ROWS + 1, F.lit(ROWS)).cast("array<string>"), ",").alias("key"))
-    bands = signed.select("rowid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band")).select("rowid", "band.no", "band.key")
-    other = bands.withColumnRenamed("rowid", "b")
-    return bands.withColumnRenamed("rowid", "a").join(other, ["no", "key"]).where("a < b").select("a", "b").distinct()
+    found = bands(signed)
+    other = found.withColumnRenamed("rowid", "b")
+    return found.withColumnRenamed("rowid", "a").join(other, ["no", "key"]).where("a < b").select("a", "b").distinct()
 
 
 def merge_pairs(names: DataFrame, least_entropy: float = LEAST_ENTROPY, merge: float = MERGE) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import expanded, hinted, index_tokens, keywords
-from quern.runtime import bounded, spread, stored
+from quern.runtime import bounded, spread, stored, written
 
 # BM25 parameters, column weights, score tiers.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -76,12 +76,13 @@ def kept_impacts(docs: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """What a search reads besides the catalogue. Without corpus, grams or impacts these are made from the rest."""
+    """What a search reads besides the catalogue. Without corpus, grams or dictionary these are made from the rest."""
 
     postings: DataFrame
     lengths: DataFrame
     corpus: DataFrame | None = None
     grams: DataFrame | None = None
+    terms: DataFrame | None = None
 
 
 def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +95,7 @@ def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def indexed(docs: DataFrame) -> Index:
     """The whole index of a catalogue, kept like built()."""
     index, lengths = built(docs)
-    return Index(index, lengths, stored(docs.sparkSession, "totals", docs, lambda: totals(lengths)), kept_grams(docs))
+    return Index(index, lengths, stored(docs.sparkSession, "totals", docs, lambda: totals(lengths)), kept_grams(docs), stored(docs.sparkSession, "terms", docs, lambda: index.select("term").distinct()))
 
 
 def _phrases(words: Column, prefix: bool) -> Column:
@@ -122,28 +123,39 @@ def strategies(queries: DataFrame) -> DataFrame:
     return q.select("qid", F.explode(each).alias("s")).select("qid", "s.strategy", "s.every", F.explode("s.p").alias("p")).select("qid", "strategy", "every", "p.*")
 
 
-def phrase_counts(phrases: DataFrame, index: DataFrame) -> DataFrame:
-    """(text, prefix, rowid, f): weighted occurrences of each distinct phrase; of a prefix phrase only the last token is one."""
+def phrase_counts(phrases: DataFrame, index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(text, prefix, rowid, f): weighted occurrences of each distinct phrase; of a prefix phrase only the last token is one.
+
+    Open ends are looked up in the dictionary of the index (`terms`, or the terms of its postings). Where few terms are
+    wanted then, the reader of postings skips the others."""
     tokens = phrases.select("text", "prefix").distinct().withColumn("tokens", index_tokens(F.col("text")))
-    tokens = tokens.select("text", "prefix", F.size("tokens").alias("m"), F.posexplode("tokens").alias("at", "token"))
+    tokens = bounded(written(tokens.select("text", "prefix", F.size("tokens").alias("m"), F.posexplode("tokens").alias("at", "token")), "tokens"))
     last = F.col("prefix") & (F.col("at") == F.col("m") - 1)
     exact = tokens.where(~last).withColumn("term", F.col("token"))
     open_end = tokens.where(last)
-    few = open_end.select("token").union(exact.select("token")).distinct().limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
-    if len(few) <= MOST_TERMS:  # few terms: the reader skips the others; many meet the whole index in joins
-        ends = [x.token for x in open_end.select("token").distinct().collect()]
-        wanted = F.col("term").isin(few)
+    vocabulary = index.select("term").distinct() if terms is None else terms
+    ends = [x.token for x in open_end.select("token").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(ends) <= MOST_TERMS:
+        begun = F.lit(False)
         for x in ends:
-            wanted = wanted | F.startswith("term", F.lit(x))
-        index = index.where(wanted)
-    # a vocabulary term meets the open ends by its own beginnings of their lengths
+            begun = begun | F.startswith("term", F.lit(x))
+        vocabulary = vocabulary.where(begun)
+    # a term meets the open ends by its own beginnings of their lengths
     lengths = [x.n for x in open_end.select(F.char_length("token").alias("n")).distinct().collect()]
-    vocabulary = index.select("term").distinct()
     beginnings = vocabulary.withColumn("n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("n <= char_length(term)")
     ended = open_end.join(beginnings.select("term", F.expr("left(term, n)").alias("token")), "token")
     terms = exact.unionByName(ended).select("text", "prefix", "m", "at", "term")
-    hits = index.join(terms, "term").groupBy("text", "prefix", "m", "rowid", "col", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count_distinct("at").alias("found"))
-    return hits.where("found = m").groupBy("text", "prefix", "rowid").agg(F.sum(weight()).alias("f"))
+    if len(ends) <= MOST_TERMS:
+        terms = written(terms, "terms")
+    few = terms.select("term").distinct().limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
+    index = index.where(F.col("term").isin(few)) if len(few) <= MOST_TERMS else index
+    terms = bounded(terms)
+    # a phrase of one token stands wherever its term does; of others every token has to stand in its place
+    single = index.join(terms.where("m = 1"), "term").groupBy("text", "prefix", "rowid").agg(F.sum(weight()).alias("f"))
+    if tokens.where("m > 1").isEmpty():
+        return single
+    hits = index.join(terms.where("m > 1"), "term").groupBy("text", "prefix", "m", "rowid", "col", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count_distinct("at").alias("found"))
+    return single.unionByName(hits.where("found = m").groupBy("text", "prefix", "rowid").agg(F.sum(weight()).alias("f")))
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
@@ -162,11 +174,12 @@ def contribution(f: Column, length: Column) -> Column:
     return F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("mean")))
 
 
-def bm25(phrases: DataFrame, index: DataFrame, stats: DataFrame, corpus: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
+def bm25(phrases: DataFrame, index: DataFrame, stats: DataFrame, corpus: DataFrame | None = None, df: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(qid, strategy, rowid, bm25), higher is better, over all phrases of a strategy (a repeated phrase counts again).
 
-    `corpus`: totals of the documents, where they are kept with the index; `df`: phrase frequencies, where `index` is only a part."""
-    counts = phrase_counts(phrases, index)
+    `corpus`: totals of the documents, where they are kept with the index; `df`: phrase frequencies, where `index` is only a part;
+    `terms`: its dictionary."""
+    counts = written(phrase_counts(phrases, index, terms), "counts")  # read twice
     corpus = totals(stats) if corpus is None else corpus  # one row
     weights = weighed(frequencies(counts) if df is None else df, corpus)
     scored = counts.join(weights, ["text", "prefix"]).join(stats, "rowid").select("text", "prefix", "rowid", contribution(F.col("f"), F.col("length")).alias("part"))
@@ -245,11 +258,12 @@ def search(queries: DataFrame, docs: DataFrame, top_k: int = 20, threshold: floa
     Each strategy gives its top_k; a row keeps the score of its first strategy; rows without a hint in the name are held
     below LIKE matches, which supplement what the index finds. Without an index, one is made and kept."""
     index = indexed(docs) if index is None else index
-    found = bm25(strategies(queries), index.postings, index.lengths, index.corpus)
+    found = bm25(strategies(queries), index.postings, index.lengths, index.corpus, terms=index.terms)
     place = F.row_number().over(Window.partitionBy("qid", "strategy").orderBy(F.desc("bm25"), "rowid"))
     found = found.withColumn("place", place).where(F.col("place") <= top_k)
     first = F.row_number().over(Window.partitionBy("qid", "rowid").orderBy("strategy", "place"))
-    found = found.withColumn("k", first).where("k = 1").select("qid", "rowid", "strategy", "place", "bm25")
+    # top_k rows of each query and strategy at most; read three times
+    found = written(found.withColumn("k", first).where("k = 1").select("qid", "rowid", "strategy", "place", "bm25"), "found")
     fields = docs.select("rowid", "name")
     score = 1 + F.col("bm25") / 100
     score = F.when(hinted(F.col("query"), F.col("name")), score).otherwise(F.least(score, F.lit(UNHINTED)))

@@ -92,7 +92,7 @@ class Segments:
         lengths = self._owners(live).where("not gone").select("rowid", "length")
         known = [r for r in rows if sorted(r.live) == live]  # totals of just these segments; a writer at the same time may have left none
         corpus = self.spark.createDataFrame([(known[-1].total, known[-1].mean)], lexical.CORPUS) if known else lexical.totals(lengths)
-        return lexical.Index(self._current("postings", live), lengths, corpus, self._current("grams", live))
+        return lexical.Index(self._current("postings", live), lengths, corpus, self._current("grams", live), self._read("impacts", live).select("term").distinct())
 
     def vectors(self) -> DataFrame:
         return self._current("vectors", self._live(), "id")

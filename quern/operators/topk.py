@@ -66,7 +66,7 @@ def search(phrases: DataFrame, index: lexical.Index, impacts: DataFrame, top_k:
         ends = blocks.agg(F.min("block").alias("low"), F.max("block").alias("high")).first()
         near = index.postings.where(F.lit(False)) if ends.low is None else index.postings.where(F.col("rowid").between(ends.low * lexical.BLOCK_ROWS, (ends.high + 1) * lexical.BLOCK_ROWS))
         part = near.withColumn("block", lexical.block(F.col("rowid"))).join(bounded(blocks.select("block").distinct()), "block", "left_semi").drop("block")
-        rows = lexical.bm25(phrases, part, index.lengths, corpus, df).withColumn("block", lexical.block(F.col("rowid")))
+        rows = lexical.bm25(phrases, part, index.lengths, corpus, df, index.terms).withColumn("block", lexical.block(F.col("rowid")))
         return rows.join(blocks, ["qid", "block"], "left_semi").select("qid", "rowid", "block", F.round("bm25", DIGITS).alias("bm25"))
 
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "rowid"))

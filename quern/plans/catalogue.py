@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.unicode import jaro_winkler
-from quern.operators import dense, entities, fusion, graph, groups, learning, lexical, optimize, segments, select, sessions, topk, usage
+from quern.operators import arrivals, dense, entities, fusion, graph, groups, learning, lexical, optimize, segments, select, sessions, topk, usage
 from quern.runtime import new_path, table
 from quern.sources import adapters, catalogue
 
@@ -119,7 +119,8 @@ def like_supplement(spark, sf_dir):
 def _one_strategy(spark, sf_dir, k):
     d = adapters.documents(spark, sf_dir)
     phrases = lexical.strategies(asked(spark, DOCUMENT_QUERIES)).where(F.col("strategy") == k)
-    return lexical.bm25(phrases, *lexical.built(d)).select("qid", "rowid", F.round("bm25", 6).alias("bm25"))
+    index = lexical.indexed(d)
+    return lexical.bm25(phrases, index.postings, index.lengths, index.corpus, terms=index.terms).select("qid", "rowid", F.round("bm25", 6).alias("bm25"))
 
 
 @query
@@ -420,6 +421,17 @@ def jaro_winkler_pairs(spark, sf_dir):
     return both.select("a", "b", F.round(jaro_winkler(F.col("na"), F.col("nb")), 6).alias("score"), entities.jaccard_estimate(F.col("sa"), F.col("sb")).alias("jaccard"))
 
 
+@query
+def dedup_arrivals(spark, sf_dir):
+    """The same entities, from names that arrive in three batches."""
+    p = adapters.parts(spark, sf_dir).select("rowid", "name")
+    names = p.unionByName(p.select((F.col("rowid") + 1_000_000).alias("rowid"), F.upper(F.replace("name", F.lit(" "), F.lit("--"))).alias("name")))
+    store = arrivals.Arrivals(spark, new_path(spark, "arrivals"))
+    for k in range(3):
+        store.add(names.where(F.pmod(F.xxhash64("rowid"), F.lit(3)) == k), k)
+    return store.survivors()
+
+
 @query
 def dedup_survivors(spark, sf_dir):
     p = adapters.parts(spark, sf_dir).select("rowid", "name")

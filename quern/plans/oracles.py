@@ -286,6 +286,7 @@ SELECT src, dst, 0.4::DOUBLE AS weight, 'path_shared' AS edge_type FROM near UNI
     "best_skill": f"WITH RECURSIVE {FOLD} SELECT qid, best_skill FROM (SELECT qid, {PATTERN.format('query')} AS pattern_key FROM {values(BEST_FOR, 'qid, query')}) JOIN qp USING (pattern_key)",
     "jaro_winkler_pairs": f"WITH {SIGNED}, bd AS (SELECT rowid, unnest(range(20)) AS no, sig FROM sg), bk AS (SELECT rowid, no, array_to_string(sig[no * 6 + 1:no * 6 + 6], ',') AS k FROM bd), cd AS (SELECT DISTINCT a.rowid AS a, b.rowid AS b FROM bk a JOIN bk b ON a.no = b.no AND a.k = b.k AND a.rowid < b.rowid) SELECT a, b, round(jaro_winkler_similarity(x.name, y.name), 6) AS score, len(list_filter(list_zip(sa.sig, sb.sig), lambda z: z[1] = z[2])) / 128 AS jaccard FROM cd JOIN parts x ON x.rowid = a JOIN parts y ON y.rowid = b JOIN sg sa ON sa.rowid = a JOIN sg sb ON sb.rowid = b",
     "dedup_survivors": f"WITH RECURSIVE {ENTITIES} FROM sv",
+    "dedup_arrivals": f"WITH RECURSIVE {ENTITIES} FROM sv",
     "dedup_groups": f"WITH RECURSIVE {ENTITIES} SELECT survivor, arg_min(name, rowid) AS kept, string_agg(name, ',' ORDER BY rowid) FILTER (rowid <> survivor) AS removed FROM sv GROUP BY survivor HAVING count(*) > 1",
     "extract_tags": f"WITH {DOCS}, {TAGS} SELECT rowid, array_to_string(l, ',') AS tags FROM tg",
     "optimize_compress": f"WITH {DOCS}, c AS (SELECT rowid, {compress(chr(39) + 'This skill provides information in order to ' + chr(39) + ' || description')} AS x FROM docs) SELECT rowid, {CUT} AS description FROM c",
