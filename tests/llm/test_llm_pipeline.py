@@ -68,4 +68,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names if n[2].isdigit()} == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert {int(n[2:].split("_")[0]) for n in names if n[2].isdigit()} == set(range(1, 13)) and "pipeline" in entry.queries()
