@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from jobs.common import log, main, observed  # noqa: E402
+from jobs.common import log, main  # noqa: E402
 from quern.operators import segments  # noqa: E402
 from quern.sources import adapters  # noqa: E402
 
@@ -34,9 +34,9 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 
 
 def newest(batch: DataFrame) -> DataFrame:
-    """One row an id, so that a replay of the batch gives the same segment."""
+    """One row an id, so that a replay of the batch gives the same segment, and how many rows it stands for; one for those without an id."""
     fields = ["n_chars", "text", "lang", "source"]
-    return batch.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(*fields)).alias("x")).select("doc_id", *[f"x.{c}" for c in fields])
+    return batch.groupBy("doc_id").agg(F.max(F.struct(*fields)).alias("x"), F.count("*").alias("n")).select("doc_id", *[f"x.{c}" for c in fields], "n")
 
 
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, config: dict = DEFAULTS) -> dict[str, int]:
@@ -46,16 +46,17 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, confi
 
     def take(batch: DataFrame, number: int) -> None:
         index = segments.Segments(batch.sparkSession, output)
-        seen, passing = observed(batch, f"batch-{number}")
-        rows = newest(seen).persist()  # read by several writers; bounded by the setting `files`
+        every = newest(batch).persist()  # read by several writers; bounded by the setting `files`
         try:
+            read = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0))).first()
+            rows = every.where("doc_id is not null").drop("n")
             index.add(adapters.catalogued(rows.where("text is not null")), rows.where("text is null").select(F.col("doc_id").alias("rowid")), name=f"{number:012d}")
             merged = index.merge(config["fan"]) if config["fan"] else []
         finally:
-            rows.unpersist()
+            every.unpersist()
         counts["batches"] += 1
-        counts["read"] += passing.get["rows"]
-        log.info("index_documents: batch %d: read %d rows; wrote segment %012d of %s%s", number, passing.get["rows"], number, output, f"; merged into {merged}" if merged else "")
+        counts["read"] += read[0]
+        log.info("index_documents: batch %d: read %d rows, %d of them without an id; wrote segment %012d of %s%s", number, read[0], read[1], number, output, f"; merged into {merged}" if merged else "")
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", config["files"]).parquet(documents)
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

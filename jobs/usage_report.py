@@ -11,7 +11,7 @@ Settings: `from` and `to` (dates, the latter excluded) rewrite only those days,
 replaced and others stay. Days that the range holds but the log doesn't have no partition to write, and an earlier one stays; a run without
 a range replaces everything. Either way a second run over the same log gives the same files' rows.
 
-Rows without a time, or with a blank name, are left out as the engine's log leaves them out, and counted in the job's log. Nothing but one row
+Rows without a time, or with a blank name, are left out as the engine's log leaves them out. Nothing but one row
 a day and name is shuffled (partial sums first), whatever share of the log one name has."""
 
 from __future__ import annotations
