@@ -6,17 +6,16 @@ codebooks at once for the codes that beam search finds. Every vector is encoded
 the ratio of its norm to its approximation's, and itself.
 
 A scan compares all stored vectors with all queries: inner products with the approximation are sums of table lookups
-(a query's products with all codewords), corrected by the stored norms. Each task keeps, for every query, the RERANK ids of the
-best such scores among all its vectors, with their exact inner products in double precision (of the original components, summed in
-their order). Of all tasks' lists the RERANK best by table score are the query's shortlist, whatever the number of tasks or
-batches, and its best by exact score are the answer. Queries go to the tasks in blocks of QUERY_BLOCK, one block at a time:
-a block's lists are written before the next is sent. All pairs of queries and vectors are scored, so the work grows
-with the product of the two.
+(a query's products with all codewords), corrected by the stored norms. Of each batch of vectors the best one in SHORT by such scores, 2 *
+NEAREST at least, are a query's shortlist there, whose inner products are worked out exactly, in double precision (of the original components,
+summed in their order); a task hands on each query's NEAREST best by these. So the shortlist grows with the table and no list does. Queries go to
+the tasks in blocks of QUERY_BLOCK, one block at a time: a block's answers are written before the next is sent. All pairs of queries
+and vectors are scored, so the work grows with the product of the two.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than most.
 Queries of another length than the vectors that take part have no answer. Ties go to the smaller id. A query that is stored several
 times is asked once (the least of different vectors); candidates under the query's own id are skipped, and other ids stored
-several times count once, by their vector of the best table score. Empty tables give empty results. Extra columns don't matter.
+several times count once, by their best score. Empty tables give empty results. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from quern.runtime import ship, written
 
 CODEBOOKS, WORDS, BEAM, SAMPLE = 12, 256, 6, 20_000
-RERANK, NEAREST = 200, 20
+SHORT, NEAREST = 20, 20
 QUERY_BLOCK, AT_ONCE = 4096, 128
 
 
@@ -122,59 +121,53 @@ def index(vectors: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
     return written(vectors.mapInArrow(batches, f"vec_id long, codes binary, scale float, embedding {kind}"), "index"), books
 
 
-def _best(k: int, rough: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k ids of the best table scores in each row, each once by its best one; higher scores first, then smaller ids."""
-    rows = np.arange(len(rough))[:, None]
-    order = np.lexsort((-exact, -rough, ids), axis=1)
-    rough, ids, exact = rough[rows, order], ids[rows, order], exact[rows, order]
-    rough[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
-    order = np.lexsort((ids, -rough), axis=1)[:, :k]
-    return rough[rows, order], ids[rows, order], exact[rows, order]
+def _best(k: int, ids: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k ids of the best scores in each row, each once by its best one; higher scores first, then smaller ids."""
+    rows = np.arange(len(ids))[:, None]
+    order = np.lexsort((-exact, ids), axis=1)
+    ids, exact = ids[rows, order], exact[rows, order]
+    exact[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    order = np.lexsort((ids, -exact), axis=1)[:, :k]
+    return ids[rows, order], exact[rows, order]
 
 
-def _searched(sent, length: int, rerank: int):
+def _searched(sent, length: int, k: int):
     def batches(it):
         asked, exact, tables = sent.value  # ids, vectors, products with all codewords
-        top = [np.full((len(asked), rerank), -np.inf, np.float32), np.full((len(asked), rerank), np.iinfo(np.int64).max), np.zeros((len(asked), rerank))]
+        top = [np.full((len(asked), k), np.iinfo(np.int64).max), np.full((len(asked), k), -np.inf)]
         for part in it:
             if not len(part):
                 continue
             ids = part.column(0).to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            groups = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
             codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
             scale, x = part.column(2).to_numpy(), _matrix(part.column(3), length, np.float64)
+            # room for ids that are stored several times in this batch
+            n = max(2 * k, -(-len(ids) // SHORT)) + len(ids) - len(np.unique(ids))
+            n = min(n, len(ids))
             for a in range(0, len(asked), AT_ONCE):
                 mine = slice(a, a + AT_ONCE)
                 rough = np.zeros((len(asked[mine]), len(ids)), np.float32)
                 for m in range(codes.shape[1]):
                     rough += tables[mine, m][:, codes[:, m]]
                 rough *= scale
-                rough[asked[mine, None] == ids] = -np.inf
-                n = min(rerank, len(ids))
-                if len(groups) < len(ids):  # as many rows as hold the `rerank` best ids, each counted by its best row
-                    most = np.maximum.reduceat(rough[:, by_id], groups, axis=1)
-                    last = -np.partition(-most, min(rerank, len(groups)) - 1, axis=1)[:, [min(rerank, len(groups)) - 1]]
-                    n = int((rough >= last).sum(axis=1).max())
-                # only what beats the worst of a list can enter it
-                n = max(1, min(n, int((rough >= top[0][mine, -1:]).sum(axis=1).max())))
+                own = asked[mine, None] == ids
+                rough[own] = -np.inf
                 chosen = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                 score = np.zeros(chosen.shape)
                 for d in range(length):  # in the order of components
                     score += exact[mine, d, None] * x[chosen, d]
-                found = np.take_along_axis(rough, chosen, 1), ids[chosen], score
-                for kept, new in zip(top, _best(rerank, *(np.concatenate([t[mine], f], 1) for t, f in zip(top, found, strict=True))), strict=True):
+                score[np.take_along_axis(own, chosen, 1)] = -np.inf
+                for kept, new in zip(top, _best(k, *(np.concatenate([t[mine], f], 1) for t, f in zip(top, (ids[chosen], score), strict=True))), strict=True):
                     kept[mine] = new
-        for a in range(0, len(asked), AT_ONCE):
-            rough, ids, score = (t[a : a + AT_ONCE] for t in top)
-            row, col = np.nonzero(rough > -np.inf)
-            if len(row):
-                yield pa.record_batch([pa.array(asked[a + row]), pa.array(ids[row, col]), pa.array(rough[row, col]), pa.array(score[row, col])], names=["query_id", "vec_id", "rough", "score"])
+        row, col = np.nonzero(top[1] > -np.inf)
+        for a in range(0, len(row), 100_000):
+            r, c = row[a : a + 100_000], col[a : a + 100_000]
+            yield pa.record_batch([pa.array(asked[r]), pa.array(top[0][r, c]), pa.array(top[1][r, c])], names=["query_id", "vec_id", "score"])
 
     return batches
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by inner product for each row of queries(vec_id, embedding)."""
     spark = vectors.sparkSession
     ship(spark)
@@ -192,13 +185,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, rerank: int
         exact = _matrix(block.column(1).combine_chunks(), length, np.float64)
         tables = np.einsum("qd,mwd->qmw", exact.astype(np.float32), books, optimize=True).astype(np.float32)
         sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), exact, tables))
-        found = written(stored.mapInArrow(_searched(sent, length, rerank), "query_id long, vec_id long, rough float, score double"), "lists")
+        found = written(stored.mapInArrow(_searched(sent, length, k), "query_id long, vec_id long, score double"), "lists")
         sent.destroy()
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], schema)
-    out = out.groupBy("query_id", "vec_id").agg(F.max(F.struct("rough", "score")).alias("best")).select("query_id", "vec_id", "best.*")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
-    out = out.withColumn("place", place).where(F.col("place") <= rerank)
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
