@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.unicode import jaro_winkler
-from quern.operators import arrivals, dense, entities, fusion, graph, groups, learning, lexical, optimize, segments, select, sessions, topk, usage
-from quern.runtime import new_path, table
+from quern.operators import arrivals, dense, entities, fusion, graph, groups, latent, learning, lexical, optimize, segments, select, sessions, topk, usage
+from quern.runtime import new_path, table, written
 from quern.sources import adapters, catalogue
 
 #: A batch of keyword queries on documents: license lines, frequent and rare words, phrases, synonyms, no match, stop-words.
@@ -192,6 +192,27 @@ def embed_search(spark, sf_dir):
     return dense.search(asked(spark, DOCUMENT_QUERIES), adapters.documents(spark, sf_dir)).select("qid", "rank", "name", "score", "method")
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.documents(spark, sf_dir).select(F.col("rowid").alias("id"), F.col("body").alias("text"))
+
+
+@query
+def term_weights(spark, sf_dir):
+    """The matrix that text vectors are trained on: entries, length and largest weight of each row before division by its length."""
+    counts = written(latent.counted(bodies(spark, sf_dir)), "counts")
+    w = latent.weighted(counts, latent.inverse_frequencies(counts))
+    return w.groupBy("id").agg(F.count("*").alias("n_features"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("length"), F.round(F.max("weight"), 6).alias("largest"))
+
+
+@query
+def latent_search(spark, sf_dir):
+    """Documents by vectors trained on their whole texts; queries fold onto them."""
+    texts = bodies(spark, sf_dir)
+    model = latent.fit(texts)
+    found = dense.search(asked(spark, DOCUMENT_QUERIES), adapters.documents(spark, sf_dir), embed=model, index=model(texts))
+    return found.select("qid", "rank", "name", "score", "method")
+
+
 @query
 def rrf_fusion(spark, sf_dir):
     return _fused(spark, sf_dir)

@@ -248,6 +248,10 @@ s AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_dot_product(q.e, v.e) / (q.n
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
     "rrf_fusion": fused(0), "rrf_threshold": fused(0.015),
     "embed_search": f"WITH {DOCS}, {embedded(DOCUMENT_QUERIES, 20)} SELECT qid, rank, name, round(score, 4) AS score, 'embed' AS method FROM el JOIN docs USING (rowid)",
+    "term_weights": f"""WITH {DOCS}, tc AS (SELECT rowid AS id, ('0x' || sha1(t)[1:4])::BIGINT AS f, count(*) AS n FROM (SELECT rowid, unnest({index_tokens("body")}) AS t FROM docs) GROUP BY ALL),
+ti AS (SELECT f, ln((1.0 + (SELECT count(DISTINCT id) FROM tc)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY f),
+tw AS (SELECT id, (1 + ln(n)) * idf AS w FROM tc JOIN ti USING (f))
+SELECT id, count(*) AS n_features, round(sqrt(sum(w * w)), 6) AS length, round(max(w), 6) AS largest FROM tw GROUP BY id""",
     "session_boost": boosted(SEARCH, "(VALUES ('doc-12'), ('doc-40'), ('doc-61')) ", "score + 0.5", "o.name IS NOT NULL", "+session").replace("(VALUES ('doc-12'), ('doc-40'), ('doc-61'))  o", "(VALUES ('doc-12'), ('doc-40'), ('doc-61')) o(name)"),
     "feedback_weighted": boosted(SEARCH + ", lw AS (SELECT 'doc-' || doc_id AS name, (count(*) FILTER (quality = 1) + 1) / (count(*) + 2) AS w FROM labels GROUP BY doc_id)", "lw", "score * 0.7 + w * 0.3", "w IS NOT NULL", "+weighted"),
     "graph_boost": boosted("WITH " + ALL_EDGES + ", " + pagerank() + ", pr AS (SELECT name, round(score, 6) AS ppr FROM r20)" + search_ctes("parts", "", PART_QUERIES, 10), "pr", "score * 0.7 + ppr * 0.3", "ppr > 0", "+graph"),
