@@ -12,7 +12,7 @@ grows with the trusted text, without a cap.
    run and all its shorter ones meet in one shard (single characters and pairs stand in each). A shard is packed in one task and
    joined to the documents map-side, shard by shard; a document's parts are summed. Documents aren't shuffled for it.
 4. A document's perplexity is exp of the mean negative log-probability of its characters. It is rejected beyond the HIGH
-   quantile of its language: of the held-out trusted documents' log-perplexity, as median plus distance from the median, the
+   quantile of its language: of the held-out trusted documents' log-perplexity (nearest ranks), as median plus distance from the median, the
    distance smoothed by that of all languages (SMOOTH_DOCUMENTS).
 5. Few words in clean prose don't move a document's mean, so words count by themselves: of every word (open vocabulary, any
    number) the trusted documents and those labelled toxic that hold it are counted in shards. A document is rejected too
@@ -47,6 +47,9 @@ ORDER = 4
 HELD_OUT = 4
 SMOOTH_DOCUMENTS = 100
 HIGH = 0.995
+#: Quantiles are those of log-perplexities in steps of 1 / STEPS, rounded up; they lie below 21 (-log LEAST), so a language has some 210,000
+#: different ones at most, however many documents it has, and whatever the order in which they come.
+STEPS = 10_000
 LEAST_RATIO, SURE = 5.0, 3.0
 #: Weaker signs, which count by their share of a document's words.
 LIKELY_RATIO, LIKELY, LIKELY_SHARE = 4.0, 2.0, 0.005
@@ -388,7 +391,9 @@ class Model:
             each = F.explode(F.filter(F.array(F.lit(EVERY), F.concat(F.lit("="), "lang")), lambda x: x.isNotNull())).alias("name")
             tried = self.scorer.added(text.where(aside).select("doc_id", "text", each), F.col("name"), "x")
             good = written(tried.select("name", "x"), "good")  # a filter here would work the costs out twice, in two Python workers a task
-            rows = good.where("x is not null").groupBy("name").agg(F.percentile_approx("x", [0.5, HIGH], 10_000).alias("q"), F.count("*").alias("n")).collect()
+            steps = good.where("x is not null").select("name", F.ceil(F.col("x") * STEPS).alias("x"))
+            quantiles = F.array(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x)").cast("double") / STEPS for q in (0.5, HIGH)])
+            rows = steps.groupBy("name").agg(quantiles.alias("q"), F.count("*").alias("n")).collect()
             total = sum(r.n for r in rows if r.name != EVERY)
             mean = sum(r.n * (r.q[1] - r.q[0]) for r in rows if r.name != EVERY) / total if total else 0.0
             for r in rows:

@@ -173,6 +173,12 @@ def test_kneser_ney(spark, monkeypatch, entries):
     assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in want.elements() if r[3])
 
 
+def test_quantiles_of_any_partitioning(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "labels"))
+    one, many = (quality.Model(d, labels).fences for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == many and len(one) > 1
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all symbols and the unseen one, in every context."""
     docs = spark.createDataFrame([x for x in TRUSTED if x[1] == "en"], "doc_id long, lang string, text string")
