@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quern.functions.text import index_tokens
-from quern.runtime import drop, ship, write, written
+from quern.runtime import drop, ship, spread, write, written
 
 FEATURES = 1 << 16
 #: Dimensions kept, and those worked with beside them.
@@ -129,7 +129,7 @@ class Latent:
                 out += [x if x.any() else None for x in y]
             return pa.array(out, pa.list_(pa.float64()))
 
-        packed = counted(texts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "n"))).alias("row"))
+        packed = counted(spread(texts)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "n"))).alias("row"))
         vector = arrow_udf(folded, "array<double>")(F.col("row.feature"), F.transform("row", lambda x: x["n"].cast("double")))
         return packed.select("id", vector.alias("embedding")).where("embedding is not null")
 
@@ -154,7 +154,7 @@ def fit(texts: DataFrame, dimensions: int = DIMENSIONS, spare: int = SPARE, roun
     """Train on all of (id, text). Dimensions beyond the matrix's rank are 0."""
     spark = texts.sparkSession
     ship(spark)
-    counts = written(counted(texts), "counts")
+    counts = written(counted(spread(texts)), "counts")
     frequencies = inverse_frequencies(counts).toArrow()
     idf = np.zeros(FEATURES)
     idf[frequencies.column("feature").to_numpy()] = frequencies.column("idf").to_numpy()
@@ -162,7 +162,7 @@ def fit(texts: DataFrame, dimensions: int = DIMENSIONS, spare: int = SPARE, roun
     right = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, dimensions + spare)))[0]
     image = np.zeros_like(right)
     for k in range(rounds + 1 if matrix else 0):
-        image = product(matrix, right)
+        image = product(spread(matrix), right)
         if k < rounds:
             right = np.linalg.qr(image)[0]
     drop(counts, *([matrix] if matrix else []))
