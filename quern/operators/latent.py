@@ -37,7 +37,7 @@ MODEL = "feature int, idf double, v array<double>"
 
 def counted(texts: DataFrame) -> DataFrame:
     """(id, feature, n): tokens of (id, text) by feature."""
-    tokens = texts.select("id", F.explode(index_tokens(F.col("text"))).alias("token"))
+    tokens = spread(texts).select("id", F.explode(index_tokens(F.col("text"))).alias("token"))
     feature = F.conv(F.substring(F.sha1("token"), 1, 4), 16, 10).cast("int")
     return tokens.groupBy("id", feature.alias("feature")).agg(F.count("*").alias("n"))
 
@@ -129,7 +129,7 @@ class Latent:
                 out += [x if x.any() else None for x in y]
             return pa.array(out, pa.list_(pa.float64()))
 
-        packed = counted(spread(texts)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "n"))).alias("row"))
+        packed = counted(texts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "n"))).alias("row"))
         vector = arrow_udf(folded, "array<double>")(F.col("row.feature"), F.transform("row", lambda x: x["n"].cast("double")))
         return packed.select("id", vector.alias("embedding")).where("embedding is not null")
 
@@ -154,7 +154,7 @@ def fit(texts: DataFrame, dimensions: int = DIMENSIONS, spare: int = SPARE, roun
     """Train on all of (id, text). Dimensions beyond the matrix's rank are 0."""
     spark = texts.sparkSession
     ship(spark)
-    counts = written(counted(spread(texts)), "counts")
+    counts = written(counted(texts), "counts")
     frequencies = inverse_frequencies(counts).toArrow()
     idf = np.zeros(FEATURES)
     idf[frequencies.column("feature").to_numpy()] = frequencies.column("idf").to_numpy()
