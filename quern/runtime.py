@@ -115,15 +115,14 @@ def stored(spark: SparkSession, name: str, source: DataFrame, make: Callable[[],
     path = f"{shared_dir(spark)}/quern-kept/{name}-{seen.hexdigest()[:32]}"
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(conf)
-    df = make()
     if not fs.exists(at):
         draft = new_path(spark, name)
-        write(df, draft)
+        write(make(), draft)
         fs.mkdirs(at.getParent())
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), at):
             drop_path(spark, draft)
         _paths.remove(draft)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:

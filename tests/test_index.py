@@ -152,3 +152,24 @@ def test_engines_on_one_folder(spark, tmp_path):
     (tmp_path / "docs/a/SKILL.md").write_text("---\nname: a\ndescription: rotate logs\ntags: [y]\n---\nbody")
     two.index(f"file://{tmp_path}/docs")
     assert [(r.name, r.description, r.tags, r.rowid) for r in one.table("skills").collect()] == [("a", "rotate logs", ["x", "y"], 1)]
+
+
+def test_an_index_splits_texts_once_and_takes_long_lines(spark, tmp_path, monkeypatch):
+    """Grams of a line of 200,000 characters: quadratic work would take hours; and postings, lengths and bounds are made of tokens that are kept."""
+    line = "Ab𝒳é " * 40_000
+    docs = spark.createDataFrame([(1, "a", line, ["en"], "x y x"), (2, "", None, [], None)], "rowid bigint, name string, description string, tags array<string>, body string")
+    found = {r.rowid: set() for r in docs.collect()}
+    for r in lexical.grams(docs).collect():
+        assert r.gram not in found[r.rowid]
+        found[r.rowid].add(r.gram)
+    runs = lambda t: {(t + "\x01\x01")[i : i + 3] for i in range(max(len(t), 1))}
+    assert found == {1: runs("a") | runs(line.lower()), 2: runs("")}
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    split = []
+    monkeypatch.setattr(lexical, "tokened", lambda *a, made=lexical.tokened: split.append(1) or made(*a))
+    kept = spark.read.parquet(f"file://{tmp_path}/docs")
+    index = lexical.indexed(kept)
+    bounds = lexical.kept_impacts(kept)
+    assert split == [1]
+    assert rows(index.postings) == rows(lexical.postings(docs)) and rows(index.lengths) == rows(lexical.doc_stats(docs, lexical.postings(docs)))
+    assert rows(bounds) == rows(lexical.impacts(index.postings, index.lengths))
