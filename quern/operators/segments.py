@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quern import schemas
 from quern.operators import lexical
 from quern.operators.dense import described
+from quern.runtime import bounded, drop, written
 
 #: So many neighbouring segments of one size class are merged; a class holds FAN times the documents of the one below.
 FAN = 4
@@ -31,6 +32,8 @@ SEALED = "place bigint, documents bigint, replaces array<string>, live array<str
 POSTINGS = "rowid bigint, col string, term string, pos int"
 GRAMS = "gram string, rowid bigint"
 VECTORS = "id bigint, embedding array<double>"
+#: Replaced or deleted rows that are sent to every task; where there are more, tables are joined by row.
+MOST_DEAD = 300_000
 
 
 class Segments:
@@ -73,12 +76,20 @@ class Segments:
         """A table's rows that no newer segment has replaced or deleted."""
         rows = self._read(table, live)
         if len(live) > 1:
-            owners = self._owners(live).where("not gone").select(F.col("rowid").alias(key), "segment")
-            rows = rows.join(owners, [key, "segment"], "left_semi")
+            rows = self._without(rows, self._dead(live, self._owners(live).where("not gone")), key)
         elif table == "entries":
             rows = rows.where("not gone")
         return rows.drop("segment")
 
+    def _dead(self, names: list[str], kept: DataFrame) -> DataFrame:
+        """(rowid, segment) of entries of some segments that aren't among `kept`; written, since several tables leave them out."""
+        rows = self._read("entries", names).select("rowid", "segment")
+        return written(rows.join(kept.select("rowid", "segment"), ["rowid", "segment"], "left_anti"), "dead")
+
+    @staticmethod
+    def _without(rows: DataFrame, dead: DataFrame, key: str) -> DataFrame:
+        return rows.join(bounded(dead.select(F.col("rowid").alias(key), "segment"), MOST_DEAD), [key, "segment"], "left_anti")
+
     def _live(self) -> list[str]:
         return [r.segment for r in self.sealed()]
 
@@ -117,15 +128,17 @@ class Segments:
         place = int(name) if name else max([r.place for r in rows], default=-1) + 1
         name = f"{place:012d}" if name else f"{place:012d}-{uuid.uuid4().hex[:8]}"
         columns = [c.split()[0] for c in self.columns.split(", ")]
-        self._write("postings", name, lexical.by_term(lexical.postings(docs)))
-        lengths = self._read("postings", [name]).groupBy("rowid").agg(F.count("*").alias("length"))
-        entries = docs.join(lengths, "rowid", "left").select(*columns, F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), F.lit(False).alias("gone"))
+        tokens = written(lexical.tokened(docs, *columns), "tokens")  # the batch is split once; all but vectors is made of this
+        self._write("postings", name, lexical.by_term(lexical.placed(tokens)))
+        entries = tokens.select(*columns, "length", F.lit(False).alias("gone"))
         if gone is not None:
             null = self.spark.createDataFrame([], f"{self.columns}, length bigint, gone boolean")
             entries = entries.unionByName(gone.select(F.col("rowid").cast("bigint"), F.lit(0).cast("bigint").alias("length"), F.lit(True).alias("gone")), allowMissingColumns=True).select(null.columns)
         self._write("entries", name, entries)
-        self._write("impacts", name, lexical.impacts(self._read("postings", [name]), self._read("entries", [name])))
-        self._write("grams", name, lexical.by_gram(lexical.grams(docs)))
+        self._write("impacts", name, lexical.token_impacts(tokens))
+        grams = written(lexical.grams(tokens), "grams")
+        self._write("grams", name, lexical.by_gram(grams))
+        drop(tokens, grams)
         if self.embed:
             self._write("vectors", name, self.embed(described(docs)))
         self._seal(name, place, [])
@@ -157,9 +170,11 @@ class Segments:
             own = own.where("not gone")
         # the last one's place in the order; a merge of the same segments has the same name
         name = f"{chosen[-1]}+{uuid.uuid5(uuid.NAMESPACE_OID, ' '.join(chosen)).hex[:8]}"
+        dead = self._dead(chosen, own)
         for table, key in (("entries", "rowid"), ("postings", "rowid"), ("grams", "rowid"), *([("vectors", "id")] if self.embed else [])):
-            rows = self._read(table, chosen).join(own.select(F.col("rowid").alias(key), "segment"), [key, "segment"], "left_semi").drop("segment")
+            rows = self._without(self._read(table, chosen), dead, key).drop("segment")
             self._write(table, name, {"postings": lexical.by_term, "grams": lexical.by_gram}.get(table, lambda x: x)(rows))
         self._write("impacts", name, lexical.impacts(self._read("postings", [name]), self._read("entries", [name])))
+        drop(dead)
         self._seal(name, run[-1].place, chosen)
         return name

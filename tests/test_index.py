@@ -4,7 +4,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from quern.operators import lexical, topk
+from quern.operators import lexical, segments, topk
 from quern.operators.segments import Segments
 from quern.plans.engine import Engine
 from quern.sources import adapters
@@ -173,3 +173,21 @@ def test_an_index_splits_texts_once_and_takes_long_lines(spark, tmp_path, monkey
     assert split == [1]
     assert rows(index.postings) == rows(lexical.postings(docs)) and rows(index.lengths) == rows(lexical.doc_stats(docs, lexical.postings(docs)))
     assert rows(bounds) == rows(lexical.impacts(index.postings, index.lengths))
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_a_segment_splits_its_batch_once_and_merges_without_joining_all(spark, docs, tmp_path, monkeypatch, most):
+    """Replaced rows are sent to tasks, or joined where there are many: the same index."""
+    monkeypatch.setattr(segments, "MOST_DEAD", most)
+    split = []
+    monkeypatch.setattr(lexical, "tokened", lambda *a, made=lexical.tokened: split.append(1) or made(*a))
+    index = Segments(spark, f"file://{tmp_path}/store")
+    few = docs.where("rowid < 20")
+    index.add(few)
+    index.add(few.where("rowid = 3").withColumn("body", F.lit("apache")), few.where("rowid = 4").select("rowid"))
+    assert split == [1, 1]
+    now = few.where("rowid not in (3, 4)").unionByName(few.where("rowid = 3").withColumn("body", F.lit("apache")))
+    want = rows(lexical.postings(now))
+    assert rows(index.index().postings) == want
+    index._merged(index.sealed())  # the sizes differ, so merge() would leave them
+    assert len(index.sealed()) == 1 and rows(index.index().postings) == want and rows(index.catalogue().select(docs.columns)) == rows(now)
