@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import text_shingles
-from quern.runtime import written
+from quern.runtime import bounded, written
 
 # Weights and limits of the builders.
 CATEGORY, TAGS, FEEDBACK, LEAST_TEXT, PARENT, GRANDPARENT = 0.3, 0.4, 0.1, 0.3, 0.4, 0.2
 DAMPING, MOST_ROUNDS, TOLERANCE = 0.85, 20, 1e-6
 #: Names that go to the reader of edges as a filter.
 FEW = 500
+#: Names of a folder that a task holds while others pass by, and how many tasks the pairs are dealt to at most.
+FOLDER_BLOCK, MOST_TASKS = 1000, 10_000
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -82,22 +84,50 @@ def text_edges(docs: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
 def path_edges(paths: DataFrame, others: DataFrame) -> DataFrame:
     """Same parent folder, else same grandparent, from paths(name, path), unless other edges say as much.
 
-    A parent edge gives way to a co-occurrence or text edge of PARENT or more, a grandparent edge to any edge."""
-    parts = paths.where("path is not null and path <> ''").select("name", F.regexp_replace("path", "/[^/]*$", "").alias("parent"))
-    parts = parts.withColumn("grand", F.regexp_replace("parent", "/[^/]*$", ""))
-
-    def pairs(key: str) -> DataFrame:
-        x = parts.where(F.col(key) != "")
-        return x.select(key, F.col("name").alias("src")).join(x.select(key, F.col("name").alias("dst")), key).where("src < dst").select("src", "dst").distinct()
-
-    strong = others.where(F.col("edge_type").isin("co_occur", "text_overlap") & (F.col("weight") >= PARENT)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    near = pairs("parent").join(strong, ["src", "dst"], "left_anti")
-    known = others.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).unionByName(near).distinct()
-    far = pairs("grand").join(known, ["src", "dst"], "left_anti")
+    A parent edge gives way to a co-occurrence or text edge of PARENT or more, a grandparent edge to any edge. Names of one path
+    make each of their pairs once, so these are neither shuffled nor held; only pairs with a name of several paths are told apart."""
+    parts = paths.where("name is not null and path is not null and path <> ''").select("name", F.regexp_replace("path", "/[^/]*$", "").alias("parent"))
+    parts = parts.withColumn("grand", F.regexp_replace("parent", "/[^/]*$", "")).distinct()
+    ordered = written(others.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (F.col("edge_type").isin("co_occur", "text_overlap") & (F.col("weight") >= PARENT)).alias("strong")), "others")
+    met = ordered.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("met", F.lit(True))
+    places = parts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("parent", "grand"))).alias("at")).join(bounded(met), "name", "left")
+    places = written(places.select("name", (F.size("at") > 1).alias("many"), F.coalesce("met", F.lit(False)).alias("met"), F.explode("at").alias("at")).select("name", "many", "met", "at.*"), "folders")
+    strong, known = (bounded(x.select("src", "dst").distinct()) for x in (ordered.where("strong"), ordered))
+    some, several = not places.where("met").isEmpty(), not places.where("many").isEmpty()
+
+    def found(key: str, but: DataFrame) -> DataFrame:
+        """Pairs without those of other edges; only pairs of names that both have such edges are looked up."""
+        out = _together(places, key)
+        if not some:
+            return out
+        pair = ["src", "dst"]
+        return out.where("not met").unionByName(_together(places.where("met"), key).join(but, pair, "left_anti"))
+
+    near, far = found("parent", strong), found("grand", known).where("not together")
+    if several:
+        again = lambda x: x.where("many").select("src", "dst").distinct()
+        shared = again(_together(places, "parent"))
+        near, far = near.where("not many").select("src", "dst").unionByName(again(near)), far.where("not many").select("src", "dst").unionByName(again(far).join(shared, ["src", "dst"], "left_anti"))
     edge = lambda x, w: x.select("src", "dst", F.lit(w).alias("weight"), F.lit("path_shared").alias("edge_type"))
     return edge(near, PARENT).unionByName(edge(far, GRANDPARENT))
 
 
+def _together(places: DataFrame, key: str) -> DataFrame:
+    """(src, dst, many, met, together) of names in one folder: whether one of them has several places, both have other edges, both one parent here.
+
+    A folder's names are dealt to blocks of about FOLDER_BLOCK. Each block meets itself and those after it in a task of its own, which holds
+    one block and streams the others, so a large folder is neither one task's work nor held in one."""
+    here = places.where(F.col(key) != "").select(F.col(key).alias("key"), "name", "many", "met", "parent").distinct()
+    sizes = here.groupBy("key").agg(F.ceil(F.count("*") / FOLDER_BLOCK).cast("int").alias("blocks"))
+    cells = int(sizes.agg(F.sum(F.when(F.col("blocks") > 1, F.col("blocks")).otherwise(0))).first()[0] or 0)
+    tasks = min(max(2 * cells, here.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    dealt = here.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    side = lambda x, block: dealt.select("key", block.alias("cell"), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "many", "met", "parent", "block")]).repartition(tasks, "key", "cell")
+    held, streamed = side("a", F.col("block")), side("b", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    both = streamed.join(held.hint("shuffle_hash"), ["key", "cell"]).where("block_b > block_a or name_a < name_b")
+    return both.select(F.least("name_a", "name_b").alias("src"), F.greatest("name_a", "name_b").alias("dst"), (F.col("many_a") | F.col("many_b")).alias("many"), (F.col("met_a") & F.col("met_b")).alias("met"), (F.col("parent_a") == F.col("parent_b")).alias("together"))
+
+
 def neighbors(edges: DataFrame, name: str, edge_types: list[str] | None = None, limit: int = 20) -> DataFrame:
     """A node's edges, strongest first."""
     out = edges.where(F.col("src") == name)

@@ -172,3 +172,29 @@ def test_release(spark):
     assert kept.count() == 5 and runtime.release(spark) >= 1
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_path_edges_against_a_loop(spark, monkeypatch, block):
+    """Names of one and of several paths, other edges, and folders larger than a block: every pair once, whatever the blocks."""
+    monkeypatch.setattr(graph, "FOLDER_BLOCK", block)
+    paths = [(f"n{k:02}", f"/h{k % 2}/d{k % 3}/f{k}") for k in range(24)] + [("n01", "/h0/d9/x"), ("n01", "/h1/d1/again"), ("n01", "/h1/d1/f1"), ("n05", "/h0/d9/y"), ("z", "z"), ("e", ""), ("o", None)]
+    others = [("n02", "n08", 0.5, "co_occur"), ("n10", "n04", 0.3, "text_overlap"), ("n03", "n01", 0.9, "content"), ("n00", "n02", 0.1, "feedback"), ("n00", "nowhere", 0.9, "co_occur")]
+    strong = {tuple(sorted(x[:2])) for x in others if x[3] in ("co_occur", "text_overlap") and x[2] >= graph.PARENT}
+    cut = lambda p: p.rpartition("/")[0] if "/" in p else p
+    places = [(n, cut(p), cut(cut(p))) for n, p in paths if p]
+    share = lambda k: {(a[0], b[0]) for a in places for b in places if a[0] < b[0] and a[k] == b[k] != ""}
+    near = share(1) - strong
+    far = share(2) - near - {tuple(sorted(x[:2])) for x in others}
+    got = graph.path_edges(spark.createDataFrame(paths, "name string, path string"), spark.createDataFrame(others, "src string, dst string, weight double, edge_type string"))
+    want = sorted([(*p, graph.PARENT) for p in near] + [(*p, graph.GRANDPARENT) for p in far])
+    assert sorted((r.src, r.dst, r.weight) for r in got.collect()) == want
+
+
+def test_path_edges_of_a_large_folder_are_dealt(spark, monkeypatch):
+    """One folder of 3000 names: no task makes more than a fraction of its pairs."""
+    monkeypatch.setattr(graph, "FOLDER_BLOCK", 100)
+    paths = spark.range(3000).select(F.format_string("n%05d", "id").alias("name"), F.concat(F.lit("/one/d/"), "id").alias("path"))
+    got = graph.path_edges(paths, spark.createDataFrame([], "src string, dst string, weight double, edge_type string"))
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3000 * 2999 // 2 and max(tasks) < sum(tasks) / 4
