@@ -35,8 +35,10 @@ def literals(words: list[str]) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the full-text index: runs of letters and digits, in lower case, without marks."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    text = F.coalesce(text, F.lit(""))
+    lower = F.lower(text)
+    folded = F.when(F.octet_length(text) == F.char_length(text), lower).otherwise(F.translate(lower, FOLD_FROM, FOLD_TO))  # ASCII has no marks
+    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
 def keywords(query: Column) -> Column:

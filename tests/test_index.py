@@ -191,3 +191,20 @@ def test_a_segment_splits_its_batch_once_and_merges_without_joining_all(spark, d
     assert rows(index.index().postings) == want
     index._merged(index.sealed())  # the sizes differ, so merge() would leave them
     assert len(index.sealed()) == 1 and rows(index.index().postings) == want and rows(index.catalogue().select(docs.columns)) == rows(now)
+
+
+def test_a_scan_finds_what_the_index_finds(spark, monkeypatch):
+    """Without an index each text is split once, no postings of other words are made, and results are those of the whole index."""
+    docs = spark.createDataFrame([(k, f"n-{k}", f"Ünder_score {k} red fox", f"red fox {'den ' * k}İx Σας 50% redder\nfox", ["a%b"]) for k in range(12)] + [(99, None, None, None, None)], "rowid long, name string, description string, body string, tags array<string>")
+    queries = spark.createDataFrame([(1, "red fox"), (2, "under_score"), (3, "den ix redder"), (4, "of"), (5, "n-1 50%"), (6, "")], "qid int, query string")
+    whole = lexical.Index(lexical.postings(docs), lexical.doc_stats(docs, lexical.postings(docs)), None, lexical.grams(docs))
+    want = rows(lexical.search(queries, docs, 20, index=whole))
+    made = []
+    monkeypatch.setattr(lexical, "indexed", lambda *a, **k: made.append(1) or whole)
+    assert rows(lexical.search(queries, docs, 20)) == want and not made
+    few = lexical.scanned(docs, lexical.strategies(queries).where("strategy = 1"))
+    terms = {r.term for r in few.postings.select("term").distinct().collect()}
+    assert terms == {"red", "fox", "den", "redder"}
+    assert rows(few.lengths) == rows(lexical.doc_stats(docs, lexical.postings(docs)))
+    monkeypatch.setattr(lexical, "MOST_TERMS", 2)  # too many words for a scan
+    assert rows(lexical.search(queries, docs, 20)) == want and made
