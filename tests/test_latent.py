@@ -122,3 +122,22 @@ def test_texts_are_counted_where_they_lie(spark):
     assert len(found) == 40 and all(list(x) == sorted(x) for x in found.values())
     assert {(i, f, int(n)) for i, x in found.items() for f, n in x.items()} == {tuple(r) for r in latent.counted(texts).collect()}
     assert sum(found[2].values()) == 8 and max(found[2].values()) == 4
+
+
+def test_nearest_rows_by_products_are_those_of_every_pair(spark):
+    """Ties of copies, zeros, nulls, other lengths and values that aren't finite; few pairs reach the exact scores."""
+    made = np.random.default_rng(3).integers(-3, 4, (1500, 6)).astype(float).tolist()
+    odd = [[0.0] * 6, None, [1.0], [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [1e300] * 6]
+    v = spark.createDataFrame([*enumerate(made + odd)], "id long, embedding array<double>")
+    for ids in ([0, 1, 2, 3], [5, 1500, 1501, 1502, 1503, 1504, 1505, 1506]):
+        q = v.where(F.col("id").isin(ids)).withColumnRenamed("id", "qid")
+        pairs = v.select("id", F.col("embedding").alias("v")).crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("q"))))
+        norm = lambda x: F.sqrt(dense.dot(F.col(x), F.col(x)))
+        pairs = pairs.select("qid", "id", (dense.dot(F.col("q"), F.col("v")) / (norm("q") * norm("v") + 1e-10)).alias("score"))
+        want = pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)")).where("rank <= 10").select("qid", "rank", "id", "score")
+        assert sorted(map(str, dense.cosine_topk(q, v, 10).collect())) == sorted(map(str, want.collect()))
+    import pyarrow as pa
+
+    sent = type("Sent", (), {"value": (np.array(made[:20]), np.zeros(20, bool))})
+    batch = pa.record_batch([pa.array(range(1500)), pa.array(made, pa.list_(pa.float64()))], names=["id", "v"])
+    assert 200 <= sum(len(b) for b in dense._near(sent, 10)([batch])) < 20 * 1500 / 4
