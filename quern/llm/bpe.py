@@ -17,9 +17,10 @@ one word of n symbols O(n log n).
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import struct
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +55,19 @@ class Bpe:
             raise ValueError(f"not a BPE model: {model['type']}")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        merges: dict[int, dict[int, int]] = {}
+        self.made: list[int] = []  # by rank: the id that a merge makes
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            merges.setdefault(self.vocab[a], {}).setdefault(self.vocab[b], rank)
+            self.made.append(self.vocab[a + b])
+        self.rank = [merges.get(i, {}).get for i in range(max(self.vocab.values(), default=-1) + 1)]  # by left id: the rank with a right one, or None
         _check(spec)
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
-        self.bytes = byte_symbols()
+        symbols = byte_symbols()
+        self.inner, self.last = [self.vocab.get(c, -1) for c in symbols], [self.vocab.get(c + self.suffix, -1) for c in symbols]
+        self.partial = -1 in self.inner + self.last  # bytes without a symbol are left out
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", WHITE) if r"[^\s" in pattern else pattern).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -70,28 +76,39 @@ class Bpe:
 
     def merged(self, word: str) -> list[int]:
         """Ids of one word: always the lowest rank first, leftmost on ties; entries of changed symbols are skipped."""
-        symbols = [self.bytes[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
-        n = len(ids)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        alive, merges = [True] * n, self.merges
-        queue = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, new, a, b) for rank, new, i, a, b in queue]
-        heapq.heapify(queue)
+        raw = word.encode()
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        if self.partial:
+            ids = [x for x in ids if x >= 0]
+        n, rank_of, made = len(ids), self.rank, self.made
+        ranks = [rank_of[a](b) for a, b in zip(ids, ids[1:])]  # of the pair that begins here, as it stands
+        queue = [rank * n + i for i, rank in enumerate(ranks) if rank is not None]
+        if not queue:
+            return ids
+        heapify(queue)
+        ranks.append(None)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
-            j = right[i]
-            if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
+            rank, i = divmod(heappop(queue), n)
+            if ranks[i] != rank:
                 continue  # stale: one of the two has been merged since
-            ids[i], alive[j] = new, False
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for k in (left[i], i):
-                if k >= 0 and right[k] >= 0 and (m := merges.get((ids[k], ids[right[k]]))):
-                    heapq.heappush(queue, (m[0], k, m[1], ids[k], ids[right[k]]))
-        return [x for x, on in zip(ids, alive, strict=True) if on]
+            j = right[i]
+            ids[i] = new = made[rank]
+            ids[j], ranks[j] = -1, None
+            h, right[i] = left[i], (k := right[j])
+            if k < n:
+                left[k] = i
+                ranks[i] = rank = rank_of[new](ids[k])
+                if rank is not None:
+                    heappush(queue, rank * n + i)
+            else:
+                ranks[i] = None
+            if h >= 0:
+                ranks[h] = rank = rank_of[ids[h]](new)
+                if rank is not None:
+                    heappush(queue, rank * n + h)
+        return [x for x in ids if x >= 0]
 
     def split(self, text: str) -> list[str | int]:
         """Words of a normalised text, and ids of added tokens between them."""
@@ -101,11 +118,15 @@ class Bpe:
             if k % 2:
                 out.append(self.added[part])
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each letter alone, with no final form
-                out += self.words(part.lower())  # white space only separates, so one space or many is all the same
+                out += self.plain(part)
         return out
 
+    def plain(self, text: str) -> list[str]:
+        """Words of a text without added tokens, normalised."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter alone, with no final form
+        return self.words(text.lower())  # white space only separates, so one space or many is all the same
+
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded string) of each stretch without white space that has ids."""
         if any(c in text for c in self.first) or any(c in text for c in _NO_SPACE):
@@ -139,7 +160,7 @@ class Known(dict):
         found = self.older.get(word)
         if found is None:
             ids = [word] if isinstance(word, int) else self.bpe.merged(word)
-            found = (np.array(ids, "<u4").tobytes(), self.bpe.decode(ids)) if ids else ()
+            found = (struct.pack(f"<{len(ids)}I", *ids), self.bpe.decode(ids)) if ids else ()
         if isinstance(word, int) or len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -154,7 +175,7 @@ class Spaced(Known):
     def __missing__(self, text: str) -> tuple[bytes, str] | None:
         found = self.older.get(text)
         if found is None:
-            words = [x for x in map(self.bpe.known.__getitem__, self.bpe.split(text)) if x]
+            words = [x for x in map(self.bpe.known.__getitem__, self.bpe.plain(text)) if x]
             found = words[0] if len(words) == 1 else (b"".join([x[0] for x in words]), " ".join([x[1] for x in words])) if words else ()
         if len(text) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:

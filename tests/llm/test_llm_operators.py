@@ -259,6 +259,24 @@ def test_bpe(docs, texts):
     assert first.ids == own.encode(dict(texts)[5], add_special_tokens=False).ids
 
 
+def test_bpe_merges(tmp_path):
+    """Long words, equal pairs side by side, and a vocabulary that lacks some bytes (they are left out)."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    gone = {"b", "b</w>", "z</w>", "Ã"}
+    spec["model"]["vocab"] = {s: i for s, i in spec["model"]["vocab"].items() if not any(x.removesuffix("</w>") in s for x in gone)}
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if not any(x.removesuffix("</w>") in "".join(m) for x in gone)]
+    (tmp_path / "partial.json").write_text(json.dumps(spec), encoding="utf-8")
+    rng = random.Random(4)
+    cases = ["".join(rng.choice(rng.choice(["ab", "thean", "thezéà", "aeionrstz"])) for _ in range(rng.choice([1, 2, 9, 40, 400]))) for _ in range(1000)] + ["b", "bb", "z", "ab", "é", "aaaa"]
+    for path in (queries.tokenizer_path(), str(tmp_path / "partial.json")):
+        own, bpe_ = Tokenizer.from_file(path), bpe.Bpe(path)
+        assert all(bpe_.encode(t) == own.encode(t, add_special_tokens=False).ids for t in cases)
+
+
 def test_secrets(spark, docs, texts):
     for r in secrets.digests(docs).where("doc_id is not null").collect():
         n, digest = brute.secrets(dict(texts)[r.doc_id])
