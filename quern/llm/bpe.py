@@ -31,7 +31,7 @@ from quern.llm.words import claim
 from quern.runtime import ship
 
 #: Words whose ids a worker keeps in each of two generations, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 100_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: What Python's str.split() takes for white space, but the library doesn't.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 #: Unicode's White_Space.

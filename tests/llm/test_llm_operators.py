@@ -277,6 +277,20 @@ def test_bpe_merges(tmp_path):
         assert all(bpe_.encode(t) == own.encode(t, add_special_tokens=False).ids for t in cases)
 
 
+def test_bpe_encodes_words_once():
+    """250,000 different words, read twice, are merged once each; generations of 100,000 lost words on the way."""
+    bpe_ = bpe.Bpe(queries.tokenizer_path())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**j % 26] for j in range(4)) for k in range(250_000)]
+    asked = Counter()
+    merged = bpe_.merged
+    bpe_.merged = lambda word: asked.update([word]) or merged(word)
+    text = " ".join(words)
+    assert bpe_.digest(text) == bpe_.digest(text)
+    assert len(asked) == 250_000 and set(asked.values()) == {1}
+    assert len(bpe_.known) <= bpe.CACHE_WORDS and len(bpe_.spaced) <= bpe.CACHE_WORDS
+
+
 def test_secrets(spark, docs, texts):
     for r in secrets.digests(docs).where("doc_id is not null").collect():
         n, digest = brute.secrets(dict(texts)[r.doc_id])
