@@ -1,12 +1,13 @@
 """A catalogue with its full-text index in immutable segments: adding, changing and deleting documents writes no more than the batch.
 
-Tables below `root`, each partitioned by segment: `entries` (the catalogue's columns, token count, whether the row is a tombstone),
-`postings` (sorted by term), `grams` (runs of three characters of names and descriptions), `impacts` (a row for each term and block of rows: what the term can give there at most), `vectors` (where an embedder is
+Tables below `root`, each partitioned by segment: `entries` (the catalogue's columns, tokens and their count, whether the row is a tombstone),
+`postings` (sorted by term in runs), `grams` (runs of three characters of names and descriptions), `impacts` (a row for each term and block of rows: what the term can give there at most), `vectors` (where an embedder is
 given), and `sealed`, one row a segment, written last: a segment without it isn't there for readers, so a writer that dies
 leaves nothing but files that nobody reads. Of rows with one rowid the newest segment's counts.
 
 Segments of similar size are merged into one that names those it replaces. A merge drops rows that newer segments have
-replaced, and tombstones once nothing older is left. Names sort in the order of writing. A writer that may run again with the same
+replaced, and tombstones once nothing older is left. Whatever is made of tokens is made of a segment's entries in the tasks
+that read them, so texts are split once and neither a load nor a merge shuffles postings. Names sort in the order of writing. A writer that may run again with the same
 batch gives the segment its name, and writes the same files again; others get a name of their own.
 
 The driver holds a row for each segment; everything else is read, joined and written by Spark."""
@@ -22,18 +23,18 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quern import schemas
-from quern.operators import lexical
+from quern.operators import inverted, lexical
 from quern.operators.dense import described
 from quern.runtime import bounded, drop, written
 
 #: So many neighbouring segments of one size class are merged; a class holds FAN times the documents of the one below.
 FAN = 4
-SEALED = "place bigint, documents bigint, replaces array<string>, live array<string>, total bigint, mean double"
-POSTINGS = "rowid bigint, col string, term string, pos int"
-GRAMS = "gram string, rowid bigint"
+SEALED = "place bigint, documents bigint, replaces array<string>, live array<string>, total bigint, mean double, words boolean"
 VECTORS = "id bigint, embedding array<double>"
 #: Replaced or deleted rows that are sent to every task; where there are more, tables are joined by row.
 MOST_DEAD = 300_000
+#: Tokens of a file; and of one that is made smaller so that all cores have work.
+FILE_TOKENS, LEAST_TOKENS = 4_000_000, 250_000
 
 
 class Segments:
@@ -41,7 +42,7 @@ class Segments:
 
     def __init__(self, spark: SparkSession, root: str, columns: str = schemas.CATALOGUE, embed: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.root, self.columns, self.embed = spark, root.rstrip("/"), columns, embed
-        self.schemas = {"entries": f"{columns}, length bigint, gone boolean", "postings": POSTINGS, "impacts": lexical.IMPACTS, "grams": GRAMS, "vectors": VECTORS, "sealed": SEALED}
+        self.schemas = {"entries": f"{columns}, length bigint, gone boolean, {inverted.WORDS}", "postings": inverted.POSTINGS, "impacts": lexical.IMPACTS, "grams": inverted.GRAMS, "vectors": VECTORS, "sealed": SEALED}
 
     def _read(self, table: str, names: list[str] | None = None) -> DataFrame:
         """A table, or some segments of it; empty where nothing has been written."""
@@ -72,15 +73,30 @@ class Segments:
             return rows
         return rows.groupBy("rowid").agg(F.max(F.struct("segment", "gone", "length")).alias("x")).select("rowid", "x.*")
 
-    def _current(self, table: str, live: list[str], key: str = "rowid") -> DataFrame:
-        """A table's rows that no newer segment has replaced or deleted."""
+    def _replaced(self, live: list[str]) -> DataFrame | None:
+        """(rowid, segment) of entries that a newer segment has replaced or deleted; of one segment none."""
+        return self._dead(live, self._owners(live).where("not gone")) if len(live) > 1 else None
+
+    def _current(self, table: str, live: list[str], dead: DataFrame | None, key: str = "rowid") -> DataFrame:
+        """A table's rows but for those of _replaced()."""
         rows = self._read(table, live)
-        if len(live) > 1:
-            rows = self._without(rows, self._dead(live, self._owners(live).where("not gone")), key)
+        if dead is not None:
+            rows = self._without(rows, dead, key)
         elif table == "entries":
             rows = rows.where("not gone")
         return rows.drop("segment")
 
+    def _tokens(self, rows: list[Row]) -> DataFrame:
+        """Entries of some segments with their tokens; those of a segment that was written before entries kept them are split again."""
+        found = self._read("entries", [r.segment for r in rows])
+        old = [r.segment for r in rows if not r.words]
+        if not old:
+            return found
+        columns = [c for c in found.columns if c not in ("words", "length")]
+        again = inverted.worded(lexical.tokened(self._read("entries", old), *columns), *columns)
+        again = again.withColumn("length", F.when(F.col("gone"), F.lit(0)).otherwise(F.col("length")))
+        return found.where(~F.col("segment").isin(old)).unionByName(again)
+
     def _dead(self, names: list[str], kept: DataFrame) -> DataFrame:
         """(rowid, segment) of entries of some segments that aren't among `kept`; written, since several tables leave them out."""
         rows = self._read("entries", names).select("rowid", "segment")
@@ -94,22 +110,39 @@ class Segments:
         return [r.segment for r in self.sealed()]
 
     def catalogue(self) -> DataFrame:
-        return self._current("entries", self._live()).drop("gone", "length")
+        live = self._live()
+        return self._current("entries", live, self._replaced(live)).drop("gone", "length", "words")
+
+    def _corpus(self, rows: list[Row], lengths: DataFrame) -> DataFrame:
+        live = [r.segment for r in rows]
+        known = [r for r in rows if sorted(r.live) == live]  # totals of just these segments; a writer at the same time may have left none
+        return self.spark.createDataFrame([(known[-1].total, known[-1].mean)], lexical.CORPUS) if known else lexical.totals(lengths)
 
     def index(self) -> lexical.Index:
         """The index of one state, as lexical.search() takes it."""
         rows = self.sealed()
         live = [r.segment for r in rows]
         lengths = self._owners(live).where("not gone").select("rowid", "length")
-        known = [r for r in rows if sorted(r.live) == live]  # totals of just these segments; a writer at the same time may have left none
-        corpus = self.spark.createDataFrame([(known[-1].total, known[-1].mean)], lexical.CORPUS) if known else lexical.totals(lengths)
-        return lexical.Index(self._current("postings", live), lengths, corpus, self._current("grams", live), self._read("impacts", live).select("term").distinct())
+        dead = self._replaced(live)
+        return lexical.Index(self._current("postings", live, dead), lengths, self._corpus(rows, lengths), self._current("grams", live, dead), self._read("impacts", live).select("term").distinct())
+
+    def counts(self, *columns: str) -> DataFrame:
+        """(rowid, col, term, n, first_pos, length, columns of the catalogue, documents) of live rows: how often each term stands in a column of a row, and where first."""
+        rows = self.sealed()
+        live = [r.segment for r in rows]
+        dead, tokens = self._replaced(live), self._tokens(rows).where("not gone")
+        tokens = tokens if dead is None else self._without(tokens, dead, "rowid")
+        corpus = self._corpus(rows, self._owners(live).where("not gone").select("rowid", "length"))
+        return inverted.counts(tokens, *columns).crossJoin(F.broadcast(corpus.select(F.col("total").alias("documents"))))
 
     def vectors(self) -> DataFrame:
-        return self._current("vectors", self._live(), "id")
+        live = self._live()
+        return self._current("vectors", live, self._replaced(live), "id")
 
     def impacts(self) -> tuple[DataFrame, bool]:
-        """Block bounds of all live segments, and whether they count live rows alone; bounds of replaced rows are bounds still."""
+        """Block bounds of all live segments, and whether they count live rows alone; bounds of replaced rows are bounds still.
+
+        A term may have several bounds in one block: of some segments, or of rows that different tasks wrote."""
         live = self._live()
         return self._read("impacts", live).drop("segment"), len(live) <= 1
 
@@ -118,7 +151,7 @@ class Segments:
         live = sorted({*self._live(), name} - set(replaces))
         documents = self._read("entries", [name]).count()
         total = lexical.totals(self._owners(live).where("not gone").select("rowid", "length")).first()
-        self._write("sealed", name, self.spark.createDataFrame([(place, documents, replaces, live, total.total, total.mean)], SEALED).coalesce(1))
+        self._write("sealed", name, self.spark.createDataFrame([(place, documents, replaces, live, total.total, total.mean, True)], SEALED).coalesce(1))
 
     def add(self, docs: DataFrame, gone: DataFrame | None = None, name: str | None = None) -> str:
         """Add or replace the rows of `docs` by rowid, and delete those of gone(rowid); returns the segment's name.
@@ -128,22 +161,30 @@ class Segments:
         place = int(name) if name else max([r.place for r in rows], default=-1) + 1
         name = f"{place:012d}" if name else f"{place:012d}-{uuid.uuid4().hex[:8]}"
         columns = [c.split()[0] for c in self.columns.split(", ")]
-        tokens = written(lexical.tokened(docs, *columns), "tokens")  # the batch is split once; all but vectors is made of this
-        self._write("postings", name, lexical.by_term(lexical.placed(tokens)))
-        entries = tokens.select(*columns, "length", F.lit(False).alias("gone"))
+        entries = inverted.worded(lexical.tokened(docs, *columns), *columns).withColumn("gone", F.lit(False))
         if gone is not None:
-            null = self.spark.createDataFrame([], f"{self.columns}, length bigint, gone boolean")
+            null = self.spark.createDataFrame([], self.schemas["entries"])
             entries = entries.unionByName(gone.select(F.col("rowid").cast("bigint"), F.lit(0).cast("bigint").alias("length"), F.lit(True).alias("gone")), allowMissingColumns=True).select(null.columns)
         self._write("entries", name, entries)
-        self._write("impacts", name, lexical.token_impacts(tokens))
-        grams = written(lexical.grams(tokens), "grams")
-        self._write("grams", name, lexical.by_gram(grams))
-        drop(tokens, grams)
+        self._invert(name)
         if self.embed:
             self._write("vectors", name, self.embed(described(docs)))
         self._seal(name, place, [])
         return name
 
+    def _dealt(self, rows: DataFrame, lengths: DataFrame) -> DataFrame:
+        """Entries in no more tasks than their tokens are worth a file each, so that merged segments have no more files than large ones."""
+        tokens = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+        files = max(tokens // FILE_TOKENS, min(tokens // LEAST_TOKENS, self.spark.sparkContext.defaultParallelism)) + 1
+        return rows.coalesce(files)
+
+    def _invert(self, name: str) -> None:
+        """Postings, bounds and grams of a segment, out of its entries."""
+        rows = self._read("entries", [name]).where("not gone")
+        rows = self._dealt(rows, rows)
+        for table, made in (("postings", inverted.postings), ("impacts", inverted.impacts), ("grams", inverted.grams)):
+            self._write(table, name, made(rows))
+
     def merge(self, fan: int = FAN) -> list[str]:
         """Merge runs of `fan` or more neighbouring segments of one size class, until there is none; returns new names."""
         made: list[str] = []
@@ -171,10 +212,11 @@ class Segments:
         # the last one's place in the order; a merge of the same segments has the same name
         name = f"{chosen[-1]}+{uuid.uuid5(uuid.NAMESPACE_OID, ' '.join(chosen)).hex[:8]}"
         dead = self._dead(chosen, own)
-        for table, key in (("entries", "rowid"), ("postings", "rowid"), ("grams", "rowid"), *([("vectors", "id")] if self.embed else [])):
-            rows = self._without(self._read(table, chosen), dead, key).drop("segment")
-            self._write(table, name, {"postings": lexical.by_term, "grams": lexical.by_gram}.get(table, lambda x: x)(rows))
-        self._write("impacts", name, lexical.impacts(self._read("postings", [name]), self._read("entries", [name])))
+        rows = self._without(self._tokens(run), dead, "rowid").drop("segment")
+        self._write("entries", name, self._dealt(rows, self._read("entries", chosen)))
+        self._invert(name)
+        if self.embed:
+            self._write("vectors", name, self._without(self._read("vectors", chosen), dead, "id").drop("segment"))
         drop(dead)
         self._seal(name, run[-1].place, chosen)
         return name

@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -21,13 +21,18 @@ ARROW_ROWS, ARROW_BYTES = "2000", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started, and keep what they hold at once small.
+    """Let Python workers import this package, and keep what they hold at once small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    ship_code(spark)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started; settings stay.
 
     Nothing is sent where PYTHONPATH names the package's folder already (workers inherit it).
     """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     home = str(_PACKAGE.parent)
     if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_quern_shipped", False):
         return
@@ -154,12 +159,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than the session has cores, dealt to all cores; any other as it is.
+def spread(df: DataFrame, *by: Column) -> DataFrame:
+    """A table of fewer splits than the session has cores, dealt to all cores, rows of one key together; any other as it is.
 
     For work that costs far more than moving the rows; larger tables have splits enough and are never shuffled here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores, *by) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
